@@ -156,3 +156,17 @@ def prediction_catalog(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("airline_count"),
         F.sum("n").alias("offers"),
     )
+
+
+def daily_agreement(matched: DataFrame, date: str) -> DataFrame:
+    """Matched slots per day with the median ratio and the shares within five and ten percent."""
+    difference = F.col("absolute_pct_difference")
+    counts = matched.groupBy(date).agg(
+        F.count(F.lit(1)).alias("matched_slots"),
+        F.sum("a_rows").alias("a_rows"),
+        F.sum("b_rows").alias("b_rows"),
+        F.round(F.avg(F.when(difference <= 5, 1.0).otherwise(0.0)), 9).alias("within_5pct"),
+        F.round(F.avg(F.when(difference <= 10, 1.0).otherwise(0.0)), 9).alias("within_10pct"),
+    )
+    median = exact_quantiles(matched, [date], "ratio", {"median_ratio": 0.5})
+    return join_on(counts, median, [date]).withColumn("median_ratio", F.round("median_ratio", 9))

@@ -6,6 +6,7 @@ def load():
     from farepanel.plans import (  # noqa: F401
         sources_q,
         columns_q,
+        joins_q,
     )
     from farepanel.plans.registry import ORACLE, QUERIES
 
