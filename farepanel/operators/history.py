@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from farepanel import config as C
 from farepanel.functions import columns as K
-from farepanel.operators.scale import exact_quantiles, join_on
+from farepanel.operators.scale import exact_quantiles, join_on, with_scalars
 
 
 def schedule_history(df: DataFrame, by_era: bool = True, relative: bool = True) -> DataFrame:
@@ -85,44 +85,52 @@ def sequence_gaps(lane: DataFrame, keys: Sequence[str], time: str = "event_time"
 
 
 def sequence_summary(gaps: DataFrame, lengths: Sequence[int] = (7, 14, 21)) -> DataFrame:
-    """Eligibility at several history lengths and gap quantiles of a whole lane."""
+    """Eligibility at several history lengths and quantiles of the positive gaps of a lane."""
+    gap = F.col("gap_hours")
     counts = gaps.agg(
         F.count(F.lit(1)).alias("events"),
-        *[(F.count_if(F.col("prior_events") >= n) * F.lit(100.0) / F.count(F.lit(1))).alias(f"eligible_{n}_pct") for n in lengths],
+        *[
+            (F.count_if(F.col("prior_events") >= n) * F.lit(100.0) / F.count(F.lit(1))).alias(f"eligible_{n}_pct")
+            for n in lengths
+        ],
+        F.count_if(gap > 0).alias("positive_gaps"),
+        F.count_if(gap <= 0).alias("nonpositive_gaps"),
+        F.max(F.when(gap > 0, gap)).alias("max_gap_hours"),
     )
-    quantiles = exact_quantiles(gaps, [], "gap_hours", {"gap_p50": 0.5, "gap_p90": 0.9})
-    return counts.crossJoin(F.broadcast(quantiles))
+    probs = {"gap_p50": 0.5, "gap_p90": 0.9, "gap_p95": 0.95}
+    return with_scalars(counts, exact_quantiles(gaps.where(gap > 0), [], "gap_hours", probs))
 
 
-def sequence_source(df: DataFrame, keys: Sequence[str] = ("route", "airline")) -> DataFrame:
-    """One six-feature state per (group, batch): level, change, support, spread, horizon and gap."""
-    b = df.groupBy(*keys, "session_key").agg(
-        F.max("feature_time").alias("event_time"),
-        F.percentile("current_relative_log", 0.5).alias("relative_log"),
-        F.median("price_vnd").alias("median_price"),
-        F.count(F.lit(1)).alias("support"),
-        F.min("price_vnd").alias("lo"),
-        F.max("price_vnd").alias("hi"),
-        F.median("days_until_departure").alias("median_dud"),
-    )
-    w = Window.partitionBy(*keys).orderBy("event_time", "session_key")
-    gap = K.hours_between(F.lag("event_time").over(w), "event_time")
-    return b.select(
-        *keys,
-        "session_key",
-        "event_time",
-        F.coalesce("relative_log", F.lit(0.0)).alias("f_relative_log"),
-        F.coalesce(
-            K.safe_log("median_price") - K.safe_log(F.lag("median_price").over(w)), F.lit(0.0)
-        ).alias("f_log_change"),
-        K.safe_log1p("support").alias("f_support_log1p"),
-        K.safe_log_ratio("hi", "lo").alias("f_log_spread"),
-        (F.col("median_dud") / 60).alias("f_dud"),
-        K.safe_log1p(F.least(F.coalesce(gap, F.lit(0.0)), F.lit(C.SEQUENCE_GAP_CLIP_HOURS))).alias("f_gap_log1p"),
+def sequence_source(df: DataFrame, kind: str = "TEMPLATE_DUD7") -> DataFrame:
+    """One six-feature state per (group, batch): a slot, or a template within a week of horizon.
+
+    A group holds few rows of one batch, so the medians are small; the gap runs over batches.
+    """
+    weekly = K.token("route", "airline", "departure_minute", F.floor(F.col("days_until_departure") / 7))
+    group = F.col("schedule_slot_id").cast("string") if kind == "EXACT" else weekly
+    one = F.lit(1.0)
+    price = F.greatest(F.col("price_vnd").cast("double"), one)
+    market = F.when(F.col("temporal_market_median_price").isNotNull(), F.greatest(F.col("temporal_market_median_price"), one))
+    anchor = F.when(F.col("anchor_vnd").isNotNull(), F.greatest(F.col("anchor_vnd"), one))
+    raw = {
+        "f_relative_log": F.ln(price / F.coalesce(market, anchor, price)),
+        "f_log_price": F.ln(price),
+        "f_dud": F.least(F.greatest(F.col("days_until_departure"), F.lit(0)), F.lit(60)) / F.lit(60.0),
+        "f_support_log": F.log1p(F.coalesce(F.col("temporal_market_support"), F.lit(0)).cast("double")),
+        "f_batch_log": F.log1p(F.coalesce(F.col("batch_offer_count"), F.lit(0)).cast("double")),
+    }
+    b = (
+        df.withColumns({"group": group, **raw})
+        .groupBy("group", "session_key")
+        .agg(F.max("feature_time").alias("event_time"), *[F.percentile(c, 0.5).alias(c) for c in raw])
     )
+    w = Window.partitionBy("group").orderBy("event_time", "session_key")
+    gap = F.coalesce(K.hours_between(F.lag("event_time").over(w), "event_time"), F.lit(0.0))
+    clipped = F.least(F.greatest(gap, F.lit(0.0)), F.lit(C.SEQUENCE_GAP_CLIP_HOURS))
+    return b.withColumn("f_gap_log", F.log1p(clipped))
 
 
-STATE_FEATURES = ("f_relative_log", "f_log_change", "f_support_log1p", "f_log_spread", "f_dud", "f_gap_log1p")
+STATE_FEATURES = ("f_relative_log", "f_log_price", "f_dud", "f_support_log", "f_batch_log", "f_gap_log")
 
 
 def history_arrays(

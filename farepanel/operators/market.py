@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from farepanel import config as C
 from farepanel.functions import columns as K
-from farepanel.operators.scale import attach, histogram, join_on
+from farepanel.operators.scale import attach, exact_quantiles, histogram, join_on
 
 MARKET_KEYS = ("route", "airline", "days_until_departure")
 
@@ -322,31 +322,49 @@ def prior_market_context(df: DataFrame) -> DataFrame:
     )
 
 
-def backoff_statistic(
+RESIDUAL_LEVELS = {
+    "ROUTE_AIRLINE_HHMM_DUD_SESSION": ("route", "airline", "departure_minute", "target_dud", "session_label"),
+    "ROUTE_AIRLINE_PERIOD_DUD_SESSION": ("route", "airline", "departure_period", "target_dud", "session_label"),
+    "ROUTE_AIRLINE_DUD_SESSION": ("route", "airline", "target_dud", "session_label"),
+    "ROUTE_DUD_SESSION": ("route", "target_dud", "session_label"),
+    "DUD_SESSION": ("target_dud", "session_label"),
+}
+
+
+def backoff_quantiles(
     train: DataFrame,
     target: DataFrame,
-    levels: Mapping[str, Sequence[str]],
-    aggregate,
-    support_column: str,
+    value: str,
+    levels: Mapping[str, Sequence[str]] = RESIDUAL_LEVELS,
+    probs: Mapping[str, float] | None = None,
     min_support: int = C.BACKOFF_MIN_SUPPORT,
-    name: str = "backoff_value",
-    default=None,
-    default_level: str = "DEFAULT",
+    default: float | None = 0.0,
+    default_level: str = "ZERO_RESIDUAL_ANCHOR",
 ) -> DataFrame:
-    """First level with enough training rows, resolved on distinct target cells."""
+    """Exact training quantiles of the first level with enough rows.
+
+    Coarse levels pool large shares of the training rows, so their quantiles use the spread form. The
+    levels are resolved on the distinct target cells; the target rows are shuffled once.
+    """
+    probs = probs or {"backoff_value": 0.5}
     finest = list(dict.fromkeys(c for keys in levels.values() for c in keys))
     cells = target.select(*finest).distinct()
-    value, support, label = default, F.lit(0).cast("bigint"), F.lit(default_level)
     for index, keys in enumerate(levels.values()):
-        stats = train.groupBy(*keys).agg(aggregate.alias(f"__v{index}"), F.count(support_column).alias(f"__n{index}"))
-        cells = join_on(cells, stats.where(F.col(f"__n{index}") >= min_support), list(keys), "left")
-    for index, level in reversed(list(enumerate(levels))):
-        hit = F.col(f"__n{index}").isNotNull()
-        value = F.when(hit, F.col(f"__v{index}")) if value is None else F.when(hit, F.col(f"__v{index}")).otherwise(value)
-        support = F.when(hit, F.col(f"__n{index}")).otherwise(support)
-        label = F.when(hit, level).otherwise(label)
+        stats = exact_quantiles(train, keys, value, probs, support=f"__n{index}").where(F.col(f"__n{index}") >= min_support)
+        cells = join_on(cells, stats.withColumnsRenamed({n: f"__{n}{index}" for n in probs}), list(keys), "left")
+    hits = [(F.col(f"__n{i}").isNotNull(), i, level) for i, level in enumerate(levels)]
+
+    def first(pick, otherwise):
+        chain = otherwise
+        for hit, index, level in reversed(hits):
+            chain = F.when(hit, pick(index, level)).otherwise(chain)
+        return chain
+
     resolved = cells.select(
-        *finest, value.alias(name), support.alias("backoff_support"), label.alias("backoff_level")
+        *finest,
+        *[first(lambda i, _, n=n: F.col(f"__{n}{i}"), F.lit(default).cast("double")).alias(n) for n in probs],
+        first(lambda i, _: F.col(f"__n{i}"), F.lit(0).cast("bigint")).alias("backoff_support"),
+        first(lambda _, level: F.lit(level), F.lit(default_level)).alias("backoff_level"),
     )
     return join_on(target, resolved, finest)
 

@@ -7,6 +7,9 @@ def load():
         sources_q,
         columns_q,
         joins_q,
+        aggregates_q,
+        history_q,
+        selection_q,
     )
     from farepanel.plans.registry import ORACLE, QUERIES
 

@@ -257,13 +257,12 @@ SLOT_KEYS = ["session_date", "session_label", "route", "days_until_departure", "
 view(
     "second_source",
     """SELECT * REPLACE (price_vnd * (1000 + schedule_slot_id % 70) // 1000 AS price_vnd) FROM raw_offers
-WHERE (schedule_slot_id + days_until_departure) % 6 <> 0""",
+WHERE NOT (session_label = 'PM' AND days_until_departure = 60)""",
 )
 
 
 def second_source(p):
-    k = F.col("schedule_slot_id")
-    return p.raw.where((k + F.col("days_until_departure")) % 6 != 0).withColumn(
+    return p.raw.where("not (session_label = 'PM' and days_until_departure = 60)").withColumn(
         "price_vnd", F.expr("price_vnd * (1000 + schedule_slot_id % 70) div 1000")
     )
 
@@ -286,20 +285,20 @@ def cross_source_match(p):
 view(
     "assembled",
     """SELECT offer_id || '' AS row_key, price_vnd, pred_vnd AS fare_vnd, p_drop AS probability, schedule_slot_id % 97 AS rank_score,
-CASE WHEN schedule_slot_id % 3 = 0 THEN 'BUY' WHEN p_drop >= 0.3e0 THEN 'WAIT' ELSE 'BUY' END AS action
-FROM offers WHERE session_label = 'AM'""",
+CASE WHEN flight_no IS NULL THEN 'BUY' WHEN p_drop >= 0.3e0 THEN 'WAIT' ELSE 'BUY' END AS action
+FROM offers""",
 )
 
 
 @query("assemble_predictions", "SELECT * FROM assembled")
 def assemble_predictions(p):
-    base = p.offers.where("session_label = 'AM'").withColumn("row_key", F.col("offer_id").cast("string"))
+    base = p.offers.withColumn("row_key", F.col("offer_id").cast("string"))
     parts = {
         "point": base.select("row_key", F.col("pred_vnd").alias("fare_vnd")),
         "classification": base.select("row_key", F.col("p_drop").alias("probability")),
         "ranking": base.select("row_key", (F.col("schedule_slot_id") % 97).alias("rank_score")),
     }
-    actions = base.where("schedule_slot_id % 3 <> 0").select(
+    actions = base.where("flight_no is not null").select(
         "row_key", F.when(F.col("p_drop") >= C.WAIT_THRESHOLD, "WAIT").otherwise("BUY").alias("action")
     )
     return serving.assemble(base.select("row_key", "price_vnd"), parts, actions)
@@ -363,7 +362,7 @@ def temporal_isolation(p):
     "parity_diff",
     """WITH b AS (SELECT offer_id, CASE WHEN schedule_slot_id % 317 = 0 THEN price_vnd + 1 ELSE price_vnd END AS price_vnd,
 CASE WHEN schedule_slot_id % 11 = 0 THEN p_drop + 1e-6 ELSE p_drop + 1e-10 END AS p_drop,
-CASE WHEN schedule_slot_id % 13 = 0 THEN NULL ELSE flight_no END AS flight_no FROM offers WHERE schedule_slot_id % 401 <> 0)
+CASE WHEN schedule_slot_id % 13 = 0 THEN NULL ELSE flight_no END AS flight_no FROM offers WHERE NOT (session_label = 'PM' AND days_until_departure = 60))
 SELECT count(*) FILTER (b.offer_id IS NOT NULL) AS matched_rows, count(*) FILTER (b.offer_id IS NULL) AS left_only, 0 AS right_only,
 count(*) FILTER (b.offer_id IS NOT NULL AND a.price_vnd <> b.price_vnd) AS diff_price_vnd,
 count(*) FILTER (b.offer_id IS NOT NULL AND abs(a.p_drop - b.p_drop) > 1e-8) AS diff_p_drop,
@@ -372,7 +371,7 @@ FROM offers a LEFT JOIN b USING (offer_id)""",
 )
 def parity_diff(p):
     k = F.col("schedule_slot_id")
-    other = p.offers.where(k % 401 != 0).select(
+    other = p.offers.where("not (session_label = 'PM' and days_until_departure = 60)").select(
         "offer_id",
         F.when(k % 317 == 0, F.col("price_vnd") + 1).otherwise(F.col("price_vnd")).alias("price_vnd"),
         F.when(k % 11 == 0, F.col("p_drop") + 1e-6).otherwise(F.col("p_drop") + 1e-10).alias("p_drop"),
@@ -384,24 +383,24 @@ def parity_diff(p):
 @query(
     "registry_check",
     """SELECT route, airline, count(*) AS rows FROM offers
-WHERE (route, airline) NOT IN (SELECT route, airline FROM offers WHERE schedule_slot_id % 97 = 5) GROUP BY ALL""",
+WHERE (route, airline) NOT IN (SELECT route, airline FROM offers WHERE airline <> '9G') GROUP BY ALL""",
 )
 def registry_check(p):
-    known = quality.registry(p.offers.where("schedule_slot_id % 97 = 5"))
+    known = quality.registry(p.offers.where("airline <> '9G'"))
     return quality.unknown_pairs(p.offers, known)
 
 
 @query(
     "seed_alignment",
-    """SELECT offer_id, round((p_drop + (CASE WHEN schedule_slot_id % 211 = 0 THEN NULL ELSE p_drop END) * 0.5e0 + (p_drop * 0.5e0 + 0.25e0)) / 3e0, 9) AS p_drop, TRUE AS aligned
-FROM offers WHERE schedule_slot_id % 211 <> 0
-UNION ALL SELECT offer_id, round((p_drop + (p_drop * 0.5e0 + 0.25e0)) / 2e0, 9), FALSE FROM offers WHERE schedule_slot_id % 211 = 0""",
+    """SELECT offer_id, round((p_drop + p_drop * 0.5e0 + (p_drop * 0.5e0 + 0.25e0)) / 3e0, 9) AS p_drop, TRUE AS aligned
+FROM offers WHERE flight_no IS NOT NULL
+UNION ALL SELECT offer_id, round((p_drop + (p_drop * 0.5e0 + 0.25e0)) / 2e0, 9), FALSE FROM offers WHERE flight_no IS NULL""",
 )
 def seed_alignment(p):
-    k, prob = F.col("schedule_slot_id"), F.col("p_drop")
+    prob = F.col("p_drop")
     members = [
         p.offers.select("offer_id", prob),
-        p.offers.where(k % 211 != 0).select("offer_id", (prob * 0.5).alias("p_drop")),
+        p.offers.where("flight_no is not null").select("offer_id", (prob * 0.5).alias("p_drop")),
         p.offers.select("offer_id", (prob * 0.5 + 0.25).alias("p_drop")),
     ]
     return quality.ensemble_mean(members, "offer_id", ["p_drop"]).withColumn("p_drop", F.round("p_drop", 9))

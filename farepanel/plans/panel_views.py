@@ -43,7 +43,7 @@ def blocks(column: str) -> str:
 
 view(
     "slots",
-    """SELECT o_custkey % 20 AS rid, (o_custkey + o_orderkey) % 5 AS aid, o_orderkey % 40 AS fd,
+    """SELECT o_custkey % 20 AS rid, (o_custkey + o_orderkey // 40) % 5 AS aid, o_orderkey % 40 AS fd,
        ((o_orderkey // 40) * 37) % 1440 AS dmin, min(o_orderkey) AS k
 FROM orders GROUP BY ALL""",
 )

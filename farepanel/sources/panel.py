@@ -47,7 +47,7 @@ class Panel:
             self.table("orders")
             .select(
                 (customer % 20).alias("rid"),
-                ((customer + order) % 5).alias("aid"),
+                (F.expr("o_custkey + o_orderkey div 40") % 5).alias("aid"),
                 (order % 40).alias("fd"),
                 (F.expr("o_orderkey div 40") * 37 % 1440).alias("dmin"),
                 order.alias("k"),
