@@ -10,6 +10,7 @@ def load():
         aggregates_q,
         history_q,
         selection_q,
+        metrics_q,
     )
     from farepanel.plans.registry import ORACLE, QUERIES
 
