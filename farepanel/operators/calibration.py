@@ -14,24 +14,29 @@ from pyspark.sql import functions as F
 from farepanel import config as C
 from farepanel.functions import columns as K
 from farepanel.operators.metrics import EPS, clip_probability, log_loss
-from farepanel.operators.scale import exact_quantiles, join_on, with_scalars
+from farepanel.operators.scale import histogram, join_on, quantiles_of_totals, running_totals, with_scalars
 
-NAMES = [f"__o{i}" for i in range(len(C.QUANTILES))]
+def residual_histogram(head: DataFrame, y: str, quantiles: str, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of distinct residuals per group and level; every level travels in one shuffle."""
+    levels = F.posexplode(K.rearrange(quantiles)).alias("level", "q")
+    long = head.select(*by, F.col(y).alias("__y"), levels).withColumn("residual", F.col("__y") - F.col("q"))
+    return histogram(long, [*by, "level"], "residual")
+
+
+def offsets_of_histogram(hist: DataFrame, by: Sequence[str] = (), name: str = "offsets") -> DataFrame:
+    by = list(by)
+    keys = [*by, "level"]
+    share = K.lookup("level", {i: float(q) for i, q in enumerate(C.QUANTILES)})
+    merged = hist.groupBy(*keys, "residual").agg(F.sum("n").alias("n"))
+    totals = running_totals(merged, keys, "residual", ["n"])
+    table = quantiles_of_totals(totals, keys, "residual", {"offset": share}, "higher", "support")
+    array = F.array(*[F.max(F.when(F.col("level") == i, F.col("offset"))) for i in range(len(C.QUANTILES))])
+    return table.groupBy(*by).agg(array.alias(name), F.max("support").alias("support"))
 
 
 def conformal_offsets(head: DataFrame, y: str, quantiles: str, by: Sequence[str] = (), name: str = "offsets") -> DataFrame:
     """Per level, the ``higher`` order statistic of the residuals, as one array per group."""
-    by = list(by)
-    levels = F.posexplode(K.rearrange(quantiles)).alias("level", "q")
-    long = head.select(*by, F.col(y).alias("__y"), levels).withColumn("residual", F.col("__y") - F.col("q"))
-    parts = [
-        exact_quantiles(long.where(F.col("level") == i), by, "residual", {NAMES[i]: level}, "higher", support=f"__n{i}")
-        for i, level in enumerate(C.QUANTILES)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = join_on(out, part, by)
-    return out.select(*by, F.array(*NAMES).alias(name), F.col("__n0").alias("support"))
+    return offsets_of_histogram(residual_histogram(head, y, quantiles, by), by, name)
 
 
 def shifted(quantiles: str, offsets: str) -> Column:
@@ -49,20 +54,25 @@ def conformal_groups(df: DataFrame, regime: str = "regime", dud: str = "days_unt
 
 
 def conformal_mondrian(
-    head: DataFrame, valid: DataFrame, y: str, quantiles: str, group: str = "conformal_group", min_support: int = C.CONFORMAL_MIN_SUPPORT, name: str = "calibrated"
+    head: DataFrame, valid: DataFrame, y: str, quantiles: str, group: str = "conformal_group", min_support: int = C.CONFORMAL_MIN_SUPPORT, name: str = "calibrated", keep_global: str | None = None
 ) -> DataFrame:
-    """Offsets of the row's group when it has enough head rows, else the global offsets."""
-    groups = conformal_offsets(head, y, quantiles, [group], "__group").where(F.col("support") >= min_support).drop("support")
-    row = conformal_offsets(head, y, quantiles).select(F.col("offsets").alias("__global"))
+    """Offsets of the row's group when it has enough head rows, else the global offsets.
+
+    ``keep_global`` names a column for the globally shifted quantiles of the same row.
+    """
+    hist = residual_histogram(head, y, quantiles, [group])
+    groups = offsets_of_histogram(hist, [group], "__group").where(F.col("support") >= min_support).drop("support")
+    row = offsets_of_histogram(hist).select(F.col("offsets").alias("__global"))
     out = with_scalars(join_on(valid, groups, [group], "left"), row)
     out = out.withColumn("__used", F.coalesce("__group", "__global"))
+    if keep_global:
+        out = out.withColumn(keep_global, shifted(quantiles, "__global"))
     return out.withColumn(name, shifted(quantiles, "__used")).drop("__group", "__global", "__used")
 
 
 def choose_quantile_recipe(head: DataFrame, y: str, quantiles: str, group: str = "conformal_group", coverage_penalty: bool = True) -> DataFrame:
     """Score of RAW, GLOBAL and MONDRIAN on the head, and the chosen one (simplest on a tie)."""
-    both = conformal_global(head, conformal_offsets(head, y, quantiles), quantiles, "__global_q")
-    both = conformal_mondrian(head, both, y, quantiles, group, name="__mondrian_q")
+    both = conformal_mondrian(head, head, y, quantiles, group, name="__mondrian_q", keep_global="__global_q")
     recipes = [("RAW", 0, K.rearrange(quantiles)), ("GLOBAL_CONFORMAL", 1, F.col("__global_q")), ("MONDRIAN_CONFORMAL", 2, F.col("__mondrian_q"))]
     structs = [F.struct(F.lit(n).alias("recipe"), F.lit(c).alias("complexity"), q.alias("q")) for n, c, q in recipes]
     long = both.select(F.col(y).alias("y"), F.explode(F.array(*structs)).alias("x")).select("y", "x.*")

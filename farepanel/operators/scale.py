@@ -91,10 +91,11 @@ def quantiles_of_totals(
     ranked: DataFrame,
     keys: Sequence[str],
     value: str,
-    probs: Mapping[str, float],
+    probs: Mapping[str, float | Column],
     method: str = "linear",
     support: str | None = None,
 ) -> DataFrame:
+    """Quantiles from ``running_totals`` of a histogram; a probability may be a function of the keys."""
     keys = list(keys)
     v = F.col(value).cast("double")
 
@@ -103,13 +104,14 @@ def quantiles_of_totals(
 
     aggregates, finals = [], []
     for name, q in probs.items():
-        position = (F.col("n_total") - 1) * F.lit(float(q))
+        q = q if isinstance(q, Column) else F.lit(float(q))
+        position = (F.col("n_total") - 1) * q
         if method == "higher":
             aggregates.append(at(F.ceil(position)).alias(name))
             finals.append(F.col(name))
             continue
         aggregates += [at(F.floor(position)).alias(f"__{name}_lo"), at(F.ceil(position)).alias(f"__{name}_hi")]
-        lo, hi, place = F.col(f"__{name}_lo"), F.col(f"__{name}_hi"), (F.col("__n") - 1) * F.lit(float(q))
+        lo, hi, place = F.col(f"__{name}_lo"), F.col(f"__{name}_hi"), (F.col("__n") - 1) * q
         finals.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
     grouped = ranked.groupBy(*keys).agg(F.max("n_total").alias("__n"), *aggregates)
     extra = [F.col("__n").alias(support)] if support else []

@@ -11,6 +11,7 @@ def load():
         history_q,
         selection_q,
         metrics_q,
+        audits_q,
     )
     from farepanel.plans.registry import ORACLE, QUERIES
 

@@ -204,7 +204,7 @@ def confusion_at_threshold(p):
     f"""WITH e AS (SELECT list_distinct([quantile_cont(p_drop, 0), quantile_cont(p_drop, 1/6e0), quantile_cont(p_drop, 2/6e0), quantile_cont(p_drop, 3/6e0),
 quantile_cont(p_drop, 4/6e0), quantile_cont(p_drop, 5/6e0), quantile_cont(p_drop, 1)]) AS edges FROM scored),
 s AS (SELECT list_sort(edges) AS e FROM e)
-SELECT CAST(len(list_filter(e[2:len(e) - 1], x -> p_drop > x)) + 1 AS INTEGER) AS bin, {rsql('avg(p_drop)', 'predicted')}, {rsql('avg(drop_5pct)', 'observed')}, count(*) AS rows
+SELECT CAST(len(list_filter(e[2:len(e) - 1], lambda x: p_drop > x)) + 1 AS INTEGER) AS bin, {rsql('avg(p_drop)', 'predicted')}, {rsql('avg(drop_5pct)', 'observed')}, count(*) AS rows
 FROM scored, s GROUP BY 1""",
 )
 def reliability_bins(p):
