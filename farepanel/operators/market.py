@@ -340,6 +340,7 @@ def backoff_quantiles(
     min_support: int = C.BACKOFF_MIN_SUPPORT,
     default: float | None = 0.0,
     default_level: str = "ZERO_RESIDUAL_ANCHOR",
+    pooled_min_support: int | None = None,
 ) -> DataFrame:
     """Exact training quantiles of the first level with enough rows.
 
@@ -350,7 +351,8 @@ def backoff_quantiles(
     finest = list(dict.fromkeys(c for keys in levels.values() for c in keys))
     cells = target.select(*finest).distinct()
     for index, keys in enumerate(levels.values()):
-        stats = exact_quantiles(train, keys, value, probs, support=f"__n{index}").where(F.col(f"__n{index}") >= min_support)
+        needed = min_support if keys or pooled_min_support is None else pooled_min_support
+        stats = exact_quantiles(train, keys, value, probs, support=f"__n{index}").where(F.col(f"__n{index}") >= needed)
         cells = join_on(cells, stats.withColumnsRenamed({n: f"__{n}{index}" for n in probs}), list(keys), "left")
     hits = [(F.col(f"__n{i}").isNotNull(), i, level) for i, level in enumerate(levels)]
 

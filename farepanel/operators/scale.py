@@ -26,8 +26,8 @@ def value_bucket(value: Column) -> Column:
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys; the key columns of the left side are kept."""
-    if not keys:
-        return left.crossJoin(F.broadcast(right.limit(1)))  # right is a one-row aggregate
+    if not keys:  # right is an aggregate without keys: one row at most
+        return left.join(F.broadcast(right), F.lit(True), how)
     renamed = right.select(
         *[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c) for c in right.columns if c not in keys]
     )

@@ -12,6 +12,8 @@ def load():
         selection_q,
         metrics_q,
         audits_q,
+        models_q,
+        streaming_q,
     )
     from farepanel.plans.registry import ORACLE, QUERIES
 
