@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
@@ -88,14 +87,13 @@ def rank_scores(train: DataFrame, target: DataFrame, query: str = "query_id", pr
 
 
 def candidate_grid(
-    split: DataFrame, y: str, candidates: Mapping[str, Mapping], folds: Sequence[str], seeds: Sequence[int], storage=StorageLevel.DISK_ONLY
+    split: DataFrame, y: str, candidates: Mapping[str, Mapping], folds: Sequence[str], seeds: Sequence[int]
 ) -> DataFrame:
     """Proper score of every candidate, fold and seed.
 
-    The fits are independent jobs over one persisted frame; only the fitted trees reach the driver,
+    The fits are independent jobs over one written table; only the fitted trees reach the driver,
     and each score stays a one-row DataFrame.
     """
-    split.persist(storage)
     rows = []
     for fold in folds:
         part = split.where(F.col("fold") == fold)

@@ -222,7 +222,7 @@ view("base0", " UNION ALL ".join(f"SELECT CAST(price_vnd AS DOUBLE) AS y, '{n}'
 
 @query("baseline_current", baseline_sql("baseline", "base0", "y", "pred", "baseline"))
 def baseline_current(p):
-    out = audits.baseline_matrix(p.featured, "price_vnd", BASE0, [])
+    out = audits.baseline_matrix(p.feature_table, "price_vnd", BASE0, [])
     return out.select("baseline", "eligible_rows", r("coverage_pct", 6), r("mae_vnd", 4), r("mape_pct", 6), r("r2", 6))
 
 
@@ -323,7 +323,7 @@ WARM = [c for c in AVAILABLE if c.startswith(("previous_", "prior_price_", "lag_
     " UNION ALL ".join(f"SELECT '{c}' AS feature, {rsql(f'100e0 * count({c}) / count(*)', 'all_rows_available_pct')}, {str(c in WARM).upper()} AS warm_only FROM featured" for c in AVAILABLE),
 )
 def feature_availability(p):
-    return rounded(audits.availability(p.featured, AVAILABLE))
+    return rounded(audits.availability(p.feature_table, AVAILABLE))
 
 
 CORR = ["price_vnd", "days_until_departure", "departure_minute", "temporal_market_median_price", "previous_price_same_schedule"]
@@ -338,7 +338,7 @@ WHEN c IS NOT NULL THEN 'DISTINCT' ELSE 'UNAVAILABLE' END AS review_band FROM ("
     + ")",
 )
 def pearson_pairs(p):
-    return rounded(audits.pearson_pairs(p.featured, CORR), 7)
+    return rounded(audits.pearson_pairs(p.feature_table, CORR), 7)
 
 
 SPEAR = ["price_vnd", "days_until_departure", "temporal_market_median_price", "previous_price_same_schedule"]
@@ -355,7 +355,7 @@ RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e
     ),
 )
 def spearman_pairs(p):
-    return rounded(audits.spearman_pairs(p.featured, SPEAR), 7)
+    return rounded(audits.spearman_pairs(p.feature_table, SPEAR), 7)
 
 
 EVENT_FLAG = "CAST(price_vnd - target_price_vnd >= least(CAST(price_vnd AS DOUBLE) * 0.05e0, 50000e0) AS DOUBLE)"
@@ -375,7 +375,7 @@ UNION ALL SELECT 'exact_status', exact_status, CAST(count(*) AS DOUBLE) FROM eve
 )
 def frame_summary(p):
     events = pairs.attach_events(p.exact_pairs, C.EVENT_DEFINITIONS_MIN)
-    return rounded(audits.frame_summary(p.featured, events, registry_frame(p)))
+    return rounded(audits.frame_summary(p.feature_table, events, registry_frame(p)))
 
 
 # --- folds ----------------------------------------------------------------------------------
@@ -414,7 +414,7 @@ count(*) FILTER (previous_schedule_collection_era <> collection_era) AS cross_er
 count(*) FILTER (temporal_market_collection_era <> collection_era) AS cross_era_market FROM featured""",
 )
 def pit_violations(p):
-    return quality.pit_violations(p.featured)
+    return quality.pit_violations(p.feature_table)
 
 
 GATE_PART = """SELECT '{task}' AS task, '{window}' AS training_window, fold, part, count(*) AS rows, max(label_time) AS max_label_time,
@@ -549,7 +549,7 @@ FROM sliced {group}"""
 )
 def slice_metrics(p):
     legal = F.col("previous_price_same_schedule").isNotNull()
-    df = serving.with_bands(p.featured).withColumn(
+    df = serving.with_bands(p.feature_table).withColumn(
         "actual_movement_band", K.movement_band("price_vnd", "previous_price_same_schedule", legal)
     )
     out = audits.slice_metrics(df, SLICES, "price_vnd", "pred_vnd")

@@ -190,7 +190,7 @@ coalesce({band('age', C.ANCHOR_AGE_BANDS)}, 'STALE_GT_48H') AS anchor_age_band,
 CASE WHEN prior_relative_count >= 3 THEN 'WARM' ELSE 'COLD' END AS regime FROM band_input""",
 )
 def support_bands(p):
-    return serving.with_bands(p.featured).select(
+    return serving.with_bands(p.feature_table).select(
         "offer_id", "history_support_band", "anchor_support_band", "anchor_age_band",
         K.right_closed_band("lag_age_hours", C.SESSION_GAP_BANDS).alias("session_gap_band"), "regime",
     )
@@ -235,7 +235,7 @@ FROM (SELECT offer_id, previous_price_same_schedule AS prev, price_vnd / previou
 def movement_band(p):
     legal = F.col("previous_price_same_schedule").isNotNull()
     band_ = K.movement_band("price_vnd", "previous_price_same_schedule", legal)
-    return p.featured.select("offer_id", band_.alias("actual_movement_band"))
+    return p.feature_table.select("offer_id", band_.alias("actual_movement_band"))
 
 
 @query(
@@ -374,7 +374,7 @@ FROM (SELECT *, {next_dud('days_until_departure')} AS t FROM featured)
 WHERE t IS NOT NULL AND session_date = DATE '{CUTOFF}'""",
 )
 def inference_frame(p):
-    return serving.inference_frame(p.featured, CUTOFF).select(
+    return serving.inference_frame(p.feature_table, CUTOFF).select(
         "row_key", "target_dud", "transition", "expected_session_key", "expected_label_date",
         "market_group", "regime", "history_support_band", "price_vnd",
     )

@@ -11,6 +11,7 @@ from farepanel.plans.metrics_q import rounded
 from farepanel.plans.registry import query
 from farepanel.plans.selection_q import split
 from farepanel.operators.pairs import exact_next_pairs
+from farepanel.session import materialise
 from farepanel.sources.panel import FOLDS, with_folds, with_quantiles
 
 LIGHT = {"trees": 5, "depth": 3}
@@ -18,7 +19,8 @@ LIGHT = {"trees": 5, "depth": 3}
 
 def raw_scores(p):
     """Fold rows with a raw score, the logit of the stand-in probability."""
-    return p.scored.withColumn("raw", calibration.logit(F.col("p_drop")))
+    columns = ["offer_id", "fold_set", "drop_5pct", calibration.logit(F.col("p_drop")).alias("raw")]
+    return materialise(p.scored.select(*columns), "scores")
 
 
 def head_and_rest(df):
@@ -58,9 +60,9 @@ def calibration_choice_p(p):
 
 
 def model_frame(p):
-    """Exact pairs with strictly prior features, inside the fold calendar."""
-    frame = with_quantiles(with_folds(exact_next_pairs(p.featured), FOLDS, "session_date"))
-    return frame.where(F.col("fold").isNotNull())
+    """Exact pairs with strictly prior features, inside the fold calendar, written once for the iterative fits."""
+    frame = with_quantiles(with_folds(exact_next_pairs(p.feature_table), FOLDS, "session_date"))
+    return materialise(frame.where(F.col("fold").isNotNull()), "frame")
 
 
 @query("train_drop_classifier")
@@ -110,7 +112,7 @@ def rank_scores(p):
 
 @query("candidate_grid")
 def candidate_grid(p):
-    frame = splits.outer_split(exact_next_pairs(p.featured), FOLDS)
+    frame = materialise(splits.outer_split(exact_next_pairs(p.feature_table), FOLDS), "split")
     candidates = {"GBT_D3": {"trees": 3, "depth": 3}, "LOGISTIC": {"family": "LOGISTIC"}}
     return rounded(models.candidate_grid(frame, "drop_5pct", candidates, ["F2", "F4"], [17]), 4)
 

@@ -325,7 +325,7 @@ CATEGORICAL = ("route", "airline", "session_label")
 
 def encoder_rows(p):
     cut = F.lit("2026-05-03").cast("date")
-    return p.featured.where(F.col("session_date") < cut), p.featured.where(F.col("session_date") >= cut)
+    return p.feature_table.where(F.col("session_date") < cut), p.feature_table.where(F.col("session_date") >= cut)
 
 
 ENC = " UNION ALL ".join(

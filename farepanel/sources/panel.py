@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from farepanel import config as C
 from farepanel.functions import columns as K
-from farepanel.operators import history, market, pairs, quality
+from farepanel.operators import history, market, pairs
+from farepanel.session import materialise
 
 EPOCH = "2026-05-01"
 ERA_SWITCH = "2026-04-20"
@@ -31,8 +32,15 @@ FOLDS = (
 BLOCKS = (("TEST_1", "2026-05-03", "2026-05-13"), ("TEST_2", "2026-05-14", "2026-05-24"))
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Panel:
-    """Lazy tables of one data folder; nothing is read before a query is collected."""
+    """Tables of one data folder.
+
+    Two stages are written to the shared folder once per application and read by everything after
+    them: the standard offers and the featured offers. All other tables are lazy plans.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -40,6 +48,12 @@ class Panel:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            _STORED[key] = materialise(build(), name)
+        return _STORED[key]
+
     @cached_property
     def slots(self) -> DataFrame:
         order, customer = F.col("o_orderkey"), F.col("o_custkey")
@@ -69,6 +83,16 @@ class Panel:
 
     @cached_property
     def offers(self) -> DataFrame:
+        """Standard offers table, clustered by session date so that date filters skip row groups."""
+        return self.stored("offers", lambda: self.derived_offers.repartitionByRange("session_date"))
+
+    @cached_property
+    def feature_table(self) -> DataFrame:
+        """Featured offers table for the consumers of the feature chain."""
+        return self.stored("featured", lambda: self.featured)
+
+    @cached_property
+    def derived_offers(self) -> DataFrame:
         """Standard offers: one row per (batch, slot)."""
         k, dud, pm = F.col("k"), F.col("dud"), F.col("pm")
         epoch = F.lit(EPOCH).cast("date")
