@@ -170,16 +170,24 @@ def horizon_coverage(pairs: DataFrame, cutoff: str) -> DataFrame:
             "stable_pct": pct(n - F.col("wait_rows") - F.col("rise_rows"), n),
         }
     )
-    parts = [
-        exact_quantiles(pairs, keys, "change_vnd", {"median_change_vnd": 0.5}),
-        exact_quantiles(pairs.withColumn("saving", -F.col("change_vnd")).where(wait), keys, "saving",
-                        {"median_wait_savings_vnd": 0.5, "p90_wait_savings_vnd": 0.9}),
-        exact_quantiles(pairs.where(rise), keys, "change_vnd", {"median_rise_cost_vnd": 0.5, "p90_rise_cost_vnd": 0.9}),
-        exact_quantiles(pairs.withColumn("c", F.col("change_pct") * F.lit(100.0)), keys, "c", {"median_change_pct": 0.5}),
-    ]
-    for part in parts:
-        base = base.join(part, keys, "left")
-    return base
+    # every measured value travels once, tagged by its kind, so the pairs are joined once for all quantiles
+    kinds = {
+        "change_vnd": (F.col("change_vnd").cast("double"), {"median": 0.5}),
+        "change_pct": (F.col("change_pct") * F.lit(100.0), {"median": 0.5}),
+        "wait_savings_vnd": (F.when(wait, -F.col("change_vnd")).cast("double"), {"median": 0.5, "p90": 0.9}),
+        "rise_cost_vnd": (F.when(rise, F.col("change_vnd")).cast("double"), {"median": 0.5, "p90": 0.9}),
+    }
+    values = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, (v, _) in kinds.items()])
+    long = pairs.where(seen).select(*keys, F.explode(values).alias("m")).select(*keys, "m.*")
+    table = exact_quantiles(long, [*keys, "kind"], "v", {"median": 0.5, "p90": 0.9})
+    wide = table.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("kind") == k, F.col(q))).alias(f"{q}_{k}")
+            for k, (_, probs) in kinds.items()
+            for q in probs
+        ]
+    )
+    return base.join(wide, keys, "left")
 
 
 def oracle_rows(offers: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -12,9 +12,15 @@ from farepanel.plans.panel_views import CHANGE, MARKET_LAGS, band, hours
 from farepanel.plans.registry import query, view
 
 
-def r(column: str, digits: int = 9):
+# Slopes are ratios of integers and often lie exactly between two decimals, where engines round
+# apart; both sides are shifted off those halves by the same amount.
+OFF_HALF = 1.7e-5
+
+
+def r(column: str, digits: int = 9, shift: float = 0.0):
     """Rounded without a negative zero."""
-    return (F.round(column, digits) + 0.0).alias(column)
+    value = F.col(column) + shift if shift else F.col(column)
+    return (F.round(value, digits) + 0.0).alias(column)
 
 
 @query("batch_feature_time", "SELECT offer_id, feature_time, batch_offer_count FROM timed")
@@ -90,9 +96,9 @@ def prior_volatility(p):
     return era_history(p).select("offer_id", r("prior_price_volatility_vnd", 3))
 
 
-@query("prior_trend", "SELECT offer_id, round(slope, 3) + 0e0 AS prior_price_trend_vnd_per_dud_day FROM era_history")
+@query("prior_trend", "SELECT offer_id, round(slope + 1.7e-5, 3) + 0e0 AS prior_price_trend_vnd_per_dud_day FROM era_history")
 def prior_trend(p):
-    return era_history(p).select("offer_id", r("prior_price_trend_vnd_per_dud_day", 3))
+    return era_history(p).select("offer_id", r("prior_price_trend_vnd_per_dud_day", 3, OFF_HALF))
 
 
 REL = "PARTITION BY collection_era, schedule_slot_id ORDER BY feature_time, session_key"
@@ -136,14 +142,14 @@ def relative_history(p):
     "schedule_history_cross_era",
     """SELECT offer_id, CAST(prior_observation_count AS INTEGER) AS prior_observation_count, previous_price_same_schedule,
 previous_schedule_collection_era, round(prior_price_volatility_vnd, 3) + 0e0 AS prior_price_volatility_vnd,
-round(prior_price_trend_vnd_per_dud_day, 3) + 0e0 AS prior_price_trend_vnd_per_dud_day, prior_relative_count,
+round(prior_price_trend_vnd_per_dud_day + 1.7e-5, 3) + 0e0 AS prior_price_trend_vnd_per_dud_day, prior_relative_count,
 round(prior_relative_volatility, 7) + 0e0 AS prior_relative_volatility,
 round(prior_relative_trend_per_dud_day, 7) + 0e0 AS prior_relative_trend_per_dud_day FROM featured""",
 )
 def schedule_history_cross_era(p):
     return p.featured.select(
         "offer_id", "prior_observation_count", "previous_price_same_schedule", "previous_schedule_collection_era",
-        r("prior_price_volatility_vnd", 3), r("prior_price_trend_vnd_per_dud_day", 3), "prior_relative_count",
+        r("prior_price_volatility_vnd", 3), r("prior_price_trend_vnd_per_dud_day", 3, OFF_HALF), "prior_relative_count",
         r("prior_relative_volatility", 7), r("prior_relative_trend_per_dud_day", 7),
     )
 

