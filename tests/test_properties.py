@@ -23,7 +23,7 @@ def features(df):
 def test_future_prices_never_change_earlier_features(panel):
     cut = F.lit("2026-04-25").cast("date")
     changed = panel.offers.withColumn("price_vnd", F.when(F.col("session_date") >= cut, F.col("price_vnd") * 3).otherwise(F.col("price_vnd")))
-    early = {r.offer_id for r in panel.offers.where(F.col("session_date") <= cut).select("offer_id").collect()}
+    early = {r.offer_id for r in panel.offers.where(F.col("session_date") < cut).select("offer_id").collect()}
     a, b = features(panel.offers), features(changed)
     assert all(a[i] == b[i] for i in early)
     assert any(a[i] != b[i] for i in a)
@@ -83,7 +83,6 @@ def test_dynamic_overwrite_keeps_other_partitions(spark, tmp_path):
 def test_stream_history_for_any_micro_batches(spark, panel, tmp_path, cuts):
     keep = ["schedule_slot_id", "offer_id", "feature_time", "session_key", "price_vnd", "days_until_departure"]
     df = panel.timed.select(*keep)
-    low, high = 41_000, 41_300
     keys = [r[0] for r in df.select("session_key").distinct().orderBy("session_key").collect()]
     bounds = [keys[len(keys) * i // cuts] for i in range(cuts)] + [keys[-1] + 1]
     path = str(tmp_path / "in")
