@@ -156,8 +156,10 @@ def coverage_matrix(df: DataFrame, first: str, last: str, windows=C.BOOKING_WIND
     ).withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 
-def validate_batches(df: DataFrame, windows=C.BOOKING_WINDOWS, routes=20, airlines=C.AIRLINES, min_airlines=4):
-    """Store gate for all batches in one grouped aggregate."""
+def validate_batches(
+    df: DataFrame, windows=C.BOOKING_WINDOWS, routes=20, airlines=C.AIRLINES, min_airlines=4, min_windows: int | None = None
+) -> DataFrame:
+    """Store gate for all batches in one grouped aggregate; all windows are required unless told otherwise."""
     slots = df.groupBy("session_date", "session_label", "schedule_slot_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("route").alias("route"),
@@ -177,7 +179,7 @@ def validate_batches(df: DataFrame, windows=C.BOOKING_WINDOWS, routes=20, airlin
         (F.col("routes") == routes)
         & (F.col("airlines") >= min_airlines)
         & (F.col("unknown_airline_slots") == 0)
-        & (F.col("windows") == len(windows))
+        & (F.col("windows") >= (len(windows) if min_windows is None else min_windows))
         & (F.col("duplicate_slots") == 0)
     )
     return grouped.withColumn("status", F.when(ready, "READY").otherwise("FAILED"))

@@ -101,7 +101,7 @@ AIR = ", ".join(f"'{a}'" for a in C.AIRLINES)
 view("raw_sub", "SELECT * FROM raw_offers WHERE session_label = 'PM' UNION ALL SELECT * FROM offers WHERE session_label = 'AM'")
 view(
     "batch_states",
-    f"""SELECT *, CASE WHEN routes = 20 AND airlines >= 4 AND unknown_airline_slots = 0 AND windows = 11 AND duplicate_slots = 0
+    f"""SELECT *, CASE WHEN routes = 20 AND airlines >= 4 AND unknown_airline_slots = 0 AND windows >= 6 AND duplicate_slots = 0
 THEN 'READY' ELSE 'FAILED' END AS status FROM (
 SELECT session_date, session_label, CAST(sum(n) AS BIGINT) AS rows, count(DISTINCT route) AS routes, count(DISTINCT airline) AS airlines,
 count(*) FILTER (airline NOT IN ({AIR})) AS unknown_airline_slots,
@@ -118,7 +118,7 @@ def partial_raw(p):
 
 @query("batch_validation", "SELECT * FROM batch_states")
 def batch_validation(p):
-    return quality.validate_batches(partial_raw(p)).withColumn("windows", F.col("windows").cast("bigint"))
+    return quality.validate_batches(partial_raw(p), min_windows=6).withColumn("windows", F.col("windows").cast("bigint"))
 
 
 @query(
@@ -130,7 +130,7 @@ min(CASE WHEN status = 'READY' THEN session_date END) AS first_ready, max(CASE W
 FROM batch_states""",
 )
 def store_status(p):
-    return quality.store_status(quality.validate_batches(partial_raw(p)))
+    return quality.store_status(quality.validate_batches(partial_raw(p), min_windows=6))
 
 
 @query(
@@ -148,7 +148,7 @@ def registry_upsert(p):
 ORDER BY session_date DESC, session_label DESC LIMIT 1""",
 )
 def latest_ready(p):
-    return quality.latest_ready(quality.validate_batches(partial_raw(p))).select("session_date", "session_label", "rows")
+    return quality.latest_ready(quality.validate_batches(partial_raw(p), min_windows=6)).select("session_date", "session_label", "rows")
 
 
 view(

@@ -96,11 +96,11 @@ def stream_upsert(p):
 
 @query(
     "stream_completeness",
-    """SELECT session_date, session_label, CASE WHEN routes = 20 AND airlines >= 4 AND windows = 11 THEN 'READY' ELSE 'FAILED' END AS status, rows FROM (
+    """SELECT session_date, session_label, CASE WHEN routes = 20 AND airlines >= 4 AND windows >= 6 THEN 'READY' ELSE 'FAILED' END AS status, rows FROM (
 SELECT session_date, session_label, count(*) AS rows, count(DISTINCT route) AS routes, count(DISTINCT airline) AS airlines, count(DISTINCT days_until_departure) AS windows FROM completed GROUP BY ALL)""",
 )
 def stream_completeness(p):
-    _, ledger, _ = store(p, quality.validate_batches, twice=False)
+    _, ledger, _ = store(p, lambda df: quality.validate_batches(df, min_windows=6), twice=False)
     return ingest.ledger_state(p.spark, ledger).select("session_date", "session_label", "status", "rows")
 
 
