@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from farepanel import config as C
 from farepanel.functions import columns as K
-from farepanel.operators.scale import attach, exact_quantiles, histogram, join_on
+from farepanel.operators.scale import exact_quantiles, histogram, join_on
 
 MARKET_KEYS = ("route", "airline", "days_until_departure")
 
@@ -30,12 +30,19 @@ LEGACY_LEVELS = {
 }
 
 
-def batch_feature_time(df: DataFrame, batch: str = "session_key") -> DataFrame:
+def batch_times(df: DataFrame, batch: str = "session_key") -> DataFrame:
+    """Completion time and size of every batch: two rows per calendar day."""
+    return df.groupBy(batch).agg(F.max("scraped_at").alias("feature_time"), F.count(F.lit(1)).alias("batch_offer_count"))
+
+
+def batch_feature_time(df: DataFrame, batch: str = "session_key", batches: DataFrame | None = None) -> DataFrame:
     """Batch completion time and size on every row.
 
-    The batch table has two rows per calendar day, so adaptive execution broadcasts it by its measured size.
+    Pass ``batches`` as a written table: its file size is known when the join is planned, so a small
+    one is broadcast below the session's threshold and the offers are not shuffled; a large one falls
+    back to a shuffled join.
     """
-    return attach(df, [batch], F.max("scraped_at").alias("feature_time"), F.count(F.lit(1)).alias("batch_offer_count"))
+    return join_on(df, batch_times(df, batch) if batches is None else batches, [batch], "left")
 
 
 def modal_value(df: DataFrame, keys: Sequence[str], column: str, name: str = "modal") -> DataFrame:

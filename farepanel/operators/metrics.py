@@ -150,31 +150,39 @@ def ndcg(df: DataFrame, score: str, price: str, query: str = "query_id", tie: st
 
 
 def concordance(
-    df: DataFrame, score: str, price: str, query: str = "query_id", empty: float | None = 0.5
+    df: DataFrame, score: str, price: str, query: str = "query_id", empty: float | None = 0.5, window_rows: int = 100_000
 ) -> DataFrame:
     """Share of pairs with different prices whose cheaper row scores strictly higher, per query.
 
     No pair is ever formed. Scores become integer ranks; two different ranks first differ at exactly
     one binary digit, and at that digit the pair is counted from running totals over price inside the
-    rows that share the higher digits. Work is rows times the logarithm of the query size, and every
-    running total is spread by price. ``empty`` is the value of a query without informative pairs;
+    rows that share the higher digits. Work is rows times the logarithm of the query size. Queries of
+    at most ``window_rows`` rows use a plain window, larger ones totals spread by price; the results are
+    the same. ``empty`` is the value of a query without informative pairs;
     None leaves such queries out.
     """
     ranked = with_rank(df.select(query, score, price), [query], score, "__s").where(F.col("__sn") >= 2)
     code = F.col("__sbefore")
     top = F.length(F.bin(F.col("__sn") - 1)) - 1
     digit = F.explode(F.sequence(F.lit(0), top))
-    long = ranked.select(query, price, code.alias("__code"), digit.alias("__level"))
+    long = ranked.select(query, price, "__sn", code.alias("__code"), digit.alias("__level"))
     long = long.select(
         query,
         price,
+        "__sn",
         "__level",
         F.expr("shiftright(__code, __level + 1)").alias("__prefix"),
         F.expr("shiftright(__code, __level) & 1").alias("__one"),
     )
     keys = [query, "__level", "__prefix"]
-    hist = histogram(long, keys, price, ones=F.col("__one"), zeros=1 - F.col("__one"))
-    totals = running_totals(hist, keys, price, ["ones"])
+    hist = histogram(long, [*keys, "__sn"], price, ones=F.col("__one"), zeros=1 - F.col("__one"))
+    cheaper = Window.partitionBy(*keys).orderBy(price).rowsBetween(Window.unboundedPreceding, -1)
+    bounded = hist.where(F.col("__sn") <= window_rows).withColumn(
+        "ones_before", F.coalesce(F.sum("ones").over(cheaper), F.lit(0))
+    )
+    spread = running_totals(hist.where(F.col("__sn") > window_rows), keys, price, ["ones"])
+    columns = [query, "zeros", "ones_before"]
+    totals = bounded.select(*columns).unionByName(spread.select(*columns))
     # a cheaper row (smaller price) with the one digit has the higher score
     right = totals.groupBy(query).agg(F.sum(F.col("zeros") * F.col("ones_before")).alias("__right"))
     sizes = histogram(ranked, [query], price).groupBy(query).agg(

@@ -35,6 +35,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         context.setCheckpointDir(root)
         return root
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="farepanel-checkpoint-", dir="/tmp"))
     return context.getCheckpointDir()
 

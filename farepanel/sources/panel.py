@@ -38,8 +38,9 @@ _STORED: dict[tuple[str, str, str], DataFrame] = {}
 class Panel:
     """Tables of one data folder.
 
-    Two stages are written to the shared folder once per application and read by everything after
-    them: the standard offers and the featured offers. All other tables are lazy plans.
+    Three stages are written to the shared folder once per application and read by everything after
+    them: the standard offers, the batch calendar and the featured offers. All other tables are lazy
+    plans.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -179,7 +180,9 @@ class Panel:
 
     @cached_property
     def timed(self) -> DataFrame:
-        return market.batch_feature_time(self.offers)
+        """Offers with their batch completion time; the batch calendar is a written table."""
+        batches = self.stored("batches", lambda: market.batch_times(self.offers).coalesce(1))
+        return market.batch_feature_time(self.offers, batches=batches)
 
     @cached_property
     def anchored(self) -> DataFrame:
