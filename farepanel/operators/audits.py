@@ -13,7 +13,7 @@ from farepanel.functions import columns as K
 from farepanel.operators import metrics
 from farepanel.operators.history import rolling_median
 from farepanel.operators.scale import (
-    average_rank, exact_quantiles, histogram, join_on, with_rank, with_scalars,
+    average_rank, exact_quantiles, join_on, with_rank, with_scalars,
 )
 
 def pct(a: Column, b: Column) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farepanel import config as C
 from farepanel.functions import columns as K
-from farepanel.operators.scale import attach, join_on, with_scalars
+from farepanel.operators.scale import attach, with_scalars
 
 RAW_TYPES = {
     "scraped_at": "timestamp_ntz",

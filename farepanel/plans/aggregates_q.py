@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from farepanel import config as C
 from farepanel.functions import columns as K
-from farepanel.operators import market, quality, rates, selection, serving
+from farepanel.operators import market, quality, rates
 from farepanel.plans.columns_q import tier_input
-from farepanel.plans.panel_views import ROUTES, band
+from farepanel.plans.panel_views import band
 from farepanel.plans.registry import query, view
-from farepanel.sources.panel import CUTOFF
 
 IDENT = ", ".join(quality.IDENTITY)
 

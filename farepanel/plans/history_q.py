@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from farepanel import config as C
-from farepanel.functions import columns as K
 from farepanel.operators import history, market, splits
 from farepanel.operators.scale import average_rank, with_rank
 from farepanel.plans.panel_views import CHANGE, MARKET_LAGS, band, hours

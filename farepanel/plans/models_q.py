@@ -9,7 +9,6 @@ from farepanel.operators import calibration, market, metrics, models, serving, s
 from farepanel.plans.aggregates_q import with_period
 from farepanel.plans.metrics_q import rounded
 from farepanel.plans.registry import query
-from farepanel.plans.selection_q import split
 from farepanel.operators.pairs import exact_next_pairs
 from farepanel.session import materialise
 from farepanel.sources.panel import FOLDS, with_folds, with_quantiles

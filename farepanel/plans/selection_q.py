@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from farepanel import config as C
-from farepanel.functions import columns as K
 from farepanel.operators import quality, selection, serving, splits
 from farepanel.plans.history_q import r
 from farepanel.plans.panel_views import band
