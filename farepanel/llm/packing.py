@@ -10,8 +10,9 @@ partition continues where the one before it stopped, without talking to it.
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
-import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -46,22 +47,22 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Ids of words between blanks, remembered for words and for their stems without closing marks. Ids are kept
-    as little-endian 32-bit bytes, so that those of a text are one join."""
+    """Ids of words between blanks, remembered for words and, longer, for their stems without closing marks. Ids are
+    kept as little-endian bytes, so that those of a text are one join."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.added = load_tokenizer(path)
+        self.code = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind = "H" if self.code == "<u2" else "I"
         self.letters = byte_letters()
-        self.words, self.stems = WordCache(), WordCache(200_000)
+        self.words, self.stems = WordCache(200_000), WordCache(800_000)
 
     def encode(self, piece: str) -> bytes:
-        """Ids of one piece: letters in normal form are a single unit for the merges, all else is encoded whole."""
-        if piece.isalpha() and (piece.isascii() or unicodedata.is_normalized("NFC", piece)):
+        """Ids of one piece: lower letters in normal form are one unit for the merges, all else is encoded whole."""
+        if piece.isalpha() and piece == piece.lower() and (piece.isascii() or unicodedata.is_normalized("NFC", piece)):
             units = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.tokenizer.model.tokenize(units)]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+            return pack_ids(self.kind, [t.id for t in self.tokenizer.model.tokenize(units)])
+        return pack_ids(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def stem(self, piece: str) -> bytes:
         found = self.stems.new.get(piece)
@@ -78,7 +79,7 @@ class WordIds:
         found = self.words.older(word)
         if found is None:
             stem = word.rstrip(MARKS)
-            if stem and len(stem) < len(word) and stem[-1].isalpha():
+            if stem and len(stem) < len(word) and stem[-1].lower().isalpha():
                 found = self.stem(stem) + self.stem(word[len(stem) :])
             else:
                 found = self.stem(word)
@@ -86,55 +87,62 @@ class WordIds:
             self.words.put(word, found)
         return found
 
-    def text(self, text: str | None) -> np.ndarray:
+    def text(self, text: str | None) -> bytes:
         """Ids as ``encode(text, add_special_tokens=False)`` gives them; a text with an added token's string, or with
         white space on which Python and the tokenizer disagree, is encoded whole."""
         if not text:
-            return np.empty(0, np.int32)
+            return b""
         if any(a in text for a in self.added) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+            return pack_ids(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids)
         # the tokenizer lowers letters one by one, Python the final sigma by its place
         words = (text if "\u03a3" in text else text.lower()).split()
         found = list(map(self.words.new.get, words))
         if None in found:
             found = [self.word(w) if x is None else x for w, x in zip(words, found)]
-        return np.frombuffer(b"".join(found), "<i4")
+        return b"".join(found)
+
+
+def pack_ids(kind: str, ids: list[int]) -> bytes:
+    out = array(kind, ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
 
 
 _WORDS: dict[str, WordIds] = {}
 
 
-def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
+def remembered(path: str) -> WordIds:
     if path not in _WORDS:
         _WORDS[path] = WordIds(path)
-    return [_WORDS[path].text(t) for t in texts]
+    return _WORDS[path]
+
+
+def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
+    words = remembered(path)
+    return [np.frombuffer(words.text(t), words.code) for t in texts]
 
 
 def tokenised(df: DataFrame, path: str, doc_id: str, text: str, source: str) -> DataFrame:
-    """(part, source, before, doc_id, n, ids): ids of every row, and the tokens of its source that precede it in its
-    input partition. Nothing is shuffled."""
+    """(part, source, before, doc_id, n, ids): ids of every row as little-endian bytes, two per id if the vocabulary
+    allows, and the tokens of its source that precede it in its input partition. Nothing is shuffled."""
 
     def run(batches):
-        part, sums = TaskContext.get().partitionId(), {}
+        part, sums, words = TaskContext.get().partitionId(), {}, remembered(path)
+        end = pack_ids(words.kind, [END_ID])
         for batch in slices(batches, "text", 2 << 20):
-            names, texts = batch.column("source").to_pylist(), batch.column("text").to_pylist()
-            ids = [np.append(x, np.int32(END_ID)) for x in token_ids(texts, path)]
-            before = []
-            for name, x in zip(names, ids):
+            ids = [words.text(t) + end for t in batch.column("text").to_pylist()]
+            lengths, before = [len(x) // len(end) for x in ids], []
+            for name, n in zip(batch.column("source").to_pylist(), lengths):
                 before.append(sums.get(name, 0))
-                sums[name] = before[-1] + len(x)
-            lengths = [len(x) for x in ids]
-            offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+                sums[name] = before[-1] + n
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part] * len(ids), pa.int32()), batch.column("source"), pa.array(before, pa.int64()), batch.column("doc_id"),
-                    pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(ids)),
-                ],
+                [pa.array([part] * len(ids), pa.int32()), batch.column("source"), pa.array(before, pa.int64()), batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
                 names=["part", "source", "before", "doc_id", "n", "ids"],
-            )
+            )
 
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{source}`").cast("string").alias("source"))
-    return rows.mapInArrow(run, "part int, source string, before long, doc_id long, n long, ids array<int>")
+    return rows.mapInArrow(run, "part int, source string, before long, doc_id long, n long, ids binary")
 
 
 class Mixture:
@@ -180,7 +188,7 @@ def cut_pieces(
 ) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, queue, at): the pieces of all windows; ``at`` is the place in the queue.
 
-    A document is its ids and one end id; null and empty texts are the end id alone. Every window but the last has
+    ``ids`` are little-endian unsigned 32-bit integers. A document is its ids and one end id; null and empty texts are the end id alone. Every window but the last has
     exactly ``length`` tokens, so only the last is padded. ``weights`` gives target shares by source (missing ones
     count 1); by default they are the sources' shares of all tokens, so that all queues end together; a queue that
     ends early leaves its share to the others. The largest ``queues`` sources have queues of their own, all others
@@ -207,12 +215,13 @@ def cut_pieces(
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 queue, at, n = (part.column(c).to_numpy().astype(np.int64) for c in ("queue", "at", "n"))
                 run, window, start, size = mixture.pieces(queue, at, n, length)
-                values, begins = part.column("ids").values.to_numpy(), part.column("ids").offsets.to_numpy()
-                pieces = [values[a : a + k] for a, k in zip((begins[run] + start).tolist(), size.tolist())]
-                row, edges = pa.array(run), np.r_[0, np.cumsum(size)].astype(np.int32)
+                blobs = part.column("ids").to_pylist()
+                values = [np.frombuffer(b, f"<u{len(b) // k}") for b, k in zip(blobs, n.tolist())]
+                pieces = [values[i][a : a + k].astype("<u4").tobytes() for i, a, k in zip(run.tolist(), start.tolist(), size.tolist())]
+                row = pa.array(run)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").take(row), pa.array(start), pa.array(size), pa.ListArray.from_arrays(edges, np.concatenate(pieces)),
+                        part.column("doc_id").take(row), pa.array(start), pa.array(size), pa.array(pieces, pa.binary()),
                         part.column("n").take(row), pa.array(window), part.column("queue").take(row), pa.array(at[run] + start),
                     ],
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "queue", "at"],
@@ -220,17 +229,7 @@ def cut_pieces(
 
     placed = rows.join(offsets, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     placed = placed.select("doc_id", "n", "ids", "queue", (F.col("first") + F.col("before")).alias("at"))
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, queue int, at long")
-
-
-def crc32(ids: str = "ids"):
-    """Unsigned CRC-32 of an id array as little-endian unsigned 32-bit integers."""
-
-    @F.pandas_udf("long")
-    def of(column):
-        return column.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes()))
-
-    return of(F.col(ids))
+    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, queue int, at long")
 
 
 def with_offsets(pieces: DataFrame) -> DataFrame:

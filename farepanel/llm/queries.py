@@ -47,7 +47,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    digests = pieces.withColumn("ids_crc32", packing.crc32("ids")).drop("ids")
+    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.with_offsets(digests).drop("queue", "at")
 
 
