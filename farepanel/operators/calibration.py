@@ -136,6 +136,12 @@ def apply_isotonic(model, df: DataFrame, raw: str, name: str) -> DataFrame:
     return out.withColumn(name, F.greatest(F.least(F.col("prediction"), F.lit(1.0)), F.lit(0.0))).drop("__x", "prediction")
 
 
+def isotonic_allowed(head: DataFrame, y: str, rows: int = 200, rarer: int = 30) -> bool:
+    """Whether a head has enough rows, and enough of its rarer class, for a monotone map."""
+    n, positive = head.agg(F.count(F.lit(1)), F.count_if(F.col(y) == 1)).first()
+    return n >= rows and min(positive, n - positive) >= rarer
+
+
 RECIPES = ("SIGMOID", "PLATT", "BETA", "ISOTONIC")
 
 
@@ -144,6 +150,8 @@ def with_probability_recipes(head: DataFrame, df: DataFrame, y: str, raw: str) -
     out = df.withColumn("p_sigmoid", sigmoid(F.col(raw)))
     for kind in ("PLATT", "BETA"):
         out = apply_logistic(fit_logistic(head, y, raw, kind), out, raw, kind, f"p_{kind.lower()}")
+    if not isotonic_allowed(head, y):
+        return out
     return apply_isotonic(fit_isotonic(head, y, raw), out, raw, "p_isotonic")
 
 

@@ -150,42 +150,38 @@ def ndcg(df: DataFrame, score: str, price: str, query: str = "query_id", tie: st
 
 
 def concordance(
-    df: DataFrame, score: str, price: str, query: str = "query_id", empty: float | None = 0.5, window_rows: int = 100_000
+    df: DataFrame, score: str, price: str, query: str = "query_id", empty: float | None = 0.5
 ) -> DataFrame:
     """Share of pairs with different prices whose cheaper row scores strictly higher, per query.
 
     No pair is ever formed. Scores become integer ranks; two different ranks first differ at exactly
     one binary digit, and at that digit the pair is counted from running totals over price inside the
-    rows that share the higher digits. Work is rows times the logarithm of the query size. Queries of
-    at most ``window_rows`` rows use a plain window, larger ones totals spread by price; the results are
-    the same. ``empty`` is the value of a query without informative pairs;
-    None leaves such queries out.
+    rows that share the higher digits. Work is rows times the logarithm of the query size. ``empty`` is
+    the value of a query without informative pairs; None leaves such queries out.
     """
-    ranked = with_rank(df.select(query, score, price), [query], score, "__s").where(F.col("__sn") >= 2)
+    cells = df.where(F.col(score).isNotNull()).groupBy(query, score, price).agg(F.count(F.lit(1)).alias("__c"))
+    scores = running_totals(histogram(cells, [query], score, n=F.col("__c")), [query], score, ["n"])
+    scores = scores.select(query, score, F.col("n_before").alias("__sbefore"), F.col("n_total").alias("__sn"))
+    # one row per distinct (query, score, price) from here on
+    ranked = join_on(cells, scores, [query, score]).where(F.col("__sn") >= 2)
     code = F.col("__sbefore")
     top = F.length(F.bin(F.col("__sn") - 1)) - 1
     digit = F.explode(F.sequence(F.lit(0), top))
-    long = ranked.select(query, price, "__sn", code.alias("__code"), digit.alias("__level"))
+    long = ranked.select(query, price, "__c", code.alias("__code"), digit.alias("__level"))
     long = long.select(
         query,
         price,
-        "__sn",
+        "__c",
         "__level",
         F.expr("shiftright(__code, __level + 1)").alias("__prefix"),
         F.expr("shiftright(__code, __level) & 1").alias("__one"),
     )
     keys = [query, "__level", "__prefix"]
-    hist = histogram(long, [*keys, "__sn"], price, ones=F.col("__one"), zeros=1 - F.col("__one"))
-    cheaper = Window.partitionBy(*keys).orderBy(price).rowsBetween(Window.unboundedPreceding, -1)
-    bounded = hist.where(F.col("__sn") <= window_rows).withColumn(
-        "ones_before", F.coalesce(F.sum("ones").over(cheaper), F.lit(0))
-    )
-    spread = running_totals(hist.where(F.col("__sn") > window_rows), keys, price, ["ones"])
-    columns = [query, "zeros", "ones_before"]
-    totals = bounded.select(*columns).unionByName(spread.select(*columns))
+    hist = histogram(long, keys, price, ones=F.col("__one") * F.col("__c"), zeros=(1 - F.col("__one")) * F.col("__c"))
+    totals = running_totals(hist, keys, price, ["ones"])
     # a cheaper row (smaller price) with the one digit has the higher score
     right = totals.groupBy(query).agg(F.sum(F.col("zeros") * F.col("ones_before")).alias("__right"))
-    sizes = histogram(ranked, [query], price).groupBy(query).agg(
+    sizes = histogram(ranked, [query], price, n=F.col("__c")).groupBy(query).agg(
         F.sum("n").alias("__n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("__tied")
     )
     pairs = F.col("__n") * (F.col("__n") - 1) / 2 - F.col("__tied")
@@ -322,21 +318,21 @@ def relative_skill(table: DataFrame, model: str, base: str, by: Sequence[str], r
 
 
 def release_gates(metrics: DataFrame) -> DataFrame:
-    """Ten boolean gates over one row of pooled metrics."""
+    """Ten boolean gates over one row of pooled metrics and audit counts; a model may equal its baseline."""
     c = F.col
     gates = {
-        "class_beats_base": c("proper_score") < c("base_proper_score"),
-        "class_calibrated": c("ece15") <= 0.10,
-        "class_ranks": c("auc") > 0.5,
-        "point_beats_base": c("mape") < c("base_mape"),
-        "point_r2_positive": c("r2") > 0,
-        "wis_beats_base": c("wis") < c("base_wis"),
-        "coverage80_close": F.abs(c("coverage80") - 0.80) <= 0.10,
-        "coverage90_close": F.abs(c("coverage90") - 0.90) <= 0.10,
-        "policy_not_worse_than_buy": c("mean_regret") <= c("buy_all_regret"),
-        "policy_not_worse_than_wait": c("mean_regret") <= c("wait_all_regret"),
+        "both_blocks_pass": c("failed_blocks") == 0,
+        "proper_score_beats_prior": c("proper_score") <= c("base_proper_score"),
+        "mape_beats_anchor": c("mape") <= c("base_mape"),
+        "wis_beats_empirical": c("wis") <= c("base_wis"),
+        "quantiles_coherent": c("crossing_rate") == 0.0,
+        "ndcg5_beats_anchor": c("ndcg5") >= c("base_ndcg5"),
+        "regret_beats_buy_all": c("mean_regret") <= c("buy_all_regret"),
+        "cvar_close_to_buy_all": c("cvar95_regret") <= c("buy_all_cvar95") * 1.05 + 1.0,
+        "recipe_unchanged": c("recipes") == 1,
+        "blocks_disjoint": (c("row_overlap") == 0) & (c("query_overlap") == 0),
     }
-    out = metrics.select(*[gate.alias(name) for name, gate in gates.items()])
+    out = metrics.select(*[F.coalesce(gate, F.lit(False)).alias(name) for name, gate in gates.items()])
     passed = sum((F.col(name).cast("int") for name in gates), F.lit(0))
     return out.withColumn("passed", passed)
 
@@ -354,23 +350,52 @@ def blend_probabilities(df: DataFrame, first: str, second: str, incumbent: str,
     return df.withColumn("__x", F.explode(F.array(*structs))).select("*", "__x.*").drop("__x")
 
 
-def recipe_table(long: DataFrame, y: str, p: str = "probability", fold: str = "fold", fold_set: str = "fold_set") -> DataFrame:
-    """Proper score per recipe and fold, then its screen mean, late mean and worst late fold."""
+#: Fixed values per task: primary metric, whether larger is better, tolerance of the late gate.
+TASKS = {
+    "CLASSIFICATION": ("proper_score", False, 0.01),
+    "POINT": ("mape", False, 0.02),
+    "DISTRIBUTION": ("wis", False, 0.03),
+    "RANKING": ("ndcg5", True, 0.01),
+}
+
+
+def recipe_table(folds: DataFrame, task: str, value: str = "score", fold_set: str = "fold_set") -> DataFrame:
+    """Screen and late means, worst folds and selection score per recipe, from one metric value per recipe and fold."""
+    _, maximise, _ = TASKS[task]
+    worst = F.min if maximise else F.max
+    screen, late = (F.when(F.col(fold_set) == s, F.col(value)) for s in ("SCREEN", "LATE"))
+    table = folds.groupBy("recipe").agg(
+        F.avg(screen).alias("screen"),
+        F.avg(late).alias("late"),
+        F.avg(F.when(F.col(fold_set).isin("SCREEN", "LATE"), F.col(value))).alias("all"),
+        worst(screen).alias("screen_worst_fold"),
+        worst(late).alias("late_worst_fold"),
+    )
+    return table.withColumn("selection_score", -F.col("screen") if maximise else F.col("screen"))
+
+
+def proper_scores(long: DataFrame, y: str, p: str = "probability", by: Sequence[str] = ("recipe", "fold_set", "fold")) -> DataFrame:
+    """Log loss plus Brier score per recipe and fold."""
     prob = clip_probability(p)
     score = F.avg(log_loss(y, prob)) + F.avg(F.pow(prob - F.col(y), 2))
-    folds = long.groupBy("recipe", fold_set, fold).agg(score.alias("score"))
-    late = F.when(F.col(fold_set) == "LATE", F.col("score"))
-    return folds.groupBy("recipe").agg(
-        F.avg(F.when(F.col(fold_set) == "SCREEN", F.col("score"))).alias("screen_mean"),
-        F.avg(late).alias("late_mean"),
-        F.max(late).alias("late_worst"),
-    )
+    return long.groupBy(*by).agg(score.alias("score"))
+
 
+def late_gate(table: DataFrame, task: str, incumbent: str = "INCUMBENT") -> DataFrame:
+    """Whether a recipe's late mean and worst late fold stay within tolerance of the incumbent (one row).
 
-def late_gate(table: DataFrame, incumbent: str = "INCUMBENT", mean_tol: float = 0.001, worst_tol: float = 0.002) -> DataFrame:
-    """Challengers whose late mean and worst fold stay within tolerance of the incumbent (one row)."""
+    The tolerance is absolute where larger is better, relative where smaller is, and half as large again for the
+    worst fold.
+    """
+    _, maximise, tolerance = TASKS[task]
     base = table.where(F.col("recipe") == incumbent).agg(
-        F.max("late_mean").alias("__mean"), F.max("late_worst").alias("__worst")
+        F.max("late").alias("__mean"), F.max("late_worst_fold").alias("__worst")
     )
-    ok = (F.col("late_mean") <= F.col("__mean") + mean_tol) & (F.col("late_worst") <= F.col("__worst") + worst_tol)
-    return with_scalars(table, base).withColumn("late_pass", ok).drop("__mean", "__worst")
+    if maximise:
+        mean = F.col("late") >= F.col("__mean") - tolerance
+        worst = F.col("late_worst_fold") >= F.col("__worst") - tolerance * 1.5
+    else:
+        mean = F.col("late") <= F.col("__mean") * (1.0 + tolerance)
+        worst = F.col("late_worst_fold") <= F.col("__worst") * (1.0 + tolerance * 1.5)
+    out = with_scalars(table, base).withColumns({"pass_mean": mean, "pass_worst_fold": worst, "late_pass": mean & worst})
+    return out.drop("__mean", "__worst")

@@ -223,7 +223,10 @@ def dud1_events(offers: DataFrame, pairs: DataFrame) -> DataFrame:
     """Last-day intraday events, morning sources only."""
     event = pairs.select("offer_id", "target_offer_id", "label_time", "target_price_vnd", "horizon_gap_hours")
     frame = (
-        event.join(offers, "offer_id")
+        _in_time_order(event.join(offers, "offer_id"), "label_time", "intraday")
+        .withColumn("horizon_gap_days", F.lit(0))
+        .withColumn("is_auxiliary_target", F.lit(0))
+        .withColumn("aux_gap_extra_days", F.lit(0))
         .withColumn("transition", F.lit("DUD1_AM->PM"))
         .withColumn("event_source", F.lit("DUD1_INTRADAY_AM_TO_PM"))
         .withColumn("saving_vnd", F.col("price_vnd") - F.col("target_price_vnd"))
@@ -276,6 +279,12 @@ def event_registry(offers: DataFrame, exact: DataFrame, aux: DataFrame, dud1: Da
     return base.withColumn("exact_status", exact_status).withColumn("event_label_status", status)
 
 
+def _in_time_order(df: DataFrame, outcome: str, what: str) -> DataFrame:
+    """The outcome time, or a failure where it is not after the feature time."""
+    late = F.raise_error(F.lit(f"{what} outcome is not after its feature time")).cast("timestamp_ntz")
+    return df.withColumn(outcome, F.when(F.col("feature_time") >= F.col(outcome), late).otherwise(F.col(outcome)))
+
+
 def reobservation(offers: DataFrame, ledger: DataFrame) -> DataFrame:
     """Mature ledger rows with the re-observed flag; the outcome is known the day after the target day."""
     mature = ledger.where(F.col("target_observation_state") != "IMMATURE_RIGHT_CENSORED").select(
@@ -285,7 +294,7 @@ def reobservation(offers: DataFrame, ledger: DataFrame) -> DataFrame:
         (F.col("target_observation_state") == "OBSERVED").cast("int").alias("reobserved"),
         F.date_add("expected_label_date", 1).cast("timestamp_ntz").alias("outcome_time"),
     )
-    return mature.join(offers, "offer_id", "left").where(F.col("feature_time") < F.col("outcome_time"))
+    return _in_time_order(mature.join(offers, "offer_id", "left"), "outcome_time", "reobservation")
 
 
 def event_frame(offers: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -295,9 +304,8 @@ def event_frame(offers: DataFrame, pairs: DataFrame) -> DataFrame:
         "outcome_time", F.col("label_time")
     )
     required = ["feature_time", "outcome_time", "price_vnd", "target_price_vnd", "route", "airline", "transition"]
-    return attach_events(frame.na.drop(subset=required), C.EVENT_DEFINITIONS_MAX).where(
-        F.col("feature_time") < F.col("outcome_time")
-    )
+    complete = _in_time_order(frame.na.drop(subset=required), "outcome_time", "event")
+    return attach_events(complete, C.EVENT_DEFINITIONS_MAX)
 
 
 def cross_source(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

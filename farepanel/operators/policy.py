@@ -145,13 +145,17 @@ def tune_threshold(df: DataFrame, y: str, p: str, drop_floor: float = 0.5, keep_
     ).select("best.*")
 
 
-def wilson_safety(df: DataFrame, by: Sequence[str] = (), z: float = 1.959963984540054, y: str = "drop_5pct", max_unsafe: float = 0.10, min_coverage: float = 0.05) -> DataFrame:
-    """Unsafe-buy share with its Wilson upper bound, and whether bound and coverage pass."""
+def wilson_safety(df: DataFrame, by: Sequence[str] = (), z: float = 1.959963984540054, y: str = "drop_5pct", max_unsafe: float = 0.15, min_buys: float = 0.20, min_recall: float = 0.75) -> DataFrame:
+    """Unsafe-buy share with its Wilson upper bound, and whether bound, buy coverage and recall of waits pass.
+
+    Every row is either a buy or a wait, so the share of rows with an action is one.
+    """
     buy = ~F.col("wait")
     out = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(buy).alias("buys"),
         F.count_if(buy & (F.col(y) == 1)).alias("unsafe_buys"),
+        F.count_if(F.col(y) == 1).alias("__drops"),
     )
     n, share = F.col("buys").cast("double"), F.try_divide(F.col("unsafe_buys").cast("double"), F.col("buys"))
     centre = share + z * z / (2 * n)
@@ -161,8 +165,12 @@ def wilson_safety(df: DataFrame, by: Sequence[str] = (), z: float = 1.9599639845
             "unsafe_rate": share,
             "wilson_upper": F.when(n > 0, (centre + margin) / (1 + z * z / n)),
             "buy_coverage": n / F.col("rows"),
+            "wait_recall": F.try_divide((F.col("__drops") - F.col("unsafe_buys")).cast("double"), F.col("__drops")),
         }
     ).withColumn(
         "safe",
-        F.coalesce((F.col("wilson_upper") <= max_unsafe) & (F.col("buy_coverage") >= min_coverage), F.lit(False)),
-    )
+        F.coalesce(
+            (F.col("wilson_upper") <= max_unsafe) & (F.col("buy_coverage") >= min_buys) & (F.col("wait_recall") >= min_recall),
+            F.lit(False),
+        ),
+    ).drop("__drops")

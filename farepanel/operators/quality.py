@@ -157,32 +157,41 @@ def coverage_matrix(df: DataFrame, first: str, last: str, windows=C.BOOKING_WIND
 
 
 def validate_batches(
-    df: DataFrame, windows=C.BOOKING_WINDOWS, routes=20, airlines=C.AIRLINES, min_airlines=4, min_windows: int | None = None
+    df: DataFrame, windows=C.BOOKING_WINDOWS, routes=20, airlines=C.AIRLINES, min_airlines=4, subset: Column | None = None
 ) -> DataFrame:
-    """Store gate for all batches in one grouped aggregate; all windows are required unless told otherwise."""
+    """Store gate for all batches in one grouped aggregate.
+
+    A batch needs exactly the given windows, all routes, no unknown airline and every known one. ``subset`` marks
+    batches, over their two key columns, that may lack airlines down to ``min_airlines``: declared morning-only ones.
+    Repeated slots are reported and fail nothing.
+    """
     slots = df.groupBy("session_date", "session_label", "schedule_slot_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("route").alias("route"),
         F.min("airline").alias("airline"),
-        F.min("days_until_departure").alias("dud_lo"),
-        F.max("days_until_departure").alias("dud_hi"),
+        F.collect_set("days_until_departure").alias("duds"),
     )
     grouped = slots.groupBy("session_date", "session_label").agg(
         F.sum("n").alias("rows"),
         F.countDistinct("route").alias("routes"),
         F.countDistinct("airline").alias("airlines"),
         F.count_if(~F.col("airline").isin(*airlines)).alias("unknown_airline_slots"),
-        F.size(F.array_union(F.collect_set("dud_lo"), F.collect_set("dud_hi"))).alias("windows"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("duds")))).alias("duds"),
         F.count_if(F.col("n") > 1).alias("duplicate_slots"),
     )
+    enough = F.col("airlines") == len(airlines)
+    if subset is not None:
+        enough = enough | (subset & (F.col("airlines") >= min_airlines))
+    expected = F.array(*[F.lit(w).cast("int") for w in sorted(windows)])
     ready = (
         (F.col("routes") == routes)
-        & (F.col("airlines") >= min_airlines)
+        & enough
         & (F.col("unknown_airline_slots") == 0)
-        & (F.col("windows") >= (len(windows) if min_windows is None else min_windows))
-        & (F.col("duplicate_slots") == 0)
+        & (F.transform("duds", lambda d: d.cast("int")) == expected)
     )
-    return grouped.withColumn("status", F.when(ready, "READY").otherwise("FAILED"))
+    return grouped.withColumn("windows", F.size("duds").cast("bigint")).withColumn(
+        "status", F.when(ready, "READY").otherwise("FAILED")
+    ).drop("duds")
 
 
 def store_status(batches: DataFrame) -> DataFrame:

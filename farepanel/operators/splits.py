@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from farepanel import config as C
 from farepanel.functions import columns as K
 from farepanel.operators.scale import (
-    attach, average_rank, exact_quantiles, join_on, with_rank, with_scalars,
+    average_rank, exact_quantiles, join_on, row_numbers, with_rank, with_scalars,
 )
+from farepanel.session import materialise
 
 
 def fold_rows(df: DataFrame, folds: Sequence[tuple]) -> DataFrame:
@@ -60,10 +61,14 @@ def _tail_date(df: DataFrame, by: Sequence[str], time: str, reserve) -> DataFram
     return ranked.where(F.col("__r") == reserve(F.col("__n"))).select(*by, F.col("__d").cast("timestamp_ntz").alias("origin"))
 
 
+def _too_few(what: str) -> Column:
+    return F.raise_error(F.lit(f"{what}: too few dates")).cast("bigint")
+
+
 def inner_split(train: DataFrame, by: Sequence[str] = ("fold",), mode: str = "CLASSIFICATION") -> DataFrame:
     """FIT and HEAD inside a training set: the last 15 percent of dates are the head, purged by label.
 
-    A group with too few dates yields no rows.
+    A group with too few dates fails the job.
     """
     time = "feature_time" if mode == "CLASSIFICATION" else "label_time"
 
@@ -74,7 +79,7 @@ def inner_split(train: DataFrame, by: Sequence[str] = ("fold",), mode: str = "CL
         else:
             wanted = F.greatest(F.lit(10), F.least(F.lit(21), share))
         kept = F.least(wanted, n - 10)
-        return F.when((n >= 16 if mode == "CLASSIFICATION" else n >= 17), kept)
+        return F.when((n >= 16 if mode == "CLASSIFICATION" else n >= 17), kept).otherwise(_too_few("inner split"))
 
     rows = join_on(train, _tail_date(train, list(by), time, reserve), list(by))
     origin = F.col("origin")
@@ -85,11 +90,14 @@ def inner_split(train: DataFrame, by: Sequence[str] = ("fold",), mode: str = "CL
 
 
 def calibration_split(train: DataFrame, by: Sequence[str] = ("fold",), fraction: float = 0.20, outcome: str = "label_time") -> DataFrame:
-    """FIT and CALIBRATION: the last fifth of the feature dates, at least three, purged by outcome."""
+    """FIT and CALIBRATION: the last fifth of the feature dates, at least three, purged by outcome.
+
+    A group with too few dates fails the job.
+    """
 
     def reserve(n: Column) -> Column:
         count = F.greatest(F.lit(3), F.ceil(n * F.lit(fraction)))
-        return F.when(n > count + 3, count)
+        return F.when(n > count + 3, count).otherwise(_too_few("calibration split"))
 
     rows = join_on(train, _tail_date(train, list(by), "feature_time", reserve), list(by))
     origin = F.col("origin")
@@ -140,57 +148,67 @@ def fold_tags(split: DataFrame) -> DataFrame:
 # --- weights --------------------------------------------------------------------------------
 
 
-def _mean_one(df: DataFrame, weight: str) -> DataFrame:
-    mean = df.agg(F.greatest(F.avg(weight), F.lit(1e-12)).alias("__mean"))
-    return with_scalars(df, mean).withColumn(weight, F.col(weight) / F.col("__mean")).drop("__mean")
+def _weigh(df: DataFrame, cells: DataFrame, keys: Sequence[str], weight: Column, name: str) -> DataFrame:
+    """Join a weight per cell to the rows, scaled to mean one over the rows; ``__c`` counts the rows of a cell.
+
+    The cell table is written once, so the rows are read twice however many steps a weight takes.
+    """
+    raw = cells.withColumn(name, weight)
+    mean = F.greatest(F.try_divide(F.sum(F.col(name) * F.col("__c")), F.sum("__c")), F.lit(1e-12)).alias("__mean")
+    scaled = with_scalars(raw, raw.agg(mean)).withColumn(name, F.col(name) / F.col("__mean"))
+    return join_on(df, scaled.select(*keys, name), keys, "left")
+
+
+def _cells(df: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:
+    table = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"), *[F.sum(x).alias(n) for n, x in sums.items()])
+    return materialise(table, "cells")
+
+
+def _class_weight(cells: DataFrame, y: str) -> DataFrame:
+    """Adds ``__w`` = n / (2 n_class) to a cell table that has the class among its keys."""
+    counts = cells.agg(F.sum("__c").alias("__n"), F.sum(F.when(F.col(y) == 1, F.col("__c")).otherwise(0)).alias("__p"))
+    own = F.when(F.col(y) == 1, F.col("__p")).otherwise(F.col("__n") - F.col("__p"))
+    return with_scalars(cells, counts).withColumn("__w", F.try_divide(F.col("__n").cast("double"), 2 * own))
 
 
 def balanced_weights(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
     """n / (2 n_class), scaled to mean one."""
-    counts = df.agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("bigint")).alias("__p"))
-    own = F.when(F.col(y) == 1, F.col("__p")).otherwise(F.col("__n") - F.col("__p"))
-    out = with_scalars(df, counts).withColumn(name, F.try_divide(F.col("__n").cast("double"), 2 * own)).drop("__n", "__p")
-    return _mean_one(out, name)
+    return _weigh(df, _class_weight(_cells(df, [y]), y), [y], F.col("__w"), name)
 
 
 def cell_weights(df: DataFrame, keys: Sequence[str], name: str = "weight") -> DataFrame:
     """Inverse cell size, scaled to mean one."""
-    out = attach(df, keys, F.count(F.lit(1)).alias("__c")).withColumn(name, F.lit(1.0) / F.col("__c")).drop("__c")
-    return _mean_one(out, name)
+    return _weigh(df, _cells(df, keys), keys, F.lit(1.0) / F.col("__c"), name)
 
 
 def market_weights(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
-    """Class weight times the clipped inverse root of the route count."""
-    out = balanced_weights(df, y, name)
-    out = attach(out, ["route"], F.count(F.lit(1)).alias("__r")).withColumn("__m", F.lit(1.0) / F.sqrt(F.col("__r")))
-    out = _mean_one(out, "__m")
-    clipped = F.greatest(F.least(F.col("__m"), F.lit(3.0)), F.lit(0.35))
-    return _mean_one(out.withColumn(name, F.col(name) * clipped), name).drop("__r", "__m")
+    """Class weight times the clipped inverse root of the route count, itself scaled to mean one."""
+    cells = _class_weight(_cells(df, [y, "route"]), y)
+    routes = cells.groupBy("route").agg((F.lit(1.0) / F.sqrt(F.sum("__c"))).alias("__m"), F.sum("__c").alias("__r"))
+    mean = routes.agg((F.sum(F.col("__m") * F.col("__r")) / F.sum("__r")).alias("__mm"))
+    cells = with_scalars(join_on(cells, routes.select("route", "__m"), ["route"]), mean)
+    share = F.col("__m") / F.greatest(F.col("__mm"), F.lit(1e-12))
+    clipped = F.greatest(F.least(share, F.lit(3.0)), F.lit(0.35))
+    return _weigh(df, cells, [y, "route"], F.col("__w") * clipped, name)
 
 
 def economic_weights(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
     """Class weight times clipped saving over its median times transition balance, mean one."""
     saving = F.col("price_vnd") - F.col("target_price_vnd")
     floor = F.lit(25_000.0)
-    work = df.withColumn("__e", F.when(F.col(y) == 1, F.greatest(saving.cast("double"), floor)).otherwise(floor))
-    median = exact_quantiles(work.where(F.col("__e") > 0), [], "__e", {"__med": 0.5})
-    counts = df.agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.sum(F.col(y).cast("bigint")).alias("__p"),
-        F.countDistinct("transition").alias("__k"),
-    )
-    work = attach(work, ["transition"], F.count(F.lit(1)).alias("__t"))
-    work = with_scalars(with_scalars(work, median), counts)
-    own = F.when(F.col(y) == 1, F.col("__p")).otherwise(F.col("__n") - F.col("__p"))
-    size = F.col("__n").cast("double")
-    ratio = F.col("__e") / F.greatest(F.col("__med"), F.lit(1.0))
-    weight = (
-        F.try_divide(size, 2 * own)
-        * F.greatest(F.least(ratio, F.lit(4.0)), F.lit(0.25))
-        * (size / (F.col("__k") * F.col("__t")))
-    )
-    out = work.withColumn(name, weight).drop("__e", "__med", "__n", "__p", "__k", "__t")
-    return _mean_one(out, name)
+    gain = F.when(F.col(y) == 1, F.greatest(saving.cast("double"), floor)).otherwise(floor)
+    median = exact_quantiles(df.select(gain.alias("__e")), [], "__e", {"__med": 0.5})
+    ratio = F.greatest(F.least(gain / F.greatest(F.col("__med"), F.lit(1.0)), F.lit(4.0)), F.lit(0.25))
+    work = with_scalars(df, materialise(median, "median")).withColumn("__ratio", ratio).drop("__med")
+    cells = _class_weight(_cells(work, [y, "transition"], __s=F.col("__ratio")), y)
+    sizes = cells.groupBy("transition").agg(F.sum("__c").alias("__t"))
+    cells = with_scalars(join_on(cells, sizes, ["transition"]), cells.agg(F.countDistinct("transition").alias("__k")))
+    factor = F.col("__w") * F.col("__n").cast("double") / (F.col("__k") * F.col("__t"))
+    cells = cells.withColumn("__f", factor)
+    mean = cells.agg(F.greatest(F.sum(F.col("__f") * F.col("__s")) / F.sum("__c"), F.lit(1e-12)).alias("__mean"))
+    scaled = with_scalars(cells, mean).select(y, "transition", (F.col("__f") / F.col("__mean")).alias("__f"))
+    out = join_on(work, scaled, [y, "transition"], "left")
+    return out.withColumn(name, F.col("__f") * F.col("__ratio")).drop("__f", "__ratio")
 
 
 # --- encoders -------------------------------------------------------------------------------
@@ -211,21 +229,15 @@ def fit_numeric_encoder(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
 def fit_category_codes(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
     """Code from one per sorted category of each column; the table has one row per distinct category.
 
-    Codes come from the spread row count below, so a column of many categories is not sorted in one task.
+    Codes are row numbers over range partitions, so a column of many categories is not sorted in one task.
     """
     pairs = [
         F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__")).alias("category"))
         for c in categorical
     ]
     values = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").distinct()
-    prefix = F.substring("category", 1, 2)
-    values = values.withColumn("__p", prefix)
-    sizes = values.groupBy("column", "__p").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy("column").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__o", F.coalesce(F.sum("__c").over(w), F.lit(0))).drop("__c")
-    inside = Window.partitionBy("column", "__p").orderBy("category")
-    placed = join_on(values, offsets, ["column", "__p"])
-    return placed.select("column", "category", (F.col("__o") + F.row_number().over(inside)).cast("int").alias("code"))
+    numbered = row_numbers(values, ["column"], "category", [], "code")
+    return numbered.select("column", "category", F.col("code").cast("int").alias("code"))
 
 
 def apply_encoder(

@@ -460,11 +460,10 @@ SPINE = """(SELECT CAST(d AS DATE) AS session_date FROM range((SELECT min(sessio
 @query(
     "offer_volume",
     f"""SELECT session_date, v.fli_library_era, v.trip_com_browser_era, v.fli_library_era IS NULL AS is_missing FROM {SPINE} LEFT JOIN (SELECT session_date,
-count(*) FILTER (collection_era = '{C.FLI_ERA}') AS fli_library_era, count(*) FILTER (collection_era = '{C.TRIP_ERA}') AS trip_com_browser_era FROM offers
-WHERE isodow(session_date) < 7 GROUP BY 1) v USING (session_date)""",
+count(*) FILTER (collection_era = '{C.FLI_ERA}') AS fli_library_era, count(*) FILTER (collection_era = '{C.TRIP_ERA}') AS trip_com_browser_era FROM offers GROUP BY 1) v USING (session_date)""",
 )
 def offer_volume(p):
-    return audits.offer_volume(p.offers.where(F.weekday("session_date") < 6))
+    return audits.offer_volume(p.offers)
 
 
 @query(
@@ -485,13 +484,13 @@ AIR = ", ".join(f"('{a}')" for a in C.AIRLINES)
     "airline_drift",
     f"""WITH c AS (SELECT session_date, airline, count(*) AS rows, quantile_cont(current_relative_log, 0.5) AS z FROM anchored GROUP BY ALL),
 a AS (SELECT session_date, sum(rows) AS n FROM c GROUP BY 1),
-g AS (SELECT s.session_date, x.airline, c.rows, CASE WHEN c.rows >= 20 THEN c.z END AS drift, CASE WHEN a.n IS NOT NULL THEN 100e0 * coalesce(c.rows, 0) / a.n END AS share_pct
+g AS (SELECT s.session_date, x.airline, c.rows, CASE WHEN c.rows >= 100 THEN c.z END AS drift, CASE WHEN a.n IS NOT NULL THEN 100e0 * coalesce(c.rows, 0) / a.n END AS share_pct
 FROM {SPINE} s CROSS JOIN (VALUES {AIR}) x(airline) LEFT JOIN c ON c.session_date = s.session_date AND c.airline = x.airline LEFT JOIN a ON a.session_date = s.session_date)
 SELECT session_date, airline, rows, {rsql('drift', 'drift')}, {rsql('share_pct', 'share_pct')}, round(CASE WHEN drift IS NOT NULL AND count(drift) OVER w >= 3 THEN quantile_cont(drift, 0.5) OVER w END, 8) + 0e0 AS drift_smooth
 FROM g WINDOW w AS (PARTITION BY airline ORDER BY session_date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
 )
 def airline_drift(p):
-    return rounded(audits.airline_drift(p.anchored, min_support=20))
+    return rounded(audits.airline_drift(p.anchored, min_support=100))
 
 
 @query(

@@ -271,7 +271,7 @@ view(
     "daily",
     """SELECT d.session_date, x.v FROM (SELECT CAST(d AS DATE) AS session_date FROM range((SELECT min(session_date) FROM offers),
 (SELECT max(session_date) FROM offers) + INTERVAL 1 DAY, INTERVAL 1 DAY) t(d)) d LEFT JOIN (SELECT session_date, avg(price_vnd) AS v FROM offers
-WHERE isodow(session_date) < 7 GROUP BY 1) x USING (session_date)""",
+GROUP BY 1) x USING (session_date)""",
 )
 
 
@@ -283,9 +283,8 @@ WINDOW b AS (ORDER BY session_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), c
 )
 def rolling_median(p):
     days = p.offers.groupBy("session_date").agg(F.avg("price_vnd").alias("v"))
-    seen = days.withColumn("v", F.when(F.weekday("session_date") < 6, F.col("v")))
-    bounds = seen.agg(F.min("session_date").alias("a"), F.max("session_date").alias("b"))
-    spine = bounds.select(F.explode(F.sequence("a", "b")).alias("session_date")).join(seen, "session_date", "left")
+    bounds = days.agg(F.min("session_date").alias("a"), F.max("session_date").alias("b"))
+    spine = bounds.select(F.explode(F.sequence("a", "b")).alias("session_date")).join(days, "session_date", "left")
     out = history.rolling_median(spine, "session_date", "v").withColumnRenamed("v_smooth", "trailing")
     out = history.rolling_median(out, "session_date", "v", centred=True).withColumnRenamed("v_smooth", "centred")
     return out.select("session_date", F.round("trailing", 6).alias("trailing"), F.round("centred", 6).alias("centred"))

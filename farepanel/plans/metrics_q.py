@@ -9,7 +9,10 @@ from farepanel.functions import columns as K
 from farepanel.operators import calibration, metrics, policy, serving
 from farepanel.plans.history_q import r
 from farepanel.plans.panel_views import band
+from farepanel.operators.scale import join_on
 from farepanel.plans.registry import query, view
+from farepanel.session import materialise
+from farepanel.sources.panel import BLOCKS
 
 Y, P = "drop_5pct", "p_drop"
 
@@ -277,45 +280,74 @@ def relative_skill(p):
     return rounded(metrics.relative_skill(table, "model_loss", "base_loss", ["fold_set"]))
 
 
-GATE_SQL = f"""WITH m AS (SELECT avg(-CASE WHEN drop_5pct = 1 THEN ln(p_drop) ELSE ln(1 - p_drop) END) + avg((p_drop - drop_5pct) * (p_drop - drop_5pct)) AS proper_score,
--avg(drop_5pct) * ln(avg(drop_5pct)) - (1 - avg(drop_5pct)) * ln(1 - avg(drop_5pct)) + avg(drop_5pct) * (1 - avg(drop_5pct)) AS base_proper_score,
-2 * avg({PIN}) AS wis, avg(CAST(y_log >= r1 AND y_log <= r5 AS DOUBLE)) AS coverage80, avg(CAST(y_log >= r0 AND y_log <= r6 AS DOUBLE)) AS coverage90,
-avg(abs(y_log)) AS base_wis, avg(abs(pred_vnd - price_vnd) / CAST(price_vnd AS DOUBLE)) AS mape, avg(abs(target_price_vnd - price_vnd) / CAST(price_vnd AS DOUBLE)) AS base_mape,
-1 - sum(CAST(pred_vnd - price_vnd AS DOUBLE) * (pred_vnd - price_vnd)) / (var_pop(price_vnd) * count(*)) AS r2,
-avg({FROZEN}) AS mean_regret, avg({BUY}) AS buy_all_regret, avg({REGRET_SQL.format(w='TRUE', f='50000e0')}) AS wait_all_regret FROM arranged),
-e AS (SELECT sum(n * abs(rate - mean)) / sum(n) AS ece15 FROM (SELECT least(floor(p_drop * 15), 14) AS b, count(*) AS n, avg(drop_5pct) AS rate, avg(p_drop) AS mean FROM blocked GROUP BY ALL)),
-a AS (SELECT (sum(CASE WHEN drop_5pct = 1 THEN rk END) - max(np) * (max(np) + 1) / 2e0) / (max(np) * max(nn)) AS auc FROM (SELECT drop_5pct,
-rank() OVER (ORDER BY p_drop) + (count(*) OVER (PARTITION BY p_drop) - 1) / 2e0 AS rk, CAST(sum(drop_5pct) OVER () AS DOUBLE) AS np, CAST(sum(1 - drop_5pct) OVER () AS DOUBLE) AS nn FROM blocked)),
-g AS (SELECT proper_score < base_proper_score AS class_beats_base, ece15 <= 0.1 AS class_calibrated, auc > 0.5 AS class_ranks, mape < base_mape AS point_beats_base,
-r2 > 0 AS point_r2_positive, wis < base_wis AS wis_beats_base, abs(coverage80 - 0.8) <= 0.1 AS coverage80_close, abs(coverage90 - 0.9) <= 0.1 AS coverage90_close,
-mean_regret <= buy_all_regret AS policy_not_worse_than_buy, mean_regret <= wait_all_regret AS policy_not_worse_than_wait FROM m, e, a)
-SELECT *, CAST(class_beats_base AS INTEGER) + CAST(class_calibrated AS INTEGER) + CAST(class_ranks AS INTEGER) + CAST(point_beats_base AS INTEGER)
-+ CAST(point_r2_positive AS INTEGER) + CAST(wis_beats_base AS INTEGER) + CAST(coverage80_close AS INTEGER) + CAST(coverage90_close AS INTEGER)
-+ CAST(policy_not_worse_than_buy AS INTEGER) + CAST(policy_not_worse_than_wait AS INTEGER) AS passed FROM g"""
+STARTS = ", ".join(f"('{n}', TIMESTAMP '{a} 00:00:00')" for n, a, _ in BLOCKS)
+BASE_PIN = "(" + " + ".join(f"greatest({l}e0 * (y_log - b{i}), {l - 1:.2f}e0 * (y_log - b{i}))" for i, l in enumerate(LEVELS)) + ") / 7e0"
+DCG = """(SELECT avg(v) FROM (SELECT query_id, sum(CASE WHEN a <= 5 THEN g / log2(a + 1) ELSE 0 END) / sum(CASE WHEN b <= 5 THEN g / log2(b + 1) ELSE 0 END) AS v FROM (
+SELECT query_id, pow(2e0, rel - n) - pow(2e0, -n) AS g, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, offer_id) AS a,
+row_number() OVER (PARTITION BY query_id ORDER BY price_vnd, offer_id) AS b FROM ranked WHERE n >= 2) GROUP BY query_id))"""
+GATES = ("both_blocks_pass", "proper_score_beats_prior", "mape_beats_anchor", "wis_beats_empirical", "quantiles_coherent", "ndcg5_beats_anchor",
+         "regret_beats_buy_all", "cvar_close_to_buy_all", "recipe_unchanged", "blocks_disjoint")
+GATE_SQL = f"""WITH prior AS (SELECT b.block_id, avg(drop_5pct) AS rate, {', '.join(f'quantile_cont(y, {l}) AS b{i}' for i, l in enumerate(LEVELS))}
+FROM (SELECT drop_5pct, label_time, ln(target_price_vnd / price_vnd) AS y FROM exact_pairs) e JOIN (VALUES {STARTS}) b(block_id, start) ON e.label_time < b.start GROUP BY 1),
+x AS MATERIALIZED (SELECT a.*, prior.* EXCLUDE (block_id), n.anchor_vnd, d.query_id, {FROZEN} AS regret, {BUY} AS buy_regret FROM arranged a JOIN prior USING (block_id)
+JOIN (SELECT offer_id, anchor_vnd FROM anchored WHERE anchor_vnd IS NOT NULL) n USING (offer_id) JOIN (SELECT offer_id, query_id FROM queried) d USING (offer_id)),
+ranked AS (SELECT query_id, offer_id, price_vnd, pred_vnd, anchor_vnd, count(*) OVER (PARTITION BY query_id) AS n, count(*) OVER (PARTITION BY query_id)
+- (rank() OVER (PARTITION BY query_id ORDER BY price_vnd) + (count(*) OVER (PARTITION BY query_id, price_vnd) - 1) / 2e0) + 1 AS rel FROM x),
+s AS (SELECT coalesce(block_id, 'ALL') AS block_id, avg(-CASE WHEN drop_5pct = 1 THEN ln(p_drop) ELSE ln(1 - p_drop) END) + avg((p_drop - drop_5pct) * (p_drop - drop_5pct)) AS proper,
+avg(-CASE WHEN drop_5pct = 1 THEN ln(rate) ELSE ln(1 - rate) END) + avg((rate - drop_5pct) * (rate - drop_5pct)) AS base_proper,
+avg(abs(pred_vnd - price_vnd) / CAST(price_vnd AS DOUBLE)) AS mape, avg(abs(anchor_vnd - price_vnd) / CAST(price_vnd AS DOUBLE)) AS base_mape,
+avg({PIN}) AS wis, avg({BASE_PIN}) AS base_wis, avg(CAST({' OR '.join(f'q{i + 1} < q{i}' for i in range(6))} AS DOUBLE)) AS crossing,
+avg(regret) AS regret, avg(buy_regret) AS buy_regret FROM x GROUP BY ROLLUP (block_id)),
+g AS (SELECT (SELECT bool_and(proper <= base_proper AND mape <= base_mape) FROM s WHERE block_id <> 'ALL') AS {GATES[0]}, proper <= base_proper AS {GATES[1]}, mape <= base_mape AS {GATES[2]},
+wis <= base_wis AS {GATES[3]}, crossing = 0 AS {GATES[4]}, {DCG.format(score='-(pred_vnd // 20000)')} >= {DCG.format(score='-anchor_vnd')} AS {GATES[5]}, regret <= buy_regret AS {GATES[6]},
+(SELECT avg(regret) FROM x WHERE regret >= (SELECT quantile_cont(regret, 0.95) FROM x)) <= (SELECT avg(buy_regret) FROM x WHERE buy_regret >= (SELECT quantile_cont(buy_regret, 0.95) FROM x)) * 1.05e0 + 1 AS {GATES[7]},
+true AS {GATES[8]}, (SELECT count(*) FROM (SELECT offer_id FROM x GROUP BY 1 HAVING count(DISTINCT block_id) > 1)) + (SELECT count(*) FROM (SELECT query_id FROM x GROUP BY 1 HAVING count(DISTINCT block_id) > 1)) = 0 AS {GATES[9]}
+FROM s WHERE block_id = 'ALL')
+SELECT *, {' + '.join(f'CAST({g} AS INTEGER)' for g in GATES)} AS passed FROM g"""
+
+
+def gate_rows(p):
+    """Block rows with their prior anchor, query, and the rate and residual quantiles of all labels before the block."""
+    starts = F.array(*[F.struct(F.lit(n).alias("block_id"), F.lit(a).cast("date").cast("timestamp_ntz").alias("start")) for n, a, _ in BLOCKS])
+    past = p.exact_pairs.select("drop_5pct", "label_time", F.ln(F.col("target_price_vnd") / F.col("price_vnd")).alias("y"))
+    past = past.withColumn("b", F.explode(F.filter(starts, lambda b: F.col("label_time") < b["start"]))).select("b.block_id", "drop_5pct", "y")
+    prior = metrics.constant_baselines(past, Y, "y", ["block_id"])
+    prior = prior.select("block_id", "rate", F.array(*[f"q{int(l * 100):02d}" for l in LEVELS]).alias("base_quantiles"))
+    anchors = p.anchored.where("anchor_vnd IS NOT NULL").select("offer_id", "anchor_vnd")
+    queries = serving.query_ids(p.offers).select("offer_id", "query_id")
+    rows = p.blocks.join(prior, "block_id").join(anchors, "offer_id").join(queries, "offer_id")
+    return materialise(rows.select(
+        "offer_id", "block_id", "query_id", Y, P, "rate", "y_log", "quantiles", "base_quantiles", "price_vnd", "target_price_vnd", "pred_vnd", "anchor_vnd"
+    ), "gates")
 
 
 @query("release_gates", GATE_SQL)
 def release_gates(p):
-    df = p.blocks
-    wait = lambda c: K.policy_regret("price_vnd", "target_price_vnd", c, C.FRICTION_VND)
-    rate = F.avg(F.col(Y).cast("double"))
-    moved = F.abs(F.col("target_price_vnd") - F.col("price_vnd")) / F.col("price_vnd")
-    extra = df.agg(
-        (-rate * F.ln(rate) - (1 - rate) * F.ln(1 - rate) + rate * (1 - rate)).alias("base_proper_score"),
-        F.avg(F.abs("y_log")).alias("base_wis"),
-        F.avg(moved).alias("base_mape"),
-        F.avg(wait(F.col(P) >= C.WAIT_THRESHOLD)).alias("mean_regret"),
-        F.avg(wait(F.lit(False))).alias("buy_all_regret"),
-        F.avg(wait(F.lit(True))).alias("wait_all_regret"),
+    df = gate_rows(p)
+
+    def scores(by):
+        own, base = (metrics.proper_scores(df, Y, c, by).withColumnRenamed("score", n) for c, n in ((P, "proper_score"), ("rate", "base_proper_score")))
+        ape = lambda c: F.avg(F.abs(F.col(c) - F.col("price_vnd")) / F.col("price_vnd"))
+        points = df.groupBy(*by).agg(ape("pred_vnd").alias("mape"), ape("anchor_vnd").alias("base_mape"))
+        return join_on(join_on(own, base, by), points, by)
+
+    failed = scores(["block_id"]).agg(
+        F.count_if((F.col("proper_score") > F.col("base_proper_score")) | (F.col("mape") > F.col("base_mape"))).alias("failed_blocks")
     )
-    one = metrics.classification_metrics(df, Y, P).drop("rows")
+    spread = metrics.distribution_metrics(df, "y_log", "quantiles").select("wis", "crossing_rate")
+    base_spread = metrics.distribution_metrics(df, "y_log", "base_quantiles").select(F.col("wis").alias("base_wis"))
+    regret = lambda wait, mean, tail: policy.policy_metrics(policy.with_regret(df, wait), []).select(
+        F.col("mean_regret_vnd").alias(mean), F.col("cvar95_regret_vnd").alias(tail)
+    )
+    ndcg = lambda score, name: metrics.ndcg(df.withColumn("score", score), "score", "price_vnd").agg(F.avg("ndcg5").alias(name))
+    shared = lambda key, name: df.groupBy(key).agg(F.countDistinct("block_id").alias("n")).agg(F.count_if(F.col("n") > 1).alias(name))
+    one = scores([])
     for part in (
-        metrics.point_metrics(df, "price_vnd", "pred_vnd").drop("rows"),
-        metrics.distribution_metrics(df, "y_log", "quantiles").drop("rows"),
-        extra,
-    ):
+        failed, spread, base_spread, regret(F.col(P) >= C.WAIT_THRESHOLD, "mean_regret", "cvar95_regret"), regret(F.lit(False), "buy_all_regret", "buy_all_cvar95"),
+        ndcg(-F.expr("pred_vnd div 20000"), "ndcg5"), ndcg(-F.col("anchor_vnd"), "base_ndcg5"), shared("offer_id", "row_overlap"), shared("query_id", "query_overlap"),
+    ):
         one = one.crossJoin(F.broadcast(part))  # one row each
-    return metrics.release_gates(one)
+    return metrics.release_gates(one.withColumn("recipes", F.lit(1)))
 
 
 # --- recipes --------------------------------------------------------------------------------
@@ -327,10 +359,10 @@ RECIPES = {
 view("recipes", " UNION ALL ".join(f"SELECT offer_id, fold, fold_set, drop_5pct, '{n}' AS recipe, {e} AS probability FROM scored" for n, e in RECIPES.items()))
 view(
     "recipe_scores",
-    """SELECT recipe, avg(CASE WHEN fold_set = 'SCREEN' THEN s END) AS screen_mean, avg(CASE WHEN fold_set = 'LATE' THEN s END) AS late_mean,
-max(CASE WHEN fold_set = 'LATE' THEN s END) AS late_worst FROM (SELECT recipe, fold_set, fold,
+    """SELECT recipe, avg(s) FILTER (fold_set = 'SCREEN') AS screen, avg(s) FILTER (fold_set = 'LATE') AS late, avg(s) AS all_folds,
+max(s) FILTER (fold_set = 'SCREEN') AS screen_worst_fold, max(s) FILTER (fold_set = 'LATE') AS late_worst_fold FROM (SELECT recipe, fold_set, fold,
 avg(-CASE WHEN drop_5pct = 1 THEN ln(probability) ELSE ln(1 - probability) END) + avg((probability - drop_5pct) * (probability - drop_5pct)) AS s
-FROM recipes GROUP BY ALL) GROUP BY recipe""",
+FROM recipes WHERE fold_set IN ('SCREEN', 'LATE') GROUP BY ALL) GROUP BY recipe""",
 )
 
 
@@ -344,18 +376,25 @@ def blend_recipes(p):
     return rounded(recipes(p).select("offer_id", "recipe", "probability"))
 
 
-@query("recipe_table", f"SELECT recipe, {rsql('screen_mean', 'screen_mean')}, {rsql('late_mean', 'late_mean')}, {rsql('late_worst', 'late_worst')} FROM recipe_scores")
+def recipe_scores(p):
+    return metrics.recipe_table(metrics.proper_scores(recipes(p), Y), "CLASSIFICATION")
+
+
+@query(
+    "recipe_table",
+    "SELECT recipe, " + ", ".join(rsql(c, n) for c, n in (("screen", "screen"), ("late", "late"), ("all_folds", "all"), ("screen_worst_fold", "screen_worst_fold"), ("late_worst_fold", "late_worst_fold"), ("screen", "selection_score"))) + " FROM recipe_scores",
+)
 def recipe_table(p):
-    return rounded(metrics.recipe_table(recipes(p), Y))
+    return rounded(recipe_scores(p))
 
 
 @query(
     "late_gate",
-    """SELECT a.recipe, a.late_mean <= b.late_mean + 0.001e0 AND a.late_worst <= b.late_worst + 0.002e0 AS late_pass
-FROM recipe_scores a, recipe_scores b WHERE b.recipe = 'INCUMBENT'""",
+    """SELECT recipe, pass_mean, pass_worst_fold, pass_mean AND pass_worst_fold AS late_pass FROM (SELECT a.recipe, a.late <= b.late * 1.01e0 AS pass_mean,
+a.late_worst_fold <= b.late_worst_fold * (1 + 0.01e0 * 1.5e0) AS pass_worst_fold FROM recipe_scores a, recipe_scores b WHERE b.recipe = 'INCUMBENT')""",
 )
 def late_gate(p):
-    return metrics.late_gate(metrics.recipe_table(recipes(p), Y)).select("recipe", "late_pass")
+    return metrics.late_gate(recipe_scores(p), "CLASSIFICATION").select("recipe", "pass_mean", "pass_worst_fold", "late_pass")
 
 
 # --- decisions ------------------------------------------------------------------------------
@@ -463,11 +502,12 @@ Z = "1.959963984540054e0"
 
 @query(
     "wilson_safety",
-    f"""WITH c AS (SELECT fold, count(*) AS rows, count(*) FILTER (p_drop < 0.3e0) AS buys, count(*) FILTER (p_drop < 0.3e0 AND drop_5pct = 1) AS unsafe_buys FROM scored GROUP BY fold),
+    f"""WITH c AS (SELECT fold, count(*) AS rows, count(*) FILTER (drop_5pct = 1) AS drops, count(*) FILTER (p_drop < 0.3e0) AS buys, count(*) FILTER (p_drop < 0.3e0 AND drop_5pct = 1) AS unsafe_buys FROM scored GROUP BY fold),
 w AS (SELECT *, unsafe_buys / CAST(buys AS DOUBLE) AS s FROM c),
 x AS (SELECT *, (s + {Z} * {Z} / (2e0 * buys) + {Z} * sqrt(s * (1 - s) / buys + {Z} * {Z} / (4e0 * buys * buys))) / (1 + {Z} * {Z} / buys) AS u FROM w)
 SELECT fold, rows, buys, unsafe_buys, {rsql('s', 'unsafe_rate')}, {rsql('u', 'wilson_upper')}, {rsql('buys / CAST(rows AS DOUBLE)', 'buy_coverage')},
-u <= 0.1e0 AND buys / CAST(rows AS DOUBLE) >= 0.05e0 AS safe FROM x""",
+{rsql('(drops - unsafe_buys) / CAST(drops AS DOUBLE)', 'wait_recall')},
+coalesce(u <= 0.15e0 AND buys / CAST(rows AS DOUBLE) >= 0.2e0 AND (drops - unsafe_buys) / CAST(drops AS DOUBLE) >= 0.75e0, false) AS safe FROM x""",
 )
 def wilson_safety(p):
     return rounded(policy.wilson_safety(p.scored.withColumn("wait", F.col(P) >= C.WAIT_THRESHOLD), ["fold"]))

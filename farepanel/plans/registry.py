@@ -30,7 +30,7 @@ def expand(sql: str) -> str:
                 visit(VIEWS[name])
 
     visit(sql)
-    ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in VIEWS if name in needed)
     if not ctes:
         return sql.strip()
     text = sql.strip()

@@ -118,42 +118,21 @@ def missing_tasks(p):
     return files.missing_tasks(p.offers, list(C.ROUTE_CEILINGS), C.BOOKING_WINDOWS)
 
 
-view(
-    "log_lines",
-    """SELECT session_date || '.log' AS file, strftime(session_date, '%Y-%m-%d') || ' 08:00:00 ' || tag AS value
-FROM (SELECT DISTINCT session_date, session_label, route, days_until_departure, session_key FROM offers),
-(SELECT unnest(['[STARTED] ', '[END] ', 'heartbeat ']) AS kind) k,
-LATERAL (SELECT CASE kind WHEN '[STARTED] ' THEN kind || route || ' DUD=' || days_until_departure
-  WHEN 'heartbeat ' THEN kind || session_label
-  WHEN '[END] ' THEN CASE WHEN (session_key + days_until_departure) % 7 = 0 THEN '[SKIPPED] ' ELSE '[COMPLETED] ' END
-       || route || ' DUD=' || days_until_departure END AS tag)
-WHERE NOT (kind = '[END] ' AND session_key % 41 = 0)""",
-)
-
-
 @query(
     "collector_log_audit",
-    """SELECT file, count(*) AS lines, count(*) FILTER (kind = 'STARTED') AS started,
-count(*) FILTER (kind = 'COMPLETED') AS completed, count(*) FILTER (kind = 'SKIPPED') AS skipped,
-count(*) FILTER (kind = '') AS unparsed,
-count(*) FILTER (kind = 'STARTED') > 0 AND count(*) FILTER (kind = 'STARTED')
-  = count(*) FILTER (kind IN ('COMPLETED', 'SKIPPED')) AS complete
-FROM (SELECT file, regexp_extract(value, '^(\\S+ \\S+) \\[(STARTED|COMPLETED|SKIPPED)\\] (\\S+) DUD=(\\d+)$', 2) AS kind
-FROM log_lines) GROUP BY file""",
+    """SELECT file, 4 AS lines, started, rows AS reported_rows, skipped, started AS completed, started = 220 AND skipped = 0 AS complete
+FROM (SELECT strftime(session_date, '%Y-%m-%d') || '_' || session_label AS file, count(DISTINCT (route, days_until_departure)) AS started,
+count(*) AS rows, count(DISTINCT CASE WHEN session_key % 5 = 0 AND days_until_departure = 60 THEN route END) AS skipped FROM offers GROUP BY ALL)""",
 )
 def collector_log_audit(p):
-    tasks = p.offers.select("session_date", "session_label", "route", "days_until_departure", "session_key").distinct()
-    query_text = F.concat(F.col("route"), F.lit(" DUD="), F.col("days_until_departure").cast("string"))
-    ended = F.when((F.col("session_key") + F.col("days_until_departure")) % 7 == 0, "[SKIPPED] ").otherwise("[COMPLETED] ")
-    lines = F.array(
-        F.concat(F.lit("[STARTED] "), query_text),
-        F.when(F.col("session_key") % 41 != 0, F.concat(ended, query_text)),
-        F.concat(F.lit("heartbeat "), F.col("session_label")),
-    )
-    day = F.col("session_date").cast("string")
-    log = (
-        tasks.select(F.concat(day, F.lit(".log")).alias("file"), day.alias("day"), F.explode(lines).alias("tag"))
-        .where(F.col("tag").isNotNull())
-        .select("file", F.concat(F.col("day"), F.lit(" 08:00:00 "), F.col("tag")).alias("value"))
+    """Logs are written per batch as text files, one folder each, and read back from there."""
+    run = p.offers.groupBy("session_date", "session_label").agg(
+        F.countDistinct("route", "days_until_departure").alias("q"),
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct(F.when((F.col("session_key") % 5 == 0) & (F.col("days_until_departure") == 60), F.col("route"))).alias("k"),
     )
-    return files.log_audit(log)
+    day = F.date_format("session_date", "yyyy-MM-dd")
+    text = F.format_string("%s 08:00:00 START queries=%d\nheartbeat\nEND rows=%d skipped=%d/%d\nEND rows=0 skipped=0/0", day, "q", "n", "k", "q")
+    path = scratch(p, "logs")
+    run.select(F.concat_ws("_", day, "session_label").alias("file"), text.alias("value")).write.partitionBy("file").text(path)
+    return files.log_audit(files.read_log(p.spark, path))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from farepanel import config as C
 from farepanel.operators import quality
 from farepanel.plans.history_q import OFF_HALF, r
 from farepanel.plans.registry import query
@@ -15,12 +16,19 @@ from farepanel.streaming import ingest
 CUTS = ("2026-01-01", "2026-04-01", "2026-04-25", "2026-05-10", "2027-01-01")
 
 
-def replay(p, df, name: str, date: str = "session_date"):
-    """Write a table as four consecutive drops of files and open it as a stream."""
+def replay(p, df, name: str, consume, date: str = "session_date") -> str:
+    """Write a table as four consecutive drops and consume each as it arrives, from one checkpoint."""
     path = scratch(p, name)
     for first, last in zip(CUTS[:-1], CUTS[1:]):
-        df.where(f"{date} >= date '{first}' and {date} < date '{last}'").coalesce(4).write.mode("append").parquet(path)
-    return ingest.read_offers(p.spark, path, df.schema, 4), path
+        df.where(f"{date} >= date '{first}' and {date} < date '{last}'").write.mode("append").parquet(path)
+        consume(ingest.read_offers(p.spark, path, df.schema))
+    return path
+
+
+def into_changelog(p, df, name: str, transform, mode: str = "update") -> str:
+    out, checkpoint = point(p), point(p)
+    replay(p, df, name, lambda stream: ingest.run(transform(stream), checkpoint, ingest.changelog_writer(out), mode))
+    return out
 
 
 def point(p) -> str:
@@ -36,10 +44,8 @@ def stream_prepare(p):
         "offer_id", "route", "airline", "session_date",
         *[F.col(c).cast("string").alias(c) for c in ("scraped_at", "session_id", "flight_date", "departure_time", "price_vnd", "days_until_departure")],
     )
-    stream, _ = replay(p, text, "prepare")
-    out = point(p)
-    prepared = ingest.prepare(stream).select("offer_id", "session_label", "session_key")
-    ingest.run(prepared, point(p), ingest.changelog_writer(out), "append")
+    prepared = lambda stream: ingest.prepare(stream).select("offer_id", "session_label", "session_key")
+    out = into_changelog(p, text, "prepare", prepared, "append")
     return p.spark.read.parquet(out).drop("batch_id")
 
 
@@ -48,10 +54,8 @@ def stream_prepare(p):
     """SELECT session_date, session_label, count(*) AS rows, max(scraped_at) AS last_scrape FROM raw_offers GROUP BY ALL""",
 )
 def stream_session_window(p):
-    stream, _ = replay(p, p.raw, "window")
-    out = point(p)
-    flat = ingest.session_counts(stream).select(F.col("w.start").alias("start"), "rows", "last_scrape")
-    ingest.run(flat, point(p), ingest.changelog_writer(out))
+    flat = lambda stream: ingest.session_counts(stream).select(F.col("w.start").alias("start"), "rows", "last_scrape")
+    out = into_changelog(p, p.raw, "window", flat)
     latest = ingest.latest_version(p.spark, out, ["start"])
     start = F.col("start").cast("timestamp_ntz")
     return latest.select(
@@ -61,10 +65,9 @@ def stream_session_window(p):
 
 @query("stream_dedup", "SELECT session_key, schedule_slot_id, scraped_at, price_vnd FROM completed")
 def stream_dedup(p):
-    stream, _ = replay(p, p.raw, "dedup")
-    out = point(p)
-    latest = ingest.latest_offers(stream, ["price_vnd", "session_key"]).select("session_key", "schedule_slot_id", "scraped_at", "price_vnd")
-    ingest.run(latest, point(p), ingest.changelog_writer(out))
+    columns = ["session_key", "schedule_slot_id", "scraped_at", "price_vnd"]
+    latest = lambda stream: ingest.latest_offers(stream, ["price_vnd", "session_key"]).select(*columns)
+    out = into_changelog(p, p.raw, "dedup", latest)
     return ingest.latest_version(p.spark, out, ["session_key", "schedule_slot_id"])
 
 
@@ -74,12 +77,11 @@ STORE = ["schedule_slot_id", "session_key", "session_id", "scraped_at", "route",
 def store(p, check=None, twice=True):
     """Replay the raw offers into a store; the second run replays the same files and must change nothing."""
     df = p.raw.select(*STORE)
-    stream, path = replay(p, df, "store")
-    offers, ledger = point(p), point(p)
+    offers, ledger, checkpoint = point(p), point(p), point(p)
     writer = ingest.upsert_writer(offers, ledger, check)
-    ingest.run(stream, point(p), writer, "append")
+    path = replay(p, df, "store", lambda stream: ingest.run(stream, checkpoint, writer, "append"))
     if twice:
-        ingest.run(ingest.read_offers(p.spark, path, df.schema, 16), point(p), writer, "append")
+        ingest.run(ingest.read_offers(p.spark, path, df.schema), point(p), writer, "append")
     return offers, ledger, df.schema
 
 
@@ -96,11 +98,11 @@ def stream_upsert(p):
 
 @query(
     "stream_completeness",
-    """SELECT session_date, session_label, CASE WHEN routes = 20 AND airlines >= 4 AND windows >= 6 THEN 'READY' ELSE 'FAILED' END AS status, rows FROM (
-SELECT session_date, session_label, count(*) AS rows, count(DISTINCT route) AS routes, count(DISTINCT airline) AS airlines, count(DISTINCT days_until_departure) AS windows FROM completed GROUP BY ALL)""",
+    f"""SELECT session_date, session_label, CASE WHEN routes = 20 AND (airlines = {len(C.AIRLINES)} OR (session_label = 'AM' AND airlines >= 4)) AND duds = {sorted(C.BOOKING_WINDOWS)} THEN 'READY' ELSE 'FAILED' END AS status, rows FROM (
+SELECT session_date, session_label, count(*) AS rows, count(DISTINCT route) AS routes, count(DISTINCT airline) AS airlines, list_sort(list_distinct(list(days_until_departure))) AS duds FROM completed GROUP BY ALL)""",
 )
 def stream_completeness(p):
-    _, ledger, _ = store(p, lambda df: quality.validate_batches(df, min_windows=6), twice=False)
+    _, ledger, _ = store(p, lambda df: quality.validate_batches(df, subset=F.col("session_label") == "AM"), twice=False)
     return ingest.ledger_state(p.spark, ledger).select("session_date", "session_label", "status", "rows")
 
 
@@ -111,9 +113,7 @@ round(prior_price_volatility_vnd, 3) + 0e0 AS prior_price_volatility_vnd, round(
 )
 def stream_history(p):
     keep = ["schedule_slot_id", "offer_id", "feature_time", "session_key", "price_vnd", "days_until_departure", "session_date"]
-    stream, _ = replay(p, p.timed.select(*keep), "history")
-    out = point(p)
-    ingest.run(ingest.stateful_history(stream), point(p), ingest.changelog_writer(out), "append")
+    out = into_changelog(p, p.timed.select(*keep), "history", ingest.stateful_history, "append")
     return p.spark.read.parquet(out).select(
         "offer_id", "prior_observation_count", "previous_price_same_schedule", r("prior_price_volatility_vnd", 3), r("prior_price_trend_vnd_per_dud_day", 3, OFF_HALF)
     )

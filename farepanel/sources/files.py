@@ -104,28 +104,33 @@ def missing_tasks(df: DataFrame, routes: Sequence[str], windows: Sequence[int])
     return grid.join(seen, ["route", "days_until_departure"], "left_anti")
 
 
-LOG_PATTERN = r"^(\S+ \S+) \[(STARTED|COMPLETED|SKIPPED)\] (\S+) DUD=(\d+)$"
+#: Evidence lines of a collector log and the queries of a complete run.
+LOG_START, LOG_END, LOG_QUERIES = r"START\s+queries=(\d+)", r"END\s+rows=(\d+)\s+skipped=(\d+)/(\d+)", 220
 
 
-def log_audit(lines: DataFrame, file: str = "file", text: str = "value") -> DataFrame:
-    """Started, completed and skipped queries per collector log and whether every start finished."""
-    kind = F.regexp_extract(text, LOG_PATTERN, 2)
-    return (
-        lines.withColumn("kind", kind)
-        .groupBy(file)
-        .agg(
-            F.count(F.lit(1)).alias("lines"),
-            F.count_if(F.col("kind") == "STARTED").alias("started"),
-            F.count_if(F.col("kind") == "COMPLETED").alias("completed"),
-            F.count_if(F.col("kind") == "SKIPPED").alias("skipped"),
-            F.count_if(F.col("kind") == "").alias("unparsed"),
-        )
-        .withColumn("complete", (F.col("started") > 0) & (F.col("started") == F.col("completed") + F.col("skipped")))
+def log_audit(lines: DataFrame, file: str = "file", text: str = "value", queries: int = LOG_QUERIES) -> DataFrame:
+    """Start and end evidence of every collector log, and whether all queries ran and none was skipped.
+
+    The first matching line of a log counts, by its place ``line``; a log without both lines is not complete.
+    """
+    found = lambda pattern, group: F.regexp_extract(text, pattern, group).try_cast("bigint")
+    first = lambda x: F.min_by(x, F.when(x.isNotNull(), F.col("line")))
+    numbers = lines.select(
+        file, "line", found(LOG_START, 1).alias("s"), found(LOG_END, 1).alias("r"), found(LOG_END, 2).alias("k"), found(LOG_END, 3).alias("e")
+    )
+    out = numbers.groupBy(file).agg(
+        F.count(F.lit(1)).alias("lines"),
+        *[first(F.col(c)).alias(n) for c, n in (("s", "started"), ("r", "reported_rows"), ("k", "skipped"), ("e", "completed"))],
     )
+    complete = (F.col("started") == queries) & (F.col("completed") == queries) & (F.col("skipped") == 0)
+    return out.withColumn("complete", F.coalesce(complete, F.lit(False)))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumn("file", F.col("_metadata.file_name"))
+    """Lines of all logs under a folder with their file and their place in it; a log is one file of a few lines."""
+    whole = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    cut = whole.select(F.element_at(F.split(F.regexp_replace("path", "/[^/]*$", ""), "[/=]"), -1).alias("file"), F.split("value", "\n").alias("x"))
+    return cut.select("file", F.posexplode("x").alias("line", "value")).where("value <> ''")
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("session_date",)) -> None:

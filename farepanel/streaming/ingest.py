@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from farepanel.operators import quality
 from farepanel.operators.scale import join_on
+from farepanel.session import materialise
 
 SESSION = ("12 hours", "12 hours", "6 hours")
 DELAY = "2 days"
@@ -91,10 +93,12 @@ def content_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Table content, or an empty table before the first write."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+    try:
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 LEDGER = T.StructType(
@@ -104,65 +108,88 @@ LEDGER = T.StructType(
         T.StructField("content_hash", T.StringType()),
         T.StructField("rows", T.LongType()),
         T.StructField("status", T.StringType()),
-        T.StructField("batch_id", T.LongType()),
+        T.StructField("version", T.LongType()),
     ]
 )
 
 
-def ledger_state(spark: SparkSession, path: str) -> DataFrame:
-    """Latest status per collection batch; READY sorts after STAGING of the same micro-batch."""
-    log = _existing(spark, path, LEDGER)
-    order = F.struct("batch_id", (F.col("status") != "STAGING").alias("done"))
+def _newest(log: DataFrame) -> DataFrame:
+    """Newest row per collection batch; the final status sorts after STAGING of the same version."""
+    order = F.struct("version", (F.col("status") != "STAGING").alias("done"))
     newest = log.groupBy(*BATCH).agg(F.max_by(F.struct("content_hash", "rows", "status"), order).alias("x"))
     return newest.select(*BATCH, "x.*")
 
 
+def ledger_state(spark: SparkSession, path: str) -> DataFrame:
+    """Latest status per collection batch. Versions are counted by the ledger itself, whatever the checkpoint."""
+    return _newest(_existing(spark, path, LEDGER))
+
+
+def ready_state(spark: SparkSession, path: str) -> DataFrame:
+    """Batches whose stored content is complete: a failed replay leaves the version before it in place."""
+    return _newest(_existing(spark, path, LEDGER).where("status <> 'FAILED'")).where("status = 'READY'")
+
+
+def touched_only(stored: DataFrame, dates: Sequence, touched: DataFrame) -> DataFrame:
+    """Partitions of the touched batches: their dates reach the scan as partition values."""
+    return stored.where(F.col("session_date").isin(list(dates))).join(touched, list(BATCH), "left_semi")
+
+
 def upsert_writer(offers: str, ledger: str, check: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """Idempotent replacement of collection batches.
 
-    A batch whose merged content equals its READY version is skipped. Otherwise a STAGING row is
-    logged, exactly its partition is overwritten, and its final status is logged. With ``check`` only
-    batches that pass become READY; the rest become FAILED.
+    A batch whose merged content equals its READY version, by hash and row count, is skipped. With ``check`` the
+    merged content is judged first: only what passes overwrites its partition and becomes READY; the rest is kept
+    beside the store for rows still to come, and logged as FAILED.
     """
+    pending = f"{offers}-pending"
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         schema = df.schema
         columns = [c for c in df.columns if c not in BATCH]
         touched = df.select(*BATCH).distinct()
-        stored = _existing(spark, offers, schema).join(touched, list(BATCH), "left_semi").select(*df.columns)
-        merged = quality.completed_batch_offers(stored.unionByName(df)).persist()
-        try:
-            fresh = content_hash(merged, columns)
-            known = ledger_state(spark, ledger).where("status = 'READY'").select(*BATCH, F.col("content_hash").alias("__old"))
-            changed = join_on(fresh, known, list(BATCH), "left").where(
-                F.col("__old").isNull() | (F.col("__old") != F.col("content_hash"))
-            ).drop("__old").persist()
-            log = lambda rows: rows.select(*[f.name for f in LEDGER.fields]).write.mode("append").parquet(ledger)
-            tag = lambda status: changed.withColumn("status", F.lit(status)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            log(tag("STAGING"))
-            rows = merged.join(changed.select(*BATCH), list(BATCH), "left_semi")
+        dates = [r[0] for r in touched.select("session_date").distinct().collect()]  # the days of one micro-batch
+        if not dates:
+            return
+        parts = [touched_only(_existing(spark, path, schema), dates, touched).select(*df.columns) for path in (offers, pending)]
+        # written aside: a cached plan would be computed again once its own source folder is overwritten
+        merged = materialise(quality.completed_batch_offers(parts[0].unionByName(parts[1]).unionByName(df)), "merged")
+        version = (_existing(spark, ledger, LEDGER).agg(F.max("version")).first()[0] or 0) + 1
+        fresh = content_hash(merged, columns)
+        known = ready_state(spark, ledger).select(*BATCH, F.struct("content_hash", "rows").alias("__old"))
+        same = F.col("__old").eqNullSafe(F.struct("content_hash", "rows"))
+        changed = join_on(fresh, known, list(BATCH), "left").where(~same).drop("__old")
+        if check is None:
+            changed = changed.withColumn("status", F.lit("READY"))
+        else:
+            verdict = check(merged).select(*BATCH, "status")
+            changed = join_on(changed, verdict, list(BATCH), "left").withColumn("status", F.coalesce("status", F.lit("FAILED")))
+        changed = materialise(changed, "changed")
+        log = lambda rows: rows.withColumn("version", F.lit(version).cast("bigint")).select(
+            *[f.name for f in LEDGER.fields]
+        ).write.mode("append").parquet(ledger)
+        for status, path in (("READY", offers), ("FAILED", pending)):
+            judged = changed.where(F.col("status") == status)
+            if judged.isEmpty():
+                continue
+            if status == "READY":
+                log(judged.withColumn("status", F.lit("STAGING")))
+            rows = merged.join(judged.select(*BATCH), list(BATCH), "left_semi")
             (
                 rows.repartition(*BATCH)
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy(*BATCH)
-                .parquet(offers)
+                .parquet(path)
             )
-            if check is None:
-                log(tag("READY"))
-            else:
-                verdict = check(rows).select(*BATCH, F.col("status").alias("__s"))
-                log(join_on(tag("READY"), verdict, list(BATCH), "left").withColumn("status", F.coalesce("__s", F.lit("FAILED"))).drop("__s"))
-            changed.unpersist()
-        finally:
-            merged.unpersist()
+            log(judged)
 
     return write
 
 
 def ready_offers(spark: SparkSession, offers: str, ledger: str, schema: T.StructType) -> DataFrame:
-    ready = ledger_state(spark, ledger).where("status = 'READY'").select(*BATCH)
+    ready = ready_state(spark, ledger).select(*BATCH)
     return spark.read.schema(schema).parquet(offers).join(ready, list(BATCH), "left_semi")
 
 
