@@ -118,19 +118,26 @@ def retention(df: DataFrame, windows: Sequence[int] = C.BOOKING_WINDOWS) -> Data
 
 
 def horizon_pairs(df: DataFrame, windows: Sequence[int] = C.BOOKING_WINDOWS) -> DataFrame:
-    """Every offer with each lower window, observed or not; the fan-out is the fixed grid."""
-    lower = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: w < F.col("days_until_departure"))
+    """Every offer with each lower window, observed or not; the fan-out is the fixed grid.
+
+    An entity (era, slot, half-day) has at most one offer per window, so it is gathered once and its pairs are formed
+    inside the row: offers are shuffled once, and never after the fan-out.
+    """
     entity = ["collection_era", "schedule_slot_id", "session_label"]
-    target = df.select(
-        *entity,
-        F.col("days_until_departure").alias("target_dud"),
-        F.col("price_vnd").alias("target_price_vnd"),
-        F.col("session_id").alias("target_time"),
-        F.col("session_date").alias("target_session_date"),
-    )
-    out = df.withColumn("target_dud", F.explode(lower)).withColumnRenamed("days_until_departure", "current_dud")
+    rest = [c for c in df.columns if c not in entity]
+    seen = df.groupBy(*entity).agg(F.collect_list(F.struct(*rest)).alias("__seen"))
+    current = seen.select(*entity, "__seen", F.explode("__seen").alias("__c")).select(*entity, "__seen", "__c.*")
+    lower = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: w < F.col("days_until_departure"))
+    out = current.withColumn("target_dud", F.explode(lower)).withColumnRenamed("days_until_departure", "current_dud")
     out = out.withColumn("expected_date", F.date_sub(F.col("flight_date"), F.col("target_dud")))
-    out = out.join(target, [*entity, "target_dud"], "left")
+    hits = F.filter("__seen", lambda s: s["days_until_departure"] == F.col("target_dud"))
+    out = out.withColumn("__t", F.explode_outer(hits)).withColumns(
+        {
+            "target_price_vnd": F.col("__t.price_vnd"),
+            "target_time": F.col("__t.session_id"),
+            "target_session_date": F.col("__t.session_date"),
+        }
+    ).drop("__seen", "__t")
     observed = (
         F.col("target_price_vnd").isNotNull()
         & (F.col("target_time") > F.col("session_id"))

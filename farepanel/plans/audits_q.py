@@ -114,8 +114,11 @@ count(*) FILTER (tp IS NOT NULL AND NOT tt > session_id) AS strict_time_violatio
 MONEY = {"median_change_vnd", "median_wait_savings_vnd", "p90_wait_savings_vnd", "median_rise_cost_vnd", "p90_rise_cost_vnd"}
 
 
+HORIZON = ("collection_era", "schedule_slot_id", "session_label", "offer_id", "days_until_departure", "flight_date", "price_vnd", "session_id", "session_date")
+
+
 def coverage(p):
-    out = audits.horizon_coverage(audits.horizon_pairs(p.offers), CUTOFF)
+    out = audits.horizon_coverage(audits.horizon_pairs(p.offers.select(*HORIZON)), CUTOFF)
     digits = {c: 4 if c in MONEY else 6 if c == "median_change_pct" else 8 for c, t in out.dtypes if t == "double"}
     return out.withColumns({c: F.round(c, d) + 0.0 for c, d in digits.items()})
 
@@ -132,7 +135,7 @@ def horizon_coverage(p):
     + " FROM coverage_table GROUP BY current_dud",
 )
 def coverage_matrix(p):
-    df = audits.horizon_pairs(p.offers).groupBy("current_dud", "target_dud").agg(
+    df = audits.horizon_pairs(p.offers.select(*HORIZON)).groupBy("current_dud", "target_dud").agg(
         audits.pct(F.count_if("observed"), F.count_if(F.col("expected_date") <= F.lit(CUTOFF).cast("date"))).alias("coverage_of_mature_pct")
     )
     return audits.pivot_coverage(rounded(df))
