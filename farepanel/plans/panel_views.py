@@ -190,7 +190,7 @@ WINDOW w AS (PARTITION BY schedule_slot_id ORDER BY feature_time, session_key),
 )
 view(
     "exact_pairs",
-    f"""SELECT c.*, c.days_until_departure AS current_dud, t.days_until_departure AS target_dud,
+    f"""SELECT c.* EXCLUDE (wanted_dud), c.days_until_departure AS current_dud, t.days_until_departure AS target_dud,
        c.days_until_departure - t.days_until_departure AS horizon_gap_days,
        CAST(c.days_until_departure AS VARCHAR) || '->' || CAST(t.days_until_departure AS VARCHAR) AS transition,
        t.offer_id AS target_offer_id, t.price_vnd AS target_price_vnd, t.feature_time AS label_time,
@@ -200,9 +200,9 @@ view(
        100e0 * (t.price_vnd - c.price_vnd) / c.price_vnd AS price_change_pct,
        CAST(t.price_vnd <= 0.95e0 * c.price_vnd AS INTEGER) AS drop_5pct,
        c.collection_era || '->' || t.collection_era AS source_target_era_transition
-FROM timed c JOIN timed t
+FROM (SELECT *, {next_dud('days_until_departure')} AS wanted_dud FROM timed) c JOIN timed t
   ON c.schedule_slot_id = t.schedule_slot_id AND c.session_label = t.session_label
- AND t.days_until_departure = {next_dud('c.days_until_departure')}
+ AND t.days_until_departure = c.wanted_dud
 WHERE t.feature_time > c.feature_time AND t.session_date = c.flight_date - t.days_until_departure""",
 )
 view(
