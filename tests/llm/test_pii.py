@@ -54,7 +54,7 @@ def test_base_spans_against_plain_patterns(spark):
     rng = random.Random(5)
     parts = ["1", "2", "40", "255", "256", "007", ".", ".", "-", " ", "(", ")", "+", "@", "a", "b.c", "_", "%", "é", "🙂", "4532015112830366", "\n", "+1 (743) 555-3824", "10.0.0.1"]
     texts = EDGE + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(2000)]
-    texts += ["a@" + "b." * 5000, "1" * 100_000, "x" * 9_000 + "@", "a.b@c.d_e@f.g@h.i", "1.2.3.4.5.6.7.8.9", "+" + "1" * 100_000, "12 " * 30_000]
+    texts += ["a@" + "b." * 5000, "1" * 6_000, "x" * 6_000 + "@", "a.b@c.d_e@f.g@h.i", "1.2.3.4.5.6.7.8.9", "+" + "1" * 6_000, "12 " * 30_000]
     rows = pii.with_spans(frame(spark, texts)).collect()
     assert len(rows) == len(texts)
     for r in rows:
