@@ -1,8 +1,9 @@
 """Main text of HTML pages by two passes over their blocks.
 
 A page is cut into blocks at block-level tags. Blocks under marked boilerplate (menus, footers, adverts, comments
-and the like) are set aside. The first pass decides the others by link density, length and stop-word density, and
-leaves short ones open; the second gives these the label of their nearest decided neighbours.
+and the like) are set aside. The first pass decides the others by link density and length, in any language; stop
+words break ties between text and links on pages whose language has a list. Short blocks stay open, and the second
+pass gives these the label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ STOP_WORDS = frozenset(
     "le la les de des et un une est en que qui dans pour pas sur au avec il ce ne se plus par du "
     "el los las y es del por con no una su para como más lo al se pero sus".split()
 )
-LINKS, LONG, DENSE, SPARSE = 0.5, 140, 0.25, 0.08
+LINKS, FEW_LINKS, LONG, SPARSE = 0.5, 0.2, 140, 0.08
+#: Scripts that write a word in one or two signs; a sign counts as this many letters of an alphabet.
+IDEOGRAPHS, SIGN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]"), 3
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
@@ -155,21 +158,34 @@ def _density(line: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
+def _size(line: str) -> int:
+    """Length in letters of an alphabet."""
+    return len(line) if line.isascii() else len(line) + (SIGN - 1) * len(IDEOGRAPHS.findall(line))
+
+
+def _links(block: Block) -> float:
+    return block.linked / max(1, len(block.line.replace(" ", "")))
+
+
+def listed_language(blocks: list[Block]) -> bool:
+    """Whether the stop words say anything on a page: its text outside link lists has enough of them."""
+    return _density(" ".join(b.line for b in blocks if _links(b) <= LINKS)) >= SPARSE
+
+
 GOOD, BAD, OPEN = 1, 0, -1
 
 
-def first_pass(block: Block) -> int:
-    """Label by links, length and stop words; inside an article only link lists are bad."""
-    chars = len(block.line.replace(" ", ""))
-    links = block.linked / max(1, chars)
+def first_pass(block: Block, listed: bool) -> int:
+    """Label by links and length; between text and links stop words decide, if the page's language has a list.
+    Inside an article only link lists are bad."""
+    links = _links(block)
     if links > (0.9 if block.main else LINKS):
         return BAD if not block.main or block.tag == "li" else OPEN
-    if len(block.line) < LONG:
+    if _size(block.line) < LONG:
         return OPEN
-    density = _density(block.line)
-    if density >= DENSE or block.main:
+    if links <= FEW_LINKS or block.main or _density(block.line) >= SPARSE:
         return GOOD
-    return BAD if density < SPARSE and links > 0.2 else GOOD if density >= SPARSE else OPEN
+    return BAD if listed else OPEN
 
 
 def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
@@ -206,7 +222,8 @@ def main_text(page: str | None) -> str:
         if any(b.main == main for b in blocks):
             blocks = [b for b in blocks if b.main == main]
             break
-    labels = second_pass(blocks, [first_pass(b) for b in blocks])
+    listed = listed_language(blocks)
+    labels = second_pass(blocks, [first_pass(b, listed) for b in blocks])
     return "\n".join(b.line for b, label in zip(blocks, labels) if label == GOOD)
 
 

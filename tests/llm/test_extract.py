@@ -25,6 +25,27 @@ def test_density_decides_without_an_article():
     assert extract.main_text(page) == f"Title\n{PARA}\nBrief note.\n{OTHER}"
 
 
+def test_languages_without_stop_words():
+    texts = {
+        "ru": "Дом на холме построили весной того года, и люди, которые жили там, пришли с побережья со всем своим имуществом, чтобы начать новую жизнь вдали от моря.",
+        "el": "Το σπίτι πάνω στον λόφο χτίστηκε την άνοιξη εκείνης της χρονιάς και οι άνθρωποι που ζούσαν εκεί είχαν έρθει από την ακτή με όλα τα υπάρχοντά τους.",
+        "fi": "Mäellä oleva talo rakennettiin sinä keväänä, ja siellä asuneet ihmiset olivat tulleet rannikolta kaiken omaisuutensa kanssa aloittaakseen uuden elämän.",
+        "zh": "山上的房子是那年春天建成的,住在里面的人带着他们所有的家当从海边来到这里,希望在远离大海的地方开始新的生活,并把孩子抚养成人。",
+    }
+    menu = "<ul><li><a href=1>1</a></li><li><a href=2>2</a></li></ul>"
+    for text in texts.values():
+        assert extract.main_text(f"<body><div><div>{text}</div><div>{text}!</div></div></body>") == f"{text}\n{text}!"
+        assert extract.main_text(f"<body>{menu}<div>{text}</div><div>{text}!</div>{menu}</body>") == f"{text}\n{text}!"
+
+
+def test_stop_words_break_ties():
+    half = " ".join(["<a href=1>Shoes Boots</a> Sandals Slippers Trainers"] * 6)
+    assert extract.main_text(f"<div>{PARA}</div><div>{OTHER}</div><div>{half}</div>") == f"{PARA}\n{OTHER}"
+    russian = "Дом на холме построили весной того года, и люди пришли туда с побережья. "
+    linked = (russian * 4).replace("весной того года", "<a href=1>весной того года</a>")
+    assert len(extract.main_text(f"<div>{russian * 3}</div><div>{linked}</div>").split("\n")) == 2
+
+
 def test_main_and_roles():
     page = f'<main><div role="complementary">{OTHER}</div><p>{PARA}</p><div style="display: none">{OTHER}</div><div hidden>x</div></main><p>{OTHER}</p>'
     assert extract.main_text(page) == PARA
