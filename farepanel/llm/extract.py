@@ -1,14 +1,19 @@
 """Main text of HTML pages by two passes over their blocks.
 
-A page is cut into blocks at block-level tags. Blocks under marked boilerplate (menus, footers, adverts, comments
-and the like) are set aside. The first pass decides the others by link density and length, in any language; stop
-words break ties between text and links on pages whose language has a list. Short blocks stay open, and the second
-pass gives these the label of their nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass decides them by link density and length, in any
+language; stop words break ties between text and links on pages whose language has a list. Short blocks stay open,
+and the second pass gives these the label of their nearest decided neighbours.
+
+Tags, roles, class names and ids are a prior of the first pass. Firm marks (menus, footers, comments, adverts, hidden
+parts) set a block aside. Weak marks (sidebar, header, related, widget, share ...), which are as often names of a
+layout, ask more of it, and so does a place outside the article. A mark on a container of the page's main article or
+of most of its text says nothing. Only an article that holds a fair part of the page's text is a prior for it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -24,14 +29,21 @@ BLOCK_TAGS = frozenset(
     "head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 RAW_TAGS = frozenset("script style title textarea iframe noembed noframes noscript xmp template svg math select option button object canvas audio video".split())
-BOILER_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split())
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form alertdialog".split())
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "sidebar sidebars aside footer foot header masthead topbar banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus respond reply replies "
-    "pagination pager toolbar widget widgets skip copyright disclaimer hidden".split()
+WEAK_TAGS = frozenset("header aside".split())
+FIRM_TAGS = frozenset("nav footer form menu dialog search fieldset".split())
+WEAK_ROLES = frozenset("banner complementary".split())
+FIRM_ROLES = frozenset("navigation contentinfo search dialog alert menu menubar form alertdialog".split())
+TITLE_WORDS = frozenset("header head".split())  # of an article they name the part with its title
+WEAK_WORDS = TITLE_WORDS | frozenset(
+    "promo promotion sidebar sidebars aside masthead topbar banner notice notices notification alert share sharing social related recommended "
+    "toolbar widget widgets skip hidden foot teaser teasers".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+FIRM_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors nav navbar navigation menu menus breadcrumb breadcrumbs footer "
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login pagination pager copyright disclaimer".split()
+)
+ARTICLE_WORDS = COMMENT_WORDS | frozenset("ad ads advert adverts advertisement sponsor sponsored related teaser teasers".split())  # those that count on an article itself
 MAIN_TAGS = ("article", "main")
 STOP_WORDS = frozenset(
     "the of and to in a is that for it was on are as with be by at this from or have an they which not but "
@@ -40,6 +52,8 @@ STOP_WORDS = frozenset(
     "el los las y es del por con no una su para como más lo al se pero sus".split()
 )
 LINKS, FEW_LINKS, LONG, SPARSE = 0.5, 0.2, 140, 0.08
+DOUBT = 3  # times the length that a block needs against a weak mark or outside the article
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Scripts that write a word in one or two signs; a sign counts as this many letters of an alphabet.
 IDEOGRAPHS, SIGN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]"), 3
 
@@ -54,51 +68,72 @@ VOID = frozenset("hr".split())
 CLOSED_BY = {"p": BLOCK_TAGS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), **{f"h{i}": BLOCK_TAGS for i in range(1, 7)}}
 
 
+WEAK, FIRM, COMMENT = 1, 2, 3
+
+
+@dataclass(eq=False)
+class Place:
+    """A container with its mark and the length of the running text in it."""
+
+    tag: str
+    mark: int = 0
+    parent: Place | None = None
+    prose: int = 0
+
+    def around(self) -> Iterator[Place]:
+        place = self
+        while place is not None:
+            yield place
+            place = place.parent
+
+
 @dataclass
 class Block:
     tag: str
-    boiler: bool
-    main: str
+    place: Place
     text: list[str] = field(default_factory=list)
     linked: int = 0
     line: str = ""
+    mark: int = 0
+    main: bool = False
 
 
-def _marked(tag: str, rest: str, inside_main: bool) -> bool:
-    """Whether a tag opens boilerplate, by its name, role, class, id or visibility."""
-    if tag in BOILER_TAGS or (tag == "header" and not inside_main):
-        return True
+def _marked(tag: str, rest: str, inside_main: bool) -> int:
+    """The mark that a tag opens by its name, role, class, id or visibility; the firmest counts, 0 for none."""
+    mark = FIRM if tag in FIRM_TAGS else WEAK if tag in WEAK_TAGS and not (tag == "header" and inside_main) else 0
     if "=" not in rest and "hidden" not in rest:
-        return False
+        return mark
     for name, double, single, bare, alone in ATTRIBUTE.findall(rest):
         name, value = (name or alone).lower(), double or single or bare
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name == "role" and value.strip().lower() in BOILER_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("body", "html", *MAIN_TAGS):
-            if any(part.lower() in BOILER_WORDS for part in NAME_PARTS.findall(value)):
-                return True
-        if name in ("class", "id") and tag in MAIN_TAGS and re.search(r"\b(?:comment|reply|advert|ad|sponsor|related|teaser)", value, re.I):
-            return True
-    return False
+            mark = max(mark, FIRM)
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            mark = max(mark, FIRM)
+        elif name == "role":
+            role = value.strip().lower()
+            mark = max(mark, FIRM if role in FIRM_ROLES else WEAK if role in WEAK_ROLES else 0)
+        elif name in ("class", "id") and tag not in ("body", "html"):
+            words = {part.lower() for part in NAME_PARTS.findall(value)}
+            if tag in MAIN_TAGS:
+                words &= ARTICLE_WORDS
+            elif inside_main or tag in HEADINGS:
+                words -= TITLE_WORDS
+            mark = max(mark, COMMENT if words & COMMENT_WORDS else FIRM if words & FIRM_WORDS else WEAK if words & WEAK_WORDS else 0)
+    return mark
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text in page order, white space as one space and character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, str]] = [("", False, "")]
-    block, in_link, at = Block("", False, ""), False, 0
+    stack = [Place("")]
+    block, in_link, at = Block("", stack[0]), False, 0
 
     def flush() -> None:
         nonlocal block, in_link
         block.line = " ".join("".join(block.text).split())
         if block.line:
             out.append(block)
-        tag, boiler, main = stack[-1]
-        block = Block(tag, boiler, main)
+        block = Block(stack[-1].tag, stack[-1])
 
     def add(piece: str) -> None:
         if piece:
@@ -123,8 +158,8 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "a":
                 in_link = False
             elif tag in BLOCK_TAGS:
-                if any(t == tag for t, _, _ in stack):
-                    while stack[-1][0] != tag:
+                if any(p.tag == tag for p in stack):
+                    while stack[-1].tag != tag:
                         stack.pop()
                     stack.pop()
                 flush()
@@ -139,16 +174,12 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in ("br", "img", "wbr", "input"):
             block.text.append(" " if tag == "br" else "")
         elif tag in BLOCK_TAGS:
-            while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1][0], ()):
+            while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1].tag, ()):
                 stack.pop()
-            _, boiler, main = stack[-1]
-            boiler = boiler or _marked(tag, token["rest"], bool(main))
-            if tag in MAIN_TAGS and not boiler:
-                main = "article" if tag == "article" or main == "article" else "main"
             if tag not in VOID:
-                stack.append((tag, boiler, main))
+                inside_main = any(p.tag in MAIN_TAGS for p in stack)
+                stack.append(Place(tag, _marked(tag, token["rest"], inside_main), stack[-1]))
             flush()
-            block.boiler = boiler
     flush()
     return out
 
@@ -175,15 +206,66 @@ def listed_language(blocks: list[Block]) -> bool:
 GOOD, BAD, OPEN = 1, 0, -1
 
 
-def first_pass(block: Block, listed: bool) -> int:
+def _prose(block: Block) -> int:
+    """Length of a block of running text, 0 for others."""
+    size = _size(block.line)
+    return size if size >= LONG and _links(block) <= FEW_LINKS else 0
+
+
+def set_priors(blocks: list[Block]) -> bool:
+    """Set the mark that counts for every block and whether it is in the page's article; whether there is one.
+
+    A container's mark is void if it holds most of the page's text (comments: nearly all) and no heavier article is
+    outside, or, for weak marks, the article with the most text.
+    """
+    prose = [_prose(b) for b in blocks]
+    paths = [list(b.place.around()) for b in blocks]
+    total = 0
+    for path, size in zip(paths, prose):
+        total += 0 if any(p.mark == COMMENT for p in path) else size
+        for place in path if size else ():
+            place.prose += size
+    everything = sum(prose)
+    articles = {p for path in paths for p in path if p.tag in MAIN_TAGS and not p.mark and p.prose}
+    articles = {p for p in articles if all(q.mark != COMMENT for q in p.around())} or articles
+    # of equally heavy ones the innermost, which is what an article in a main is
+    heaviest = max(articles, key=lambda p: (p.prose, sum(1 for _ in p.around())), default=None)
+    holders = set(heaviest.around()) if heaviest else set()
+
+    def void(place: Place) -> bool:
+        holds = place in holders
+        if place.mark == COMMENT:
+            return place.prose > 0.8 * everything and (holds or not heaviest)
+        if place.mark == WEAK and holds:
+            return True
+        return 2 * place.prose > total and (not heaviest or holds or place.prose > 2 * heaviest.prose)
+
+    for block, path in zip(blocks, paths):
+        block.mark = max((p.mark for p in path if p.mark and not void(p)), default=0)
+    for name in MAIN_TAGS:
+        inside = [not b.mark and any(p.tag == name and not p.mark for p in path) for b, path in zip(blocks, paths)]
+        own = sum(n for n, i in zip(prose, inside) if i)
+        rest = sum(n for n, b, i in zip(prose, blocks, inside) if not i and not b.mark)
+        if any(inside) and rest <= 2 * own:
+            for block, i in zip(blocks, inside):
+                block.main = i
+            return True
+    return False
+
+
+def first_pass(block: Block, listed: bool, doubted: bool = False) -> int:
     """Label by links and length; between text and links stop words decide, if the page's language has a list.
-    Inside an article only link lists are bad."""
-    links = _links(block)
-    if links > (0.9 if block.main else LINKS):
-        return BAD if not block.main or block.tag == "li" else OPEN
-    if _size(block.line) < LONG:
+    Short blocks of an article are bad only if they are lists of links or links without text; ``doubted`` blocks are
+    good only if they are running text of ``DOUBT`` times the length."""
+    links, size = _links(block), _size(block.line)
+    if links > LINKS:
+        kept = block.main and size < LONG and (block.tag in HEADINGS or (links <= 0.9 and block.tag != "li"))
+        return OPEN if kept else BAD
+    if size < LONG:
         return OPEN
-    if links <= FEW_LINKS or block.main or _density(block.line) >= SPARSE:
+    if doubted and (size < DOUBT * LONG or links > FEW_LINKS):
+        return BAD
+    if links <= FEW_LINKS or _density(block.line) >= SPARSE:
         return GOOD
     return BAD if listed else OPEN
 
@@ -206,7 +288,7 @@ def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
     for i, label in enumerate(labels):
         if label == OPEN:
             near = [j for j in (after[i], before[i]) if j is not None]
-            if blocks[i].tag in ("h1", "h2", "h3", "h4", "h5", "h6") and after[i] is not None:
+            if blocks[i].tag in HEADINGS and after[i] is not None:
                 near = [after[i]]
             label = labels[min(near, key=lambda j: (abs(j - i), -labels[j]))] if near else (GOOD if blocks[i].main else BAD)
         out.append(label)
@@ -217,14 +299,16 @@ def main_text(page: str | None) -> str:
     """Good blocks in page order, joined by a line feed."""
     if not page:
         return ""
-    blocks = [b for b in blocks_of(page) if not b.boiler]
-    for main in MAIN_TAGS:
-        if any(b.main == main for b in blocks):
-            blocks = [b for b in blocks if b.main == main]
-            break
-    listed = listed_language(blocks)
-    labels = second_pass(blocks, [first_pass(b, listed) for b in blocks])
-    return "\n".join(b.line for b, label in zip(blocks, labels) if label == GOOD)
+    blocks = blocks_of(page)
+    article = set_priors(blocks)
+    blocks = [b for b in blocks if b.mark < FIRM]
+    listed, good = listed_language(blocks), set()
+    # doubted blocks decide among themselves, so that the edges of a page do not follow the article next to them
+    for doubted in (False, True):
+        part = [i for i, b in enumerate(blocks) if (b.mark == WEAK or (article and not b.main)) == doubted]
+        labels = second_pass([blocks[i] for i in part], [first_pass(blocks[i], listed, doubted) for i in part])
+        good.update(i for i, label in zip(part, labels) if label == GOOD)
+    return "\n".join(b.line for i, b in enumerate(blocks) if i in good)
 
 
 def extract(df: DataFrame, html: str = "html", into: str = "text", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

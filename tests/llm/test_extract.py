@@ -46,6 +46,35 @@ def test_stop_words_break_ties():
     assert len(extract.main_text(f"<div>{russian * 3}</div><div>{linked}</div>").split("\n")) == 2
 
 
+def test_marks_on_containers_of_the_text():
+    assert extract.main_text(f'<div class="site has-sidebar"><article><p>{PARA}</p></article><div class="sidebar">{OTHER}</div></div>') == PARA
+    assert extract.main_text(f'<form id="aspnetForm"><div class="header">Site</div><div>{PARA}</div><div>{OTHER}</div></form>') == f"{PARA}\n{OTHER}"
+    assert extract.main_text(f'<div class="widget share"><div>{PARA}</div><div>{OTHER}</div></div><div>Short</div>').startswith(f"{PARA}\n{OTHER}")
+    assert extract.main_text(f'<article><header class="entry-header"><h1>Title</h1></header><p>{PARA}</p></article>') == f"Title\n{PARA}"
+    assert extract.main_text(f'<article class="adventure"><p>{PARA}</p></article>') == PARA
+
+
+def test_weak_marks_decide_block_by_block():
+    page = f'<article><p>{PARA}</p><section class="related-work"><p>{OTHER * 4}</p><p><a href=1>{OTHER}</a></p></section><div class="share">{OTHER}</div></article>'
+    assert extract.main_text(page) == f"{PARA}\n{OTHER * 4}"
+    page = f'<article><p>{PARA}</p></article><section class="comments"><article><p>{OTHER * 9}</p></article></section>'
+    assert extract.main_text(page) == PARA
+
+
+def test_teaser_article_and_body_in_divs():
+    page = f"<article><h2>Teaser</h2><p>Read on.</p></article><div><div>{PARA}</div><div>{OTHER}</div></div>"
+    assert f"{PARA}\n{OTHER}" in extract.main_text(page)
+    page = f"<main><div>{PARA * 3}</div><div>{OTHER * 3}</div><article><p>{PARA}</p></article></main><div>{OTHER}</div>"
+    assert extract.main_text(page) == f"{PARA * 3}\n{OTHER * 3}\n{PARA}"
+    assert extract.main_text(f"<article><p>{PARA}</p></article><div>{OTHER * 4}</div>").startswith(PARA)
+
+
+def test_links_decide_inside_an_article():
+    linked = f"<p><a href=1>{OTHER}</a> more</p>"
+    page = f"<article><h1><a href=0>Title</a></h1><p>{PARA}</p>{linked}<p><a href=2>Read more</a></p></article>"
+    assert extract.main_text(page) == f"Title\n{PARA}"
+
+
 def test_main_and_roles():
     page = f'<main><div role="complementary">{OTHER}</div><p>{PARA}</p><div style="display: none">{OTHER}</div><div hidden>x</div></main><p>{OTHER}</p>'
     assert extract.main_text(page) == PARA
