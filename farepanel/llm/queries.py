@@ -32,9 +32,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = minhash.with_neighbours(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    rows = minhash.with_class(minhash.with_neighbours(docs), docs)
     hexed = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
-    return rows.withColumns(hexed)
+    return rows.withColumns(hexed).drop("node")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,46 @@ def test_near_classes(spark):
     assert [got[i] for i in range(len(texts))] == components(len(texts), linked)
 
 
+def templates(n, seed):
+    """Texts of one template at about 0.6 to each other, and copies of some of them at 0.8 and more."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(n):
+        texts.append(" ".join(base + [f"u{k}_{i}" for i in range(45)]))
+        if k % 3 == 0:
+            texts.append(texts[-1] + " " + " ".join(f"x{k}_{i}" for i in range(rng.choice((10, 30, 45, 60)))))
+    return rng.sample(texts, len(texts))
+
+
+def test_bucket_of_similar_texts(spark):
+    texts = templates(240, 8)
+    found = [sets(t) for t in texts]
+    keys = [[minhash.signature_of(t)[4 * b : 4 * b + 4].tobytes() for b in range(32)] for t in texts]
+    linked = lambda i, j: jaccard(found[i], found[j]) >= 0.8 and any(a == b for a, b in zip(keys[i], keys[j]))
+    want = components(len(texts), linked)
+    assert 240 <= len(set(want)) < len(texts)
+    for options in ({}, {"group": 16}, {"load": 2000}):
+        got = {r.doc_id: r.class_id for r in minhash.near_classes(frame(spark, texts), **options).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_large_bucket_of_near_copies(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(200)]
+    rows = minhash.near_classes(frame(spark, texts), group=16).collect()
+    assert len(rows) == 200 and {r.class_id for r in rows} == {0}
+
+
+def test_query_carries_classes(spark):
+    from farepanel.llm import queries
+    from tests.conftest import SF
+
+    rows = queries.op3_minhash(spark, SF).collect()
+    want = minhash.near_classes(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in rows) == sorted(map(tuple, want))
+
+
 def test_query_whole_table(spark):
     from farepanel.llm import queries
     from tests.conftest import SF
