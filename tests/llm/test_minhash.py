@@ -106,6 +106,18 @@ def test_bucket_of_similar_texts(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_pairs_that_share_little_but_the_template(spark):
+    words = lambda name, n: [f"{name}_{i}" for i in range(n)]
+    texts = [" ".join(words("w", 180) + words(f"p{k // 2}", 5) + words(f"u{k}", 20)) for k in range(240)]
+    found = [sets(t) for t in texts]
+    keys = [[minhash.signature_of(t)[4 * b : 4 * b + 4].tobytes() for b in range(32)] for t in texts]
+    linked = lambda i, j: jaccard(found[i], found[j]) >= 0.8 and any(a == b for a, b in zip(keys[i], keys[j]))
+    want = components(len(texts), linked)
+    assert len(set(want)) == 120
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_large_bucket_of_near_copies(spark):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(200)]
