@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farepanel.llm import bpe, exact, extract, langid, minhash, packing, pii, sharding, simhash, substring
+from farepanel.llm import bpe, divergence, exact, extract, langid, minhash, packing, pii, sharding, simhash, substring
 from farepanel.llm.common import documents
 
 SHARDS = 24
@@ -78,8 +78,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring, op2_bpe, op3_minhash, op4_pii, op5_packing, op6_html, op7_simhash, op8_exact, op9_langid, op10_sharding)
+    f.__name__: f for f in (op1_substring, op2_bpe, op3_minhash, op4_pii, op5_packing, op6_html, op7_simhash, op8_exact, op9_langid, op10_sharding, op11_divergence)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLE: dict[str, str] = {
@@ -107,5 +111,35 @@ WITH d AS (
     FROM d WINDOW best AS (PARTITION BY t ORDER BY n DESC, doc_id)
 )
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM ranked
+""",
+    "op11_divergence": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), w AS (
+    SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+    SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 10
+), n AS (
+    SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), cells AS (
+    SELECT g.lang, g.source, k.term, coalesce(n.n, 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k USING (lang) LEFT JOIN n USING (lang, source, term)
+), p AS (
+    SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER g + 2 * count(*) OVER g)::HUGEINT AS p FROM cells WINDOW g AS (PARTITION BY lang, source)
+), whole AS (
+    SELECT lang, term, sum(n)::HUGEINT AS n FROM cells GROUP BY ALL
+), q AS (
+    SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER g + 2 * count(*) OVER g)::HUGEINT AS q FROM whole WINDOW g AS (PARTITION BY lang)
+), sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), groups AS (
+    SELECT DISTINCT lang, source FROM d
+), parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL
+    SELECT p.lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """,
 }
