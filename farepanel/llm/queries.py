@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farepanel.llm import bpe, divergence, exact, extract, langid, minhash, packing, pii, sharding, simhash, substring
+from farepanel.llm import bpe, divergence, exact, extract, fim, langid, minhash, packing, pii, sharding, simhash, substring
 from farepanel.llm.common import documents
 
 SHARDS = 24
@@ -82,8 +82,17 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(documents(spark, sf_dir))
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+        F.sha2("fim.output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring, op2_bpe, op3_minhash, op4_pii, op5_packing, op6_html, op7_simhash, op8_exact, op9_langid, op10_sharding, op11_divergence)
+    f.__name__: f for f in (op1_substring, op2_bpe, op3_minhash, op4_pii, op5_packing, op6_html, op7_simhash, op8_exact, op9_langid, op10_sharding, op11_divergence, op12_fim)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLE: dict[str, str] = {
@@ -141,5 +150,22 @@ WITH d AS (
     SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
 )
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+""",
+    "op12_fim": r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h FROM documents
+), u AS (
+    SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS r FROM d
+), c AS (
+    SELECT *, len(w) AS n, least(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS a, greatest(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+    SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS prefix, coalesce(array_to_string(w[a + 1:b], ''), '') AS middle, coalesce(array_to_string(w[b + 1:], ''), '') AS suffix FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form,
+    CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM p
 """,
 }
