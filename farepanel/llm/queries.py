@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farepanel.llm import bpe, divergence, exact, extract, fim, langid, minhash, packing, pii, sharding, simhash, substring
+from farepanel.llm import bpe, divergence, exact, extract, fim, langid, minhash, packing, pii, secretscan, sharding, simhash, substring
 from farepanel.llm.common import documents
 
 SHARDS = 24
@@ -91,8 +91,17 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = secretscan.with_spans(docs, secretscan.dictionary(docs))
+    base = F.filter("spans", lambda s: s["kind"] != secretscan.VALUE)
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secretscan.BASE]
+    return found.select("doc_id", *counts, F.sha2(secretscan.spans_text(base), 256).alias("base_sha256"), secretscan.spans_text(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring, op2_bpe, op3_minhash, op4_pii, op5_packing, op6_html, op7_simhash, op8_exact, op9_langid, op10_sharding, op11_divergence, op12_fim)
+    f.__name__: f for f in (op1_substring, op2_bpe, op3_minhash, op4_pii, op5_packing, op6_html, op7_simhash, op8_exact, op9_langid, op10_sharding, op11_divergence, op12_fim, op13_secrets)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLE: dict[str, str] = {
