@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farepanel.llm.common import slices
+from farepanel.llm.common import shared_table, slices
 from farepanel.llm.divergence import terms_of
 
 #: Fixed values of the base kinds, in their order: patterns over UTF-8 and the least length of what they hold. The first
@@ -228,10 +228,22 @@ def _bytes(df: DataFrame, text: str) -> Column:
 
 def dictionary(df: DataFrame, text: str = "text", words: int = WORDS) -> dict[str, int]:
     """Rank of every word that guesses try early: the common ones, then the ``words`` most frequent of the whole table
-    (3 to ``LONGEST_WORD`` letters, A-Z lowered, ties by word). This bound is what reaches the driver and the tasks."""
+    (3 to ``LONGEST_WORD`` letters, A-Z lowered, ties by word). This bound is what reaches the driver and the tasks.
+
+    Bands of counts, a sixteenth of an octave wide, tell from which count on there are enough words, so that only words
+    at or above that band are ranked, however many partitions hold them.
+    """
     counted = df.select(_bytes(df, text).alias("text")).mapInArrow(count_words, "word string, n long")
     usable = F.length("word").between(3, LONGEST_WORD) & ~F.col("word").isin(COMMON)
-    top = counted.where(usable).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    counted = shared_table(counted.where(usable).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    band = F.floor(F.log2("n") * 16)
+    sizes = {r.band: r.n for r in counted.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, held = max(sizes, default=0), 0
+    for at in sorted(sizes, reverse=True):
+        if held >= words:
+            break
+        least, held = at, held + sizes[at]
+    top = counted.where(band >= least).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
     return {word: i for i, word in enumerate([*COMMON, *(r.word for r in top)], 1)}
 
 
