@@ -16,7 +16,8 @@ VIEWS: dict[str, str] = {}
 
 def view(name: str, sql: str) -> None:
     """Named CTE available to every oracle; later views may use earlier ones."""
-    VIEWS[name] = sql.strip()
+    if VIEWS.setdefault(name, sql.strip()) != sql.strip():
+        raise ValueError(f"view {name} defined twice")
 
 
 def expand(sql: str) -> str:

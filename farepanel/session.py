@@ -47,6 +47,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system of a path, and the path as its object: works wherever Spark itself reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no such folder."""
+    files, where = file_system(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = file_system(spark, path)
+    files.delete(where, True)
+
+
+def publish(spark: SparkSession, source: str, target: str) -> None:
+    """Give a finished folder its name in one step; fails if the name is taken. Needs a file system whose rename is atomic."""
+    jvm = spark._jvm
+    files, where = file_system(spark, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    context.rename(jvm.org.apache.hadoop.fs.Path(source), where, options)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: columnar, prunable, and safe against lost executors."""
     spark = df.sparkSession

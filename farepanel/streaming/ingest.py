@@ -8,19 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from farepanel.operators import quality
-from farepanel.operators.scale import join_on
-from farepanel.session import materialise
 
 SESSION = ("12 hours", "12 hours", "6 hours")
 DELAY = "2 days"
-BATCH = ("session_date", "session_label")
 
 
 def read_offers(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -80,174 +75,3 @@ def latest_version(spark: SparkSession, path: str, keys: Sequence[str]) -> DataF
     rest = [c for c in log.columns if c not in (*keys, "batch_id")]
     newest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("x"))
     return newest.select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest])
-
-
-# --- store ----------------------------------------------------------------------------------
-
-
-def content_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free fingerprint and row count of every collection batch."""
-    row = F.xxhash64(*columns).cast("decimal(38,0)")
-    return df.groupBy(*BATCH).agg(F.sum(row).cast("string").alias("content_hash"), F.count(F.lit(1)).alias("rows"))
-
-
-def _existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Table content, or an empty table before the first write."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-LEDGER = T.StructType(
-    [
-        T.StructField("session_date", T.DateType()),
-        T.StructField("session_label", T.StringType()),
-        T.StructField("content_hash", T.StringType()),
-        T.StructField("rows", T.LongType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("version", T.LongType()),
-    ]
-)
-
-
-def _newest(log: DataFrame) -> DataFrame:
-    """Newest row per collection batch; the final status sorts after STAGING of the same version."""
-    order = F.struct("version", (F.col("status") != "STAGING").alias("done"))
-    newest = log.groupBy(*BATCH).agg(F.max_by(F.struct("content_hash", "rows", "status"), order).alias("x"))
-    return newest.select(*BATCH, "x.*")
-
-
-def ledger_state(spark: SparkSession, path: str) -> DataFrame:
-    """Latest status per collection batch. Versions are counted by the ledger itself, whatever the checkpoint."""
-    return _newest(_existing(spark, path, LEDGER))
-
-
-def ready_state(spark: SparkSession, path: str) -> DataFrame:
-    """Batches whose stored content is complete: a failed replay leaves the version before it in place."""
-    return _newest(_existing(spark, path, LEDGER).where("status <> 'FAILED'")).where("status = 'READY'")
-
-
-def touched_only(stored: DataFrame, dates: Sequence, touched: DataFrame) -> DataFrame:
-    """Partitions of the touched batches: their dates reach the scan as partition values."""
-    return stored.where(F.col("session_date").isin(list(dates))).join(touched, list(BATCH), "left_semi")
-
-
-def upsert_writer(offers: str, ledger: str, check: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """Idempotent replacement of collection batches.
-
-    A batch whose merged content equals its READY version, by hash and row count, is skipped. With ``check`` the
-    merged content is judged first: only what passes overwrites its partition and becomes READY; the rest is kept
-    beside the store for rows still to come, and logged as FAILED.
-    """
-    pending = f"{offers}-pending"
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        schema = df.schema
-        columns = [c for c in df.columns if c not in BATCH]
-        touched = df.select(*BATCH).distinct()
-        dates = [r[0] for r in touched.select("session_date").distinct().collect()]  # the days of one micro-batch
-        if not dates:
-            return
-        parts = [touched_only(_existing(spark, path, schema), dates, touched).select(*df.columns) for path in (offers, pending)]
-        # written aside: a cached plan would be computed again once its own source folder is overwritten
-        merged = materialise(quality.completed_batch_offers(parts[0].unionByName(parts[1]).unionByName(df)), "merged")
-        version = (_existing(spark, ledger, LEDGER).agg(F.max("version")).first()[0] or 0) + 1
-        fresh = content_hash(merged, columns)
-        known = ready_state(spark, ledger).select(*BATCH, F.struct("content_hash", "rows").alias("__old"))
-        same = F.col("__old").eqNullSafe(F.struct("content_hash", "rows"))
-        changed = join_on(fresh, known, list(BATCH), "left").where(~same).drop("__old")
-        if check is None:
-            changed = changed.withColumn("status", F.lit("READY"))
-        else:
-            verdict = check(merged).select(*BATCH, "status")
-            changed = join_on(changed, verdict, list(BATCH), "left").withColumn("status", F.coalesce("status", F.lit("FAILED")))
-        changed = materialise(changed, "changed")
-        log = lambda rows: rows.withColumn("version", F.lit(version).cast("bigint")).select(
-            *[f.name for f in LEDGER.fields]
-        ).write.mode("append").parquet(ledger)
-        for status, path in (("READY", offers), ("FAILED", pending)):
-            judged = changed.where(F.col("status") == status)
-            if judged.isEmpty():
-                continue
-            if status == "READY":
-                log(judged.withColumn("status", F.lit("STAGING")))
-            rows = merged.join(judged.select(*BATCH), list(BATCH), "left_semi")
-            (
-                rows.repartition(*BATCH)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(*BATCH)
-                .parquet(path)
-            )
-            log(judged)
-
-    return write
-
-
-def ready_offers(spark: SparkSession, offers: str, ledger: str, schema: T.StructType) -> DataFrame:
-    ready = ready_state(spark, ledger).select(*BATCH)
-    return spark.read.schema(schema).parquet(offers).join(ready, list(BATCH), "left_semi")
-
-
-# --- stateful history -----------------------------------------------------------------------
-
-HISTORY_STATE = T.StructType(
-    [T.StructField("n", T.LongType())]
-    + [T.StructField(c, T.DoubleType()) for c in ("mean_y", "m2_y", "mean_x", "m2_x", "cov", "last")]
-)
-HISTORY_OUTPUT = T.StructType(
-    [
-        T.StructField("offer_id", T.LongType()),
-        T.StructField("prior_observation_count", T.LongType()),
-        T.StructField("previous_price_same_schedule", T.DoubleType()),
-        T.StructField("prior_price_volatility_vnd", T.DoubleType()),
-        T.StructField("prior_price_trend_vnd_per_dud_day", T.DoubleType()),
-    ]
-)
-
-
-def stateful_history(stream: DataFrame) -> DataFrame:
-    """Strictly prior statistics per slot while batches arrive in time order.
-
-    The state is seven numbers per slot: running means, centred sums and the last fare. A slot has one
-    row per batch, so the rows of one key in one micro-batch are bounded by the batches it spans.
-    """
-
-    def update(key, frames, state):
-        import math
-
-        import pandas as pd
-
-        n, my, sy, mx, sx, cov, last = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0, float("nan"))
-        rows = pd.concat(list(frames)).sort_values(["feature_time", "session_key"])
-        out = []
-        for row in rows.itertuples(index=False):
-            out.append(
-                (
-                    row.offer_id,
-                    n,
-                    last if n else None,
-                    math.sqrt(max(sy / n, 0.0)) if n >= 2 else None,
-                    cov / sx if n >= 2 and sx > 1e-9 else None,
-                )
-            )
-            y, x = float(row.price_vnd), float(row.days_until_departure)
-            n += 1
-            dx, dy = x - mx, y - my
-            mx, my = mx + dx / n, my + dy / n
-            sx, sy = sx + dx * (x - mx), sy + dy * (y - my)
-            cov += dx * (y - my)
-            last = y
-        state.update((n, my, sy, mx, sx, cov, last))
-        names = ["offer_id", "prior_observation_count", "previous_price_same_schedule",
-                 "prior_price_volatility_vnd", "prior_price_trend_vnd_per_dud_day"]
-        yield pd.DataFrame(out, columns=names)
-
-    keep = stream.select("schedule_slot_id", "offer_id", "feature_time", "session_key", "price_vnd", "days_until_departure")
-    return keep.groupBy("schedule_slot_id").applyInPandasWithState(
-        update, HISTORY_OUTPUT, HISTORY_STATE, "append", GroupStateTimeout.NoTimeout
-    )

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from farepanel.operators import history, market, metrics
 from farepanel.session import local_session
 from farepanel.sources import files
-from farepanel.streaming import ingest
+from farepanel.streaming import ingest, state
 from tests.conftest import SF
 
 FEATURES = ["previous_price_same_schedule", "prior_price_volatility_vnd", "prior_price_trend_vnd_per_dud_day"]
@@ -81,7 +81,7 @@ def test_dynamic_overwrite_keeps_other_partitions(spark, tmp_path):
 
 @pytest.mark.parametrize("cuts", [1, 5])
 def test_stream_history_for_any_micro_batches(spark, panel, tmp_path, cuts):
-    keep = ["schedule_slot_id", "offer_id", "feature_time", "session_key", "price_vnd", "days_until_departure"]
+    keep = ["schedule_slot_id", "offer_id", "feature_time", "session_key", "price_vnd", "days_until_departure", "departure_time"]
     df = panel.timed.select(*keep)
     keys = [r[0] for r in df.select("session_key").distinct().orderBy("session_key").collect()]
     bounds = [keys[len(keys) * i // cuts] for i in range(cuts)] + [keys[-1] + 1]
@@ -90,7 +90,8 @@ def test_stream_history_for_any_micro_batches(spark, panel, tmp_path, cuts):
         df.where((F.col("session_key") >= a) & (F.col("session_key") < b)).coalesce(1).write.mode("append").parquet(path)
     out = str(tmp_path / "out")
     stream = ingest.read_offers(spark, path, df.schema, 1)
-    ingest.run(ingest.stateful_history(stream), str(tmp_path / "cp"), ingest.changelog_writer(out), "append")
+    with state.on_rocksdb(spark):
+        ingest.run(state.stateful_history(stream), str(tmp_path / "cp"), ingest.changelog_writer(out))
     got = spark.read.parquet(out)
     want = history.schedule_history(panel.timed, by_era=False, relative=False)
     both = got.alias("g").join(want.alias("w"), "offer_id")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from farepanel import config as C
 from farepanel.operators import calibration, metrics, policy, quality, scale, splits
 from farepanel.sources import files
-from farepanel.streaming import ingest
 
 
 @pytest.mark.parametrize(
@@ -143,59 +142,3 @@ def test_isotonic_needs_support(spark):
     rare = spark.range(400).select((F.col("id") < 20).cast("int").alias("y"))
     assert not calibration.isotonic_allowed(few, "y") and not calibration.isotonic_allowed(rare, "y")
     assert calibration.isotonic_allowed(spark.range(400).select((F.col("id") % 4 == 0).cast("int").alias("y")), "y")
-
-
-# --- store ----------------------------------------------------------------------------------
-
-STORE = "schedule_slot_id long, session_key int, session_id timestamp_ntz, scraped_at timestamp_ntz, route string, airline string, days_until_departure int, price_vnd long, session_date date, session_label string"
-
-
-def arrivals(spark, prices, day=1, minute=0):
-    at = dt.datetime(2026, 5, day, 8, minute)
-    rows = [(slot, day, dt.datetime(2026, 5, day, 8), at, "R", "A", 7, price, dt.date(2026, 5, day), "AM") for slot, price in prices.items()]
-    return spark.createDataFrame(rows, STORE)
-
-
-def content(spark, offers, ledger, schema):
-    return {(r.session_date.day, r.schedule_slot_id): r.price_vnd for r in ingest.ready_offers(spark, offers, ledger, schema).collect()}
-
-
-def test_failed_replay_keeps_the_ready_version(spark, tmp_path):
-    offers, ledger = str(tmp_path / "offers"), str(tmp_path / "ledger")
-    good = lambda df: df.groupBy(*ingest.BATCH).agg(F.when(F.min("price_vnd") > 0, "READY").otherwise("FAILED").alias("status"))
-    write = ingest.upsert_writer(offers, ledger, good)
-    first = arrivals(spark, {1: 10, 2: 20})
-    write(first, 0)
-    assert content(spark, offers, ledger, first.schema) == {(1, 1): 10, (1, 2): 20}
-    write(arrivals(spark, {2: -5}, minute=9), 1)
-    assert content(spark, offers, ledger, first.schema) == {(1, 1): 10, (1, 2): 20}
-    assert [r.status for r in ingest.ledger_state(spark, ledger).collect()] == ["FAILED"]
-    write(arrivals(spark, {2: 30}, minute=20), 2)
-    assert content(spark, offers, ledger, first.schema) == {(1, 1): 10, (1, 2): 30}
-
-
-def test_changed_second_run_from_a_new_checkpoint(spark, tmp_path):
-    offers, ledger = str(tmp_path / "offers"), str(tmp_path / "ledger")
-    write = ingest.upsert_writer(offers, ledger)
-    for i, prices in enumerate(({1: 10}, {1: 11}, {1: 12})):
-        write(arrivals(spark, prices, minute=i), i + 5)
-    write(arrivals(spark, {1: 13}, minute=9), 0)  # micro-batch ids start again
-    write(arrivals(spark, {7: 70}, day=2), 1)
-    schema = arrivals(spark, {1: 1}).schema
-    assert content(spark, offers, ledger, schema) == {(1, 1): 13, (2, 7): 70}
-    versions = [r.version for r in spark.read.parquet(ledger).where("status = 'READY'").collect()]
-    assert sorted(versions) == [1, 2, 3, 4, 5]
-    write(arrivals(spark, {1: 13}, minute=9), 9)  # the same content changes nothing
-    assert spark.read.parquet(ledger).count() == 10
-
-
-def test_only_touched_partitions_are_read(spark, tmp_path):
-    offers = str(tmp_path / "offers")
-    write = ingest.upsert_writer(offers, str(tmp_path / "ledger"))
-    for day in (1, 2, 3):
-        write(arrivals(spark, {day: day}, day=day), day)
-    touched = arrivals(spark, {2: 2}, day=2).select(*ingest.BATCH).distinct()
-    read = ingest.touched_only(spark.read.parquet(offers), [dt.date(2026, 5, 2)], touched)
-    plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "2026-05-02" in plan[plan.index("PartitionFilters") :].split("]")[0]
-    assert [r.price_vnd for r in read.collect()] == [2]
