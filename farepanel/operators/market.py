@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from farepanel import config as C
 from farepanel.functions import columns as K
-from farepanel.operators.scale import exact_quantiles, histogram, join_on
+from farepanel.operators.backoff import first_supported_quantiles
+from farepanel.operators.scale import histogram, join_on
 
 MARKET_KEYS = ("route", "airline", "days_until_departure")
 
@@ -282,32 +283,20 @@ def prior_batch_anchor(
 ) -> DataFrame:
     """Median fare and support of the immediately preceding batch, at the first level that has one.
 
-    Every level is a small grouped table; they are resolved on the distinct target cells, so the offer
-    rows are shuffled once whatever the number of levels.
+    The levels come from one histogram of the offers and are resolved on the distinct target cells, so the offer rows
+    are read once whatever the number of levels, and a whole batch as one cell is spread over its values.
     """
     finest = list(dict.fromkeys(c for keys in levels.values() for c in keys))
     shift = session_pairs(df).select("session_key", "source_session_key")
     cells = join_on(df.select("session_key", *finest).distinct(), shift, ["session_key"])
-    anchor, support, label = F.lit(None).cast("double"), F.lit(None).cast("bigint"), F.lit("UNAVAILABLE")
-    for index, (name, keys) in enumerate(levels.items()):
-        stats = df.groupBy(F.col("session_key").alias("source_session_key"), *keys).agg(
-            F.median(value).alias(f"__v{index}"), F.count(value).alias(f"__n{index}")
-        )
-        cells = join_on(cells, stats, ["source_session_key", *keys], "left")
-    for index, name in reversed(list(enumerate(levels))):
-        hit = F.col(f"__v{index}").isNotNull()
-        anchor = F.when(hit, F.col(f"__v{index}")).otherwise(anchor)
-        support = F.when(hit, F.col(f"__n{index}")).otherwise(support)
-        label = F.when(hit, name).otherwise(label)
-    resolved = cells.select(
-        "session_key",
-        *finest,
-        "source_session_key",
-        anchor.alias("prior_anchor_vnd"),
-        support.alias("prior_anchor_support"),
-        label.alias("anchor_fallback_level"),
-    )
-    return join_on(df, resolved, ["session_key", *finest])
+    source = {name: ("source_session_key", *keys) for name, keys in levels.items()}
+    resolved = first_supported_quantiles(
+        df.withColumn("source_session_key", F.col("session_key")), cells.drop("session_key"), value, source,
+        {"prior_anchor_vnd": 0.5}, [1] * len(levels), "prior_anchor_support", "anchor_fallback_level",
+    )
+    resolved = join_on(cells, resolved, ["source_session_key", *finest])
+    level = F.coalesce("anchor_fallback_level", F.lit("UNAVAILABLE"))
+    return join_on(df, resolved.withColumn("anchor_fallback_level", level), ["session_key", *finest])
 
 
 def prior_market_context(df: DataFrame) -> DataFrame:
@@ -351,29 +340,18 @@ def backoff_quantiles(
 ) -> DataFrame:
     """Exact training quantiles of the first level with enough rows.
 
-    Coarse levels pool large shares of the training rows, so their quantiles use the spread form. The
-    levels are resolved on the distinct target cells; the target rows are shuffled once.
+    The training rows are read once, into one histogram from which all levels are summed. The levels are
+    resolved on the distinct target cells; the target rows are shuffled once.
     """
     probs = probs or {"backoff_value": 0.5}
     finest = list(dict.fromkeys(c for keys in levels.values() for c in keys))
+    least = [min_support if keys or pooled_min_support is None else pooled_min_support for keys in levels.values()]
     cells = target.select(*finest).distinct()
-    for index, keys in enumerate(levels.values()):
-        needed = min_support if keys or pooled_min_support is None else pooled_min_support
-        stats = exact_quantiles(train, keys, value, probs, support=f"__n{index}").where(F.col(f"__n{index}") >= needed)
-        cells = join_on(cells, stats.withColumnsRenamed({n: f"__{n}{index}" for n in probs}), list(keys), "left")
-    hits = [(F.col(f"__n{i}").isNotNull(), i, level) for i, level in enumerate(levels)]
-
-    def first(pick, otherwise):
-        chain = otherwise
-        for hit, index, level in reversed(hits):
-            chain = F.when(hit, pick(index, level)).otherwise(chain)
-        return chain
-
-    resolved = cells.select(
+    resolved = first_supported_quantiles(train, cells, value, levels, probs, least, "backoff_support", "backoff_level").select(
         *finest,
-        *[first(lambda i, _, n=n: F.col(f"__{n}{i}"), F.lit(default).cast("double")).alias(n) for n in probs],
-        first(lambda i, _: F.col(f"__n{i}"), F.lit(0).cast("bigint")).alias("backoff_support"),
-        first(lambda _, level: F.lit(level), F.lit(default_level)).alias("backoff_level"),
+        *[F.coalesce(F.col(n), F.lit(default).cast("double")).alias(n) for n in probs],
+        F.coalesce("backoff_support", F.lit(0)).alias("backoff_support"),
+        F.coalesce("backoff_level", F.lit(default_level)).alias("backoff_level"),
     )
     return join_on(target, resolved, finest)
 
