@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import inf
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,50 +12,104 @@ from pyspark.sql import functions as F
 from farepanel import config as C
 from farepanel.functions import columns as K
 from farepanel.operators.metrics import with_rates
-from farepanel.operators.scale import exact_quantiles, histogram, join_on
+from farepanel.operators.scale import running_totals
 
 
 def with_regret(df: DataFrame, wait: Column, friction: Column | float = C.FRICTION_VND, p_now: str = "price_vnd", p_later: str = "target_price_vnd") -> DataFrame:
     return df.withColumn("wait", wait).withColumn("regret", K.policy_regret(p_now, p_later, F.col("wait"), friction))
 
 
+def _of_histogram(hist: DataFrame, keys: Sequence[str], labels: Sequence[Column]) -> DataFrame:
+    """Policy metrics from one row per (keys, regret): for policy i the rows ``n<i>`` and those of them that wait
+    ``w<i>``; ``saving`` is what the best actions save over buying. One pass of running totals serves mean, percentile
+    and tail of all policies."""
+    n = range(len(labels))
+    hist = hist.withColumns({f"s{i}": F.col("regret") * F.col(f"n{i}") for i in n})
+    totals = running_totals(hist, keys, "regret", [f"{m}{i}" for i in n for m in "ns"])
+
+    def at(i: int, rank: Column) -> Column:
+        before = F.col(f"n{i}_before")
+        here = F.struct("regret", before.alias("n"), F.col(f"s{i}_before").alias("s"))
+        return F.max(F.when((before <= rank) & (rank < before + F.col(f"n{i}")), here))
+
+    place = lambda i: (F.col(f"n{i}_total") - 1) * F.lit(0.95)
+    grouped = totals.groupBy(*keys).agg(
+        F.sum("saving").alias("__saving"),
+        *[F.sum(f"w{i}").alias(f"w{i}") for i in n],
+        *[F.max(f"{m}{i}_total").alias(f"{m}{i}") for i in n for m in "ns"],
+        *[at(i, F.floor(place(i))).alias(f"lo{i}") for i in n],
+        *[at(i, F.ceil(place(i))).alias(f"hi{i}") for i in n],
+    )
+
+    def row(i: int) -> Column:
+        rows, total, lo, hi = (F.col(f"{c}{i}") for c in ("n", "s", "lo", "hi"))
+        position = (rows - 1) * F.lit(0.95)
+        p95 = lo["regret"] + (hi["regret"] - lo["regret"]) * (position - F.floor(position))
+        start = F.when(p95 == lo["regret"], lo).otherwise(hi)
+        return F.struct(
+            labels[i].alias("threshold"),
+            rows.alias("rows"),
+            (total / rows).alias("mean_regret_vnd"),
+            (F.col(f"w{i}") / rows).alias("wait_rate"),
+            (F.lit(1.0) - total / F.greatest("__saving", F.lit(1.0))).alias("oracle_savings_capture"),
+            p95.alias("p95_regret_vnd"),
+            ((total - start["s"]) / (rows - start["n"])).alias("cvar95_regret_vnd"),
+        )
+
+    return grouped.select(*keys, F.inline(F.array(*[row(i) for i in n])))
+
+
 def policy_metrics(df: DataFrame, by: Sequence[str] = (), friction: Column | float = C.FRICTION_VND) -> DataFrame:
     """Mean, p95 and CVaR95 of regret, wait rate and savings capture; needs ``wait`` and ``regret``.
 
-    The tail mean comes from the same regret histogram as the percentile, so rows are shuffled once.
+    Everything comes from one histogram of regrets: rows are shuffled once.
     """
     by = list(by)
     friction = friction if isinstance(friction, Column) else F.lit(float(friction))
     later = F.col("target_price_vnd") + friction
     saving = F.greatest(F.col("price_vnd") - F.least(F.col("price_vnd"), later), F.lit(0.0))
-    base = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg("regret").alias("mean_regret_vnd"),
-        F.avg(F.col("wait").cast("double")).alias("wait_rate"),
-        (F.lit(1.0) - F.sum("regret") / F.greatest(F.sum(saving), F.lit(1.0))).alias("oracle_savings_capture"),
+    hist = df.where(F.col("regret").isNotNull()).groupBy(*by, "regret").agg(
+        F.count(F.lit(1)).alias("n0"), F.sum(F.col("wait").cast("bigint")).alias("w0"), F.sum(saving).alias("saving")
     )
-    hist = histogram(df, by, "regret")
-    p95 = exact_quantiles(df, by, "regret", {"p95_regret_vnd": 0.95})
-    tail = join_on(hist, p95, by).where(F.col("regret") >= F.col("p95_regret_vnd"))
-    cvar = tail.groupBy(*by).agg(
-        F.max("p95_regret_vnd").alias("p95_regret_vnd"),
-        (F.sum(F.col("regret") * F.col("n")) / F.sum("n")).alias("cvar95_regret_vnd"),
-    )
-    return join_on(base, cvar, by)
-
-
-def threshold_rows(df: DataFrame, thresholds: Sequence[float], p: str) -> DataFrame:
-    """Rows fanned out over the fixed threshold list."""
-    return df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).withColumn(
-        "wait", F.col(p) >= F.col("threshold")
+    return _of_histogram(hist, by, [F.lit(None).cast("double")]).drop("threshold")
+
+
+def threshold_policies(
+    df: DataFrame,
+    thresholds: Sequence[float],
+    frictions: Sequence[float],
+    by: Sequence[str],
+    p: str = "p_drop",
+    p_now: str = "price_vnd",
+    p_later: str = "target_price_vnd",
+) -> DataFrame:
+    """Policy metrics of every (group, friction, threshold): wait where the score reaches the threshold.
+
+    As a function of the threshold a row's regret takes two values, and one of them is zero. So one histogram of
+    regrets, with a count per threshold, holds all policies; its running totals give means, percentiles and tails of all
+    thresholds together. Rows become two entries per friction, whatever the number of thresholds, and zeros combine
+    before the shuffle. The threshold -inf always waits, +inf never does; a null score waits at -inf only.
+    """
+    by, levels = list(by), sorted(float(t) for t in thresholds)
+    keys = [*by, "friction_vnd"]
+    reached = reduce(lambda a, b: a + b, [F.coalesce(F.col(p) >= t, F.lit(t == -inf)).cast("int") for t in levels])
+    change = F.col(p_later).cast("double") - F.col(p_now)
+    action = lambda f, gap, waits: F.struct(F.lit(float(f)).alias("friction_vnd"), F.greatest(gap, F.lit(0.0)).alias("regret"), F.lit(waits).alias("__waits"))
+    actions = [a for f in frictions for a in (action(f, change + float(f), True), action(f, -(change + float(f)), False))]
+    entries = df.select(*by, reached.alias("__k"), F.inline(F.array(*actions)))
+    k, waits, n = F.col("__k"), F.col("__waits"), range(len(levels))
+    one = lambda condition: F.sum(condition.cast("bigint"))
+    hist = entries.where(F.col("regret").isNotNull()).groupBy(*keys, "regret").agg(
+        *[one(waits == (k > i)).alias(f"n{i}") for i in n],
+        *[one(waits & (k > i)).alias(f"w{i}") for i in n],
+        (F.col("regret") * one(~waits)).alias("saving"),  # buying always loses just what the best action would save
     )
+    return _of_histogram(hist, keys, [F.lit(t) for t in levels])
 
 
 def tournament(df: DataFrame, thresholds: Sequence[float] = C.THRESHOLDS, p: str = "p_drop", fold: str = "fold", friction: float = C.FRICTION_VND) -> DataFrame:
     """Selection score of every threshold over the screen folds."""
-    rows = threshold_rows(df, thresholds, p)
-    rows = rows.withColumn("regret", K.policy_regret("price_vnd", "target_price_vnd", F.col("wait"), friction))
-    folds = policy_metrics(rows, ["threshold", fold], friction)
+    folds = threshold_policies(df, thresholds, [friction], [fold], p)
     return folds.groupBy("threshold").agg(
         F.avg("mean_regret_vnd").alias("screen_mean_regret_vnd"),
         F.avg("cvar95_regret_vnd").alias("screen_cvar95_regret_vnd"),
@@ -73,19 +129,10 @@ def best_threshold(table: DataFrame) -> DataFrame:
 
 
 def stress(df: DataFrame, threshold: float, frictions: Sequence[int] = C.FRICTIONS_VND, p: str = "p_drop", fold_set: str = "fold_set") -> DataFrame:
-    """Policies against frictions per fold set; the scenario list is fixed (frictions x three policies)."""
-    frozen, never, always = F.col(p) >= threshold, F.lit(False), F.lit(True)
-    scenarios = F.array(
-        *[
-            F.struct(F.lit(float(f)).alias("friction_vnd"), F.lit(name).alias("policy"), wait.alias("wait"))
-            for f in frictions
-            for name, wait in (("FROZEN", frozen), ("BUY_ALL", never), ("WAIT_ALL", always))
-        ]
-    )
-    rows = df.withColumn("__s", F.explode(scenarios)).select("*", "__s.*").drop("__s")
-    friction = F.col("friction_vnd")
-    rows = rows.withColumn("regret", K.policy_regret("price_vnd", "target_price_vnd", F.col("wait"), friction))
-    return policy_metrics(rows, [fold_set, "friction_vnd", "policy"], friction)
+    """The frozen policy, buying all and waiting for all, against frictions, per fold set."""
+    out = threshold_policies(df, [-inf, threshold, inf], frictions, [fold_set], p)
+    policy = F.when(F.col("threshold") == -inf, "WAIT_ALL").when(F.col("threshold") == inf, "BUY_ALL").otherwise("FROZEN")
+    return out.withColumn("policy", policy).drop("threshold")
 
 
 def tune_threshold(df: DataFrame, y: str, p: str, drop_floor: float = 0.5, keep_floor: float = 0.5, points: int = 197) -> DataFrame:
