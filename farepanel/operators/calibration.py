@@ -1,20 +1,22 @@
-"""Conformal quantile offsets and probability calibration with Spark ML."""
+"""Conformal quantile offsets and probability calibration."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farepanel import config as C
 from farepanel.functions import columns as K
 from farepanel.operators.metrics import EPS, clip_probability, log_loss
-from farepanel.operators.scale import histogram, join_on, quantiles_of_totals, running_totals, with_scalars
+from farepanel.operators.scale import histogram, join_on, neighbours, quantiles_of_totals, running_totals, with_scalars
+from farepanel.session import materialise
 
 def residual_histogram(head: DataFrame, y: str, quantiles: str, by: Sequence[str] = ()) -> DataFrame:
     """Counts of distinct residuals per group and level; every level travels in one shuffle."""
@@ -122,18 +124,57 @@ def apply_logistic(model, df: DataFrame, raw: str, kind: str, name: str) -> Data
     return out.withColumn(name, vector_to_array("probability")[1]).drop("__a", "__b", "__x", "rawPrediction", "probability", "prediction")
 
 
-def fit_isotonic(head: DataFrame, y: str, raw: str):
-    """Monotone map fitted on the score histogram: equal scores are merged before the fit."""
-    data = head.groupBy(F.col(raw).cast("double").alias("__x")).agg(
-        F.avg(F.col(y).cast("double")).alias("__y"), F.count(F.lit(1)).cast("double").alias("__w")
-    )
-    return IsotonicRegression(featuresCol="__x", labelCol="__y", weightCol="__w").fit(data)
+BLOCK = "part int, lo double, hi double, w double, s double"
+
+
+def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pool adjacent violators of a sorted partition: a block joins the one before while its mean is not larger."""
+    part = TaskContext.get().partitionId()
+    lo, hi, w, s = [], [], [], []
+    for batch in batches:
+        for a, b, weight, total in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "w", "s"))):
+            while w and s[-1] * weight >= total * w[-1]:
+                a, weight, total = lo.pop(), weight + w.pop(), total + s.pop()
+                hi.pop()
+            lo.append(a), hi.append(b), w.append(weight), s.append(total)
+    columns = [pa.array([part] * len(lo), pa.int32()), *(pa.array(c, pa.float64()) for c in (lo, hi, w, s))]
+    yield pa.RecordBatch.from_arrays(columns, names=["part", "lo", "hi", "w", "s"])
+
 
+def fit_isotonic(head: DataFrame, y: str, raw: str, parts: int | None = None) -> DataFrame:
+    """Blocks (lo, hi, w, mean) of the monotone map with least squared error, over the histogram of scores.
 
-def apply_isotonic(model, df: DataFrame, raw: str, name: str) -> DataFrame:
-    """Interpolated between thresholds and clipped at both ends."""
-    out = model.transform(df.withColumn("__x", F.col(raw).cast("double")))
-    return out.withColumn(name, F.greatest(F.least(F.col("prediction"), F.lit(1.0)), F.lit(0.0))).drop("__x", "prediction")
+    Every range of scores is pooled by itself; as long as the means fall across an edge between two ranges, neighbouring
+    ranges are dealt to half as many and their blocks pooled again. Pooling in any order gives the same blocks, and only
+    blocks travel after the first round. Rows without score or label are left out.
+    """
+    spark = head.sparkSession
+    data = head.where(F.col(raw).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(raw).cast("double").alias("lo")).agg(
+        F.count(F.lit(1)).cast("double").alias("w"), F.sum(F.col(y).cast("double")).alias("s")
+    )
+    blocks = data.select("lo", F.col("lo").alias("hi"), "w", "s")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        dealt = blocks.repartitionByRange(parts, "lo").sortWithinPartitions("lo")
+        blocks = materialise(dealt.mapInArrow(pool, BLOCK), "blocks")
+        mean = F.col("s") / F.col("w")
+        edges = blocks.groupBy("part").agg(F.min_by(mean, "lo").alias("first"), F.max_by(mean, "lo").alias("last"))  # one row a range
+        falls = F.col("first") <= F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("part"))
+        if parts == 1 or edges.select(falls.alias("f")).where("f").isEmpty():
+            return blocks.select("lo", "hi", "w", mean.alias("mean"))
+        parts = (parts + 1) // 2
+
+
+def apply_isotonic(model: DataFrame, df: DataFrame, raw: str, name: str) -> DataFrame:
+    """Interpolated between the ends of blocks and constant beyond the outer ones; a null score stays null."""
+    ends = model.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("__x"), "mean")
+    rows = df.withColumn("__x", F.col(raw).cast("double"))
+    near = neighbours(rows, ends, "__x", "mean")
+    below, above = F.col("below"), F.col("above")
+    share = (F.col("__x") - below["x"]) / (above["x"] - below["x"])
+    value = F.when(below.isNull(), above["v"]).when(above.isNull(), below["v"]).otherwise(below["v"] + (above["v"] - below["v"]) * share)
+    clipped = F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0))
+    return join_on(rows, near.select("__x", clipped.alias(name)), ["__x"], "left").drop("__x")
 
 
 def isotonic_allowed(head: DataFrame, y: str, rows: int = 200, rarer: int = 30) -> bool:
@@ -142,7 +183,12 @@ def isotonic_allowed(head: DataFrame, y: str, rows: int = 200, rarer: int = 30)
     return n >= rows and min(positive, n - positive) >= rarer
 
 
-RECIPES = ("SIGMOID", "PLATT", "BETA", "ISOTONIC")
+RECIPES = ("SIGMOID", "PLATT", "BETA", "ISOTONIC")  # simplest first; the last only where ``isotonic_allowed``
+
+
+def recipe_columns(df: DataFrame) -> dict[str, str]:
+    """Recipes that a frame holds, with their probability columns."""
+    return {n: f"p_{n.lower()}" for n in RECIPES if f"p_{n.lower()}" in df.columns}
 
 
 def with_probability_recipes(head: DataFrame, df: DataFrame, y: str, raw: str) -> DataFrame:

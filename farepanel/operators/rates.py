@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from farepanel import config as C
 from farepanel.operators.scale import join_on, with_scalars
+from farepanel.session import materialise
 
 CELL = ("route", "airline", "transition")
 
@@ -51,36 +50,49 @@ def shrunk_rate(
     return join_on(valid, wanted.select(*CELL, clipped.alias(name)), list(CELL))
 
 
-def beta_binomial():
-    """Log likelihood of a cell without its constant, in Arrow batches; Spark SQL has no lgamma.
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive column: Stirling's series, below 8 through the recurrence."""
+    series = lambda z: (
+        (z - 0.5) * F.ln(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + F.lit(1 / 12) / z - F.lit(1 / 360) / F.pow(z, F.lit(3.0))
+        + F.lit(1 / 1260) / F.pow(z, F.lit(5.0)) - F.lit(1 / 1680) / F.pow(z, F.lit(7.0)) + F.lit(1 / 1188) / F.pow(z, F.lit(9.0))
+    )
+    rising = reduce(lambda a, b: a * b, [x + float(i) for i in range(8)])
+    return F.when(x >= 8, series(x)).otherwise(series(x + 8.0) - F.ln(rising))
 
-    Built inside a function, so workers need no installed copy of this package.
-    """
 
-    def likelihood(k: pd.Series, n: pd.Series, mu: pd.Series, kappa: pd.Series) -> pd.Series:
-        lgamma = np.vectorize(math.lgamma, otypes=[float])
-        rate = np.clip(mu.to_numpy(), 1e-6, 1 - 1e-6)
-        strength = kappa.to_numpy()
-        a, b = rate * strength, (1 - rate) * strength
-        hits, total = k.to_numpy(), n.to_numpy()
-        posterior = lgamma(hits + a) + lgamma(total - hits + b) - lgamma(total + a + b)
-        return pd.Series(posterior - (lgamma(a) + lgamma(b) - lgamma(a + b)))
+def log_beta(a: Column, b: Column) -> Column:
+    return log_gamma(a) + log_gamma(b) - log_gamma(a + b)
+
 
-    return F.pandas_udf(likelihood, T.DoubleType())
+def beta_binomial(k: Column, n: Column, mean: Column, kappa: Column) -> Column:
+    """Log likelihood of a cell without its constant."""
+    mu = F.greatest(F.least(mean, F.lit(1 - 1e-6)), F.lit(1e-6))
+    a, b = mu * kappa, (1 - mu) * kappa
+    return log_beta(k + a, n - k + b) - log_beta(a, b)
 
 
-def estimate_kappa(cells: DataFrame, k: str, n: str, mean: str, name: str, points: int = 241) -> DataFrame:
-    """Strength with the largest likelihood on a log grid from 0.1 to 100,000.
+def estimate_kappa(cells: DataFrame, k: str, n: str, mean: str, name: str, low: float = 0.1, high: float = 100_000.0, tolerance: float = 1e-5, points: int = 33) -> DataFrame:
+    """One row: the strength with the largest likelihood, to ``tolerance`` on the logarithmic scale; 100 for fewer than
+    two cells.
 
-    The cells are grouped rates (route x airline x transition), each met by every grid point.
+    Equal cells are counted once. Each round evaluates a section of the range at evenly spaced points in one job and
+    goes on between the neighbours of the best; only that point reaches the driver.
     """
-    step = (math.log(100_000.0) - math.log(0.1)) / (points - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.exp(F.lit(math.log(0.1)) + i * F.lit(step)))
-    long = cells.select(
-        F.col(k).alias("k"), F.col(n).alias("n"), F.col(mean).alias("mu"), F.explode(grid).alias("kappa")
-    )
-    scored = long.withColumn("ll", beta_binomial()("k", "n", "mu", "kappa"))
-    return scored.groupBy("kappa").agg(F.sum("ll").alias("ll")).agg(F.max_by("kappa", "ll").alias(name))
+    given = cells.where(F.col(n) > 0).groupBy(F.col(k).alias("k"), F.col(n).alias("n"), F.col(mean).alias("mu")).agg(F.count(F.lit(1)).alias("c"))
+    counted = materialise(given, "cells")
+    spark = cells.sparkSession
+    if (counted.agg(F.sum("c")).first()[0] or 0) < 2:
+        return spark.range(1).select(F.lit(100.0).alias(name))
+    a, b = math.log(low), math.log(high)
+    best = a
+    while b - a > tolerance:
+        step = (b - a) / (points - 1)
+        grid = [a + i * step for i in range(points)]
+        long = counted.withColumn("at", F.explode(F.array(*[F.lit(g) for g in grid])))
+        value = F.sum(F.col("c") * beta_binomial(F.col("k"), F.col("n"), F.col("mu"), F.exp("at"))).alias("ll")
+        best = long.groupBy("at").agg(value).agg(F.max_by("at", F.struct("ll", -F.col("at")))).first()[0]
+        a, b = max(a, best - step), min(b, best + step)
+    return spark.range(1).select(F.lit(math.exp(best)).alias(name))
 
 
 def empirical_kappas(train: DataFrame, target: str) -> DataFrame:

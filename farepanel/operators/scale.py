@@ -174,3 +174,25 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def positions(df: DataFrame, order: str, name: str = "position") -> DataFrame:
     """0-based global position by a unique order column, without a single-partition sort."""
     return row_numbers(df, [], order, [order], name).withColumn(name, F.col(name) - 1)
+
+
+def neighbours(queries: DataFrame, points: DataFrame, x: str, value: str) -> DataFrame:
+    """Distinct ``x`` of the queries with the nearest points: ``below`` (at or before) and ``above`` (after), structs of
+    (x, value) or null. Windows run inside one value bucket, and over the list of buckets."""
+    point = F.struct(F.col(x).alias("x"), F.col(value).alias("v"))
+    both = points.select(x, point.alias("__p")).unionByName(
+        queries.select(x).where(F.col(x).isNotNull()).distinct().withColumn("__p", F.lit(None).cast(points.select(point.alias("p")).schema["p"].dataType))
+    ).withColumn("__bucket", value_bucket(F.col(x)))
+    whole = Window.partitionBy(F.lit(0)).orderBy("__bucket")
+    ends = both.groupBy("__bucket").agg(F.min("__p").alias("lo"), F.max("__p").alias("hi")).select(
+        "__bucket",
+        F.last("hi", True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"),
+        F.first("lo", True).over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("__later"),
+    )
+    inside = Window.partitionBy("__bucket").orderBy(F.col(x), F.col("__p").isNull())
+    near = both.select(
+        x, "__p", "__bucket",
+        F.last("__p", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("below"),
+        F.first("__p", True).over(inside.rowsBetween(1, Window.unboundedFollowing)).alias("above"),
+    ).where(F.col("__p").isNull())
+    return join_on(near, ends, ["__bucket"]).select(x, F.coalesce("below", "__earlier").alias("below"), F.coalesce("above", "__later").alias("above"))

@@ -43,19 +43,27 @@ def beta(p):
     return calibrated(p, "BETA")
 
 
-@query("isotonic")
+@query(
+    "isotonic",
+    """WITH h AS (SELECT p_drop, count(*) AS w, sum(drop_5pct) AS s FROM scored WHERE fold_set = 'SCREEN' GROUP BY 1),
+c AS (SELECT p_drop, row_number() OVER (ORDER BY p_drop) AS i, sum(w) OVER u AS cw, sum(s) OVER u AS cs, w, s FROM h WINDOW u AS (ORDER BY p_drop)),
+f AS (SELECT a.i, m.i AS j, min((b.cs - m.cs + m.s) / CAST(b.cw - m.cw + m.w AS DOUBLE)) AS g FROM c a JOIN c m ON m.i <= a.i JOIN c b ON b.i >= a.i GROUP BY a.i, m.i),
+v AS (SELECT p_drop, max(g) AS g FROM f JOIN c USING (i) GROUP BY ALL)
+SELECT offer_id, round(g, 7) + 0e0 AS calibrated FROM scored JOIN v USING (p_drop) WHERE fold_set = 'LATE'""",
+)
 def isotonic(p):
+    """SQL takes the monotone map as the largest of the smallest means of the ranges around a score."""
     head, rest = head_and_rest(raw_scores(p))
     model = calibration.fit_isotonic(head, "drop_5pct", "raw")
     out = calibration.apply_isotonic(model, rest, "raw", "calibrated")
-    return out.select("offer_id", F.round("calibrated", 5).alias("calibrated"))
+    return out.select("offer_id", (F.round("calibrated", 7) + 0.0).alias("calibrated"))
 
 
 @query("calibration_choice_p")
 def calibration_choice_p(p):
     head, _ = head_and_rest(raw_scores(p))
     out = calibration.with_probability_recipes(head, head, "drop_5pct", "raw")
-    return rounded(calibration.choose_probability_recipe(out, "drop_5pct", {n: f"p_{n.lower()}" for n in calibration.RECIPES}), 4)
+    return rounded(calibration.choose_probability_recipe(out, "drop_5pct", calibration.recipe_columns(out)), 4)
 
 
 def model_frame(p):
