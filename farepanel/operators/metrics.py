@@ -6,6 +6,7 @@ Rank-based scores work on the histogram of distinct scores, so no group is sorte
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,36 +155,34 @@ def concordance(
 ) -> DataFrame:
     """Share of pairs with different prices whose cheaper row scores strictly higher, per query.
 
-    No pair is ever formed. Scores become integer ranks; two different ranks first differ at exactly
-    one binary digit, and at that digit the pair is counted from running totals over price inside the
-    rows that share the higher digits. Work is rows times the logarithm of the query size. ``empty`` is
-    the value of a query without informative pairs; None leaves such queries out.
+    No pair is ever formed. Distinct scores are numbered; two different numbers first differ at exactly one
+    hexadecimal digit, and at that digit the pair is counted from running totals over price inside the rows that share
+    the higher digits. Work is rows times the hexadecimal digits of the number of distinct scores; prefixes with a
+    single score are left out. ``empty`` is the value of a query without informative pairs; None leaves such queries out.
     """
     cells = df.where(F.col(score).isNotNull()).groupBy(query, score, price).agg(F.count(F.lit(1)).alias("__c"))
-    scores = running_totals(histogram(cells, [query], score, n=F.col("__c")), [query], score, ["n"])
-    scores = scores.select(query, score, F.col("n_before").alias("__sbefore"), F.col("n_total").alias("__sn"))
+    scores = cells.select(query, score).distinct().withColumn("one", F.lit(1))
+    scores = running_totals(scores, [query], score, ["one"]).select(query, score, F.col("one_before").alias("__code"), F.col("one_total").alias("__codes"))
+    rows = join_on(cells, scores, [query, score])
     # one row per distinct (query, score, price) from here on
-    ranked = join_on(cells, scores, [query, score]).where(F.col("__sn") >= 2)
-    code = F.col("__sbefore")
-    top = F.length(F.bin(F.col("__sn") - 1)) - 1
-    digit = F.explode(F.sequence(F.lit(0), top))
-    long = ranked.select(query, price, "__c", code.alias("__code"), digit.alias("__level"))
+    level = F.explode(F.sequence(F.lit(0), F.floor((F.length(F.bin(F.col("__codes") - 1)) - 1) / 4).cast("int")))
+    long = rows.where(F.col("__codes") >= 2).select(query, price, "__c", "__code", "__codes", level.alias("__level"))
     long = long.select(
-        query,
-        price,
-        "__c",
-        "__level",
-        F.expr("shiftright(__code, __level + 1)").alias("__prefix"),
-        F.expr("shiftright(__code, __level) & 1").alias("__one"),
-    )
+        query, price, "__c", "__level", "__codes",
+        F.expr("shiftright(__code, 4 * (__level + 1))").alias("__prefix"),
+        F.expr("shiftright(__code, 4 * __level) & 15").alias("__digit"),
+    ).where(F.expr("__codes - shiftleft(__prefix, 4 * (__level + 1)) >= 2"))
     keys = [query, "__level", "__prefix"]
-    hist = histogram(long, keys, price, ones=F.col("__one") * F.col("__c"), zeros=(1 - F.col("__one")) * F.col("__c"))
-    totals = running_totals(hist, keys, price, ["ones"])
-    # a cheaper row (smaller price) with the one digit has the higher score
-    right = totals.groupBy(query).agg(F.sum(F.col("zeros") * F.col("ones_before")).alias("__right"))
-    sizes = histogram(ranked, [query], price, n=F.col("__c")).groupBy(query).agg(
+    above = {f"d{d}": F.when(F.col("__digit") >= d, F.col("__c")).otherwise(0) for d in range(1, 16)}
+    hist = histogram(long, keys, price, d0=F.col("__c"), **above)
+    totals = running_totals(hist, keys, price, list(above))
+    # a cheaper row (smaller price) with the larger digit has the higher score
+    here = [F.col(f"d{d}") - (F.col(f"d{d + 1}") if d < 15 else 0) for d in range(15)]
+    wins = reduce(lambda a, b: a + b, [here[d] * F.col(f"d{d + 1}_before") for d in range(15)])
+    right = totals.groupBy(query).agg(F.sum(wins).alias("__right"))
+    sizes = histogram(cells, [query], price, n=F.col("__c")).groupBy(query).agg(
         F.sum("n").alias("__n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("__tied")
-    )
+    ).where(F.col("__n") >= 2)
     pairs = F.col("__n") * (F.col("__n") - 1) / 2 - F.col("__tied")
     out = sizes.join(right, query, "left").select(
         query, pairs.alias("informative_pairs"), F.try_divide(F.coalesce("__right", F.lit(0)).cast("double"), pairs).alias("concordance")

@@ -1,8 +1,8 @@
 """Building blocks that keep an ordered or exact computation spread out when one key is huge.
 
-An ordinary window sends a whole key to one task. Here a key is first cut into value buckets: the
-bucket is a monotone function of the value alone, so running totals over a key are the total of all
-earlier buckets (a short list per key) plus a running total inside one bucket.
+An ordinary window sends a whole key to one task. Here a large key is first cut into buckets of about
+equally many values: the bucket is a monotone function of the value, so running totals over a key are the
+total of all earlier buckets (a short list per key) plus a running total inside one bucket.
 """
 
 from __future__ import annotations
@@ -15,15 +15,8 @@ from pyspark.sql import functions as F
 
 from farepanel.session import materialise
 
-BUCKETS_PER_OCTAVE = 2048  # a bucket holds at most about 1 / 4096 of evenly spread values
-_BIAS = 4_000_000
-
-
-def value_bucket(value: Column) -> Column:
-    """Monotone integer bucket, about 0.03 percent wide, defined for any finite number."""
-    value = value.cast("double")
-    magnitude = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_OCTAVE) + _BIAS
-    return F.when(value > 0, magnitude).when(value < 0, -magnitude).when(value == 0, F.lit(0)).cast("bigint")
+BUCKET_VALUES = 100_000  # distinct values of a key that one task may order
+BUCKETS = 1024  # parts of a larger key
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -37,13 +30,32 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
+def equi_depth(hist: DataFrame, keys: Sequence[str], value: str, name: str = "__bucket") -> DataFrame:
+    """Add a monotone bucket number per key: 0 for keys of up to ``BUCKET_VALUES`` distinct values, else the place among
+    splitters that cut the key's distinct values into about ``BUCKETS`` equal parts.
+
+    The splitters come from a mergeable quantile sketch of the histogram's own values, so any offset, unit or shape of
+    the values is cut alike. Only keys above the bound are sketched; the sketch is of fixed size.
+    """
+    keys, v = list(keys), F.col(value).cast("double")
+    large = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("__r")).where(F.col("__r") > BUCKET_VALUES)
+    shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    sketched = join_on(hist, large, keys, "left_semi") if keys else with_scalars(hist, large)
+    cuts = sketched.groupBy(*keys).agg(F.percentile_approx(v, shares, F.lit(20 * BUCKETS)).alias("__cuts"))
+    work = join_on(hist, cuts, keys, "left")
+    cut, wide = F.col("__cuts"), 32
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(wide), F.size(cut), F.lit(wide)), lambda i: F.get(cut, i - 1)), lambda c: c < v)) * wide
+    fine = F.size(F.filter(F.slice(cut, coarse + 1, F.lit(wide)), lambda c: c < v))
+    return work.withColumn(name, F.when(cut.isNull(), F.lit(0)).otherwise(coarse + fine)).drop("__cuts")
+
+
 def running_totals(hist: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
     """Add ``<m>_before`` (strictly smaller values) and ``<m>_total`` per key.
 
     ``hist`` holds one row per (keys, value). No task sees more than one value bucket of one key.
     """
     keys = list(keys)
-    work = hist.withColumn("__bucket", value_bucket(F.col(value)))
+    work = equi_depth(hist, keys, value)
     totals = work.groupBy(*keys, "__bucket").agg(*[F.sum(m).alias(m) for m in measures])
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -179,10 +191,10 @@ def positions(df: DataFrame, order: str, name: str = "position") -> DataFrame:
 def neighbours(queries: DataFrame, points: DataFrame, x: str, value: str) -> DataFrame:
     """Distinct ``x`` of the queries with the nearest points: ``below`` (at or before) and ``above`` (after), structs of
     (x, value) or null. Windows run inside one value bucket, and over the list of buckets."""
-    point = F.struct(F.col(x).alias("x"), F.col(value).alias("v"))
-    both = points.select(x, point.alias("__p")).unionByName(
-        queries.select(x).where(F.col(x).isNotNull()).distinct().withColumn("__p", F.lit(None).cast(points.select(point.alias("p")).schema["p"].dataType))
-    ).withColumn("__bucket", value_bucket(F.col(x)))
+    point = F.struct(F.col(x).alias("x"), F.col(value).alias("v")).alias("__p")
+    points = points.select(x, point)
+    asked = queries.select(x).where(F.col(x).isNotNull()).distinct().withColumn("__p", F.lit(None).cast(points.schema["__p"].dataType))
+    both = equi_depth(points.unionByName(asked), [], x)
     whole = Window.partitionBy(F.lit(0)).orderBy("__bucket")
     ends = both.groupBy("__bucket").agg(F.min("__p").alias("lo"), F.max("__p").alias("hi")).select(
         "__bucket",

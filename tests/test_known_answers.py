@@ -114,11 +114,34 @@ def test_exact_quantiles_match_numpy(spark):
         assert high[key] == np.quantile([v for k, v in rows if k == key], 0.9, method="higher")
 
 
-def test_buckets_are_monotone(spark):
-    values = sorted([-1e9, -3.5, -1.0, -1e-9, 0.0, 1e-9, 0.5, 1.0, 2.0, 2.0000001, 4.0, 1e9, 12345.678])
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    buckets = [r[0] for r in df.orderBy("v").select(scale.value_bucket(F.col("v"))).collect()]
-    assert buckets == sorted(buckets)
+@pytest.mark.parametrize("spread", ["times", "ids", "skewed", "mixed"])
+def test_buckets_are_monotone_and_even(spark, monkeypatch, spread):
+    monkeypatch.setattr(scale, "BUCKET_VALUES", 500)
+    monkeypatch.setattr(scale, "BUCKETS", 100)
+    rng = np.random.default_rng(7)
+    values = {
+        "times": 1.7e9 + rng.uniform(-6 * 86400, 6 * 86400, 20_000), "ids": 9e12 + np.arange(20_000.0),
+        "skewed": np.r_[rng.lognormal(0, 8, 10_000), -1e300, 1e300], "mixed": np.r_[rng.normal(0, 1e-6, 9000), rng.normal(1e9, 1, 9000), 0.0],
+    }[spread]
+    rows = [("large", float(v)) for v in np.unique(values)] + [("small", float(i)) for i in range(400)] + [(None, 1.0)]
+    got = scale.equi_depth(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").orderBy("v").collect()
+    large = [r["__bucket"] for r in got if r.k == "large"]
+    assert large == sorted(large) and len(set(large)) > 90
+    assert max(large.count(b) for b in set(large)) < 3 * len(large) / 100
+    assert {r["__bucket"] for r in got if r.k != "large"} == {0}
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_running_totals_over_many_buckets(spark, monkeypatch, keys):
+    monkeypatch.setattr(scale, "BUCKET_VALUES", 50)
+    monkeypatch.setattr(scale, "BUCKETS", 40)
+    rng = np.random.default_rng(8)
+    rows = [("a" if keys else "x", float(v), int(n)) for v, n in zip(np.unique(1.7e9 + rng.uniform(-1e5, 1e5, 700)), rng.integers(1, 9, 700))] + [("b", float(i), 2) for i in range(30 if keys else 0)]
+    got = scale.running_totals(spark.createDataFrame(rows, "k string, v double, n int"), keys, "v", ["n"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        same = [x for x in rows if not keys or x[0] == r.k]
+        assert (r.n_before, r.n_total) == (sum(x[2] for x in same if x[1] < r.v), sum(x[2] for x in same))
 
 
 def test_average_rank_ties(spark):
