@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,20 +189,22 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     recent = cache.new.get
     out = []
     for text, starts in zip(texts, token_starts(texts)):
-        ids: list[bytes] = []
         edges = [*starts.tolist(), len(text)]
-        for a, b in zip(edges, edges[1:]):
-            piece = text[a:b]
-            found = recent(piece)
-            if found is None:
-                found = cache.older(piece)
-                if found is None:
-                    found = np.array(merge(piece.encode("utf-8"), ranks), "<i4").tobytes()
-                if b - a <= CACHE_LENGTH:
-                    cache.put(piece, found)
+        pieces = list(map(text.__getitem__, map(slice, edges, edges[1:])))
+        found = list(map(recent, pieces))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is not None:
+                    continue
+                piece = pieces[i]
+                ids = recent(piece) or cache.older(piece)
+                if ids is None:
+                    ids = np.array(merge(piece.encode("utf-8"), ranks), "<i4").tobytes()
+                if len(piece) <= CACHE_LENGTH:
+                    cache.put(piece, ids)
                     recent = cache.new.get
-            ids.append(found)
-        out.append(np.frombuffer(b"".join(ids), "<i4"))
+                found[i] = ids
+        out.append(np.frombuffer(b"".join(found), "<i4"))
     return out
 
 
@@ -210,6 +213,28 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, np.concatenate(rows) if rows else np.empty(0, np.int32))
 
 
+@lru_cache(maxsize=4)
+def widths(path: str) -> np.ndarray:
+    """Bytes of every token by id, 0 for an unused id."""
+    _, tokens = load_ranks(path)
+    width = np.zeros(max(tokens) + 1, np.int32)
+    width[list(tokens)] = [len(t) for t in tokens.values()]
+    return width
+
+
+def decoded_rows(flat: np.ndarray, lengths: np.ndarray, path: str) -> pa.BinaryArray:
+    """Bytes of rows of ids that lie one after the other: tokens are joined once, and the places where the tokens of a
+    row start and end cut the result. An unknown id raises KeyError."""
+    _, tokens = load_ranks(path)
+    data = b"".join(map(tokens.__getitem__, flat.tolist()))
+    ends = np.r_[0, np.cumsum(widths(path)[flat], dtype=np.int64)][np.r_[0, np.cumsum(lengths)]]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _source(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
 def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, offsets): token ids of the whole text, and the byte where each token starts in its UTF-8.
 
@@ -218,16 +243,26 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
     """
 
     def run(batches):
-        _, tokens = load_ranks(path)
-        width = np.zeros(max(tokens) + 1, np.int32)
-        width[list(tokens)] = [len(t) for t in tokens.values()]
+        width = widths(path)
         for batch in slices(batches, "text", 2 << 20):
             ids = encode_texts([t or "" for t in batch.column("text").to_pylist()], path)
             starts = [np.cumsum(width[x], dtype=np.int32) - width[x] for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids), _lists(starts)], names=["doc_id", "ids", "offsets"])
 
-    source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
+    return _source(df, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
+
+
+def round_trip(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): as ``encode`` and then ``decode``, in one pass over the texts."""
+
+    def run(batches):
+        for batch in slices(batches, "text", 2 << 20):
+            ids = encode_texts([t or "" for t in batch.column("text").to_pylist()], path)
+            lists = _lists(ids)
+            decoded = decoded_rows(lists.values.to_numpy(), np.diff(lists.offsets.to_numpy()), path)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, decoded], names=["doc_id", "ids", "decoded"])
+
+    return _source(df, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -236,10 +271,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != into), f"`{into}` binary"])
 
     def run(batches):
-        _, tokens = load_ranks(path)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                texts = [b"".join([tokens[i] for i in row or []]) for row in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, into])
+                lists = part.column(ids)
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                decoded = decoded_rows(lists.flatten().to_numpy(zero_copy_only=False), lengths, path)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), decoded], names=[*kept, into])
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)

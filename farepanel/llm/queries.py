@@ -21,8 +21,7 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path).select("doc_id", "ids"), path)
+    decoded = bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -58,6 +58,21 @@ def test_encode_and_decode(spark, library):
             assert text.encode("utf-8")[at : at + len(tokens[i])] == tokens[i]
 
 
+def test_round_trip_equals_encoding_and_decoding(spark):
+    df = frame(spark, EDGE + random_texts(300, 6), clashes=False).repartition(3)
+    both = bpe.decode(bpe.encode(df, PATH), PATH).select("doc_id", "ids", "decoded").orderBy("doc_id").collect()
+    assert bpe.round_trip(df, PATH).orderBy("doc_id").collect() == both
+
+
+def test_null_ids_unknown_ids_and_other_columns(spark):
+    df = spark.createDataFrame([(1, [65, 66], "x"), (2, None, "y"), (3, [], None)], "doc_id long, ids array<int>, more string")
+    tokens = bpe.load_ranks(PATH)[1]
+    rows = bpe.decode(df, PATH).orderBy("doc_id").collect()
+    assert [bytes(r.decoded) for r in rows] == [tokens[65] + tokens[66], b"", b""] and [r.more for r in rows] == ["x", "y", None]
+    with pytest.raises(Exception, match="KeyError"):
+        bpe.decode(spark.createDataFrame([([10**8],)], "ids array<int>"), PATH).collect()
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = bpe.encode(frame(spark, ["a b", "a b"], [1, None]), PATH).collect()
     assert rows[0].ids == rows[1].ids and {r.doc_id for r in rows} == {1, None}
