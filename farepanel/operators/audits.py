@@ -12,6 +12,7 @@ from farepanel import config as C
 from farepanel.functions import columns as K
 from farepanel.operators import metrics
 from farepanel.operators.history import rolling_median
+from farepanel.operators.market import session_pairs
 from farepanel.operators.scale import (
     average_rank, exact_quantiles, join_on, with_rank, with_scalars,
 )
@@ -556,7 +557,32 @@ def density2d(df: DataFrame, x: str, y: str, bins: int = 43, level: float = 0.99
     )
 
 
-def slice_metrics(df: DataFrame, dims: Mapping[str, str], y: str, yhat: str, slot: str = "schedule_slot_id") -> DataFrame:
+def session_frame(df: DataFrame, windows: Sequence[int] = C.BOOKING_WINDOWS) -> DataFrame:
+    """Offers of every batch that has a predecessor, with gap, half-days and eras of the two batches as tags.
+
+    The batch before is also where a prior anchor comes from, so its age is the gap. The list of batch pairs is
+    bounded by the calendar.
+    """
+    pairs = session_pairs(df).select(
+        "session_key", F.col("target_session_time").alias("label_time"), "source_session_time", "source_session_label", "source_collection_era"
+    )
+    gap = K.hours_between("source_session_time", "label_time")
+    grid = F.col("days_until_departure").isin(*windows)
+    return join_on(df, pairs, ["session_key"]).withColumns(
+        {
+            "session_gap_hours": gap,
+            "session_gap_band": K.right_closed_band(gap, C.SESSION_GAP_BANDS),
+            "session_transition": F.concat_ws("->", "source_session_label", "session_label"),
+            "source_target_era_transition": F.concat_ws("->", "source_collection_era", "collection_era"),
+            "anchor_age_band": K.right_closed_band(gap, C.ANCHOR_AGE_BANDS),
+            "dud_support_mode": F.when(grid, "ON_GRID").otherwise("INTERIOR_OFF_GRID_INTERPOLATED"),
+        }
+    ).drop("source_session_time", "source_session_label", "source_collection_era")
+
+
+def slice_metrics(
+    df: DataFrame, dims: Mapping[str, str], y: str, yhat: str, slot: str = "schedule_slot_id", by: Sequence[str] = ()
+) -> DataFrame:
     """One metric record for OVERALL and for every value of every slice dimension, in one aggregate.
 
     Partial sums per slice keep a hot slice small before the shuffle; slots are counted from a
@@ -568,9 +594,9 @@ def slice_metrics(df: DataFrame, dims: Mapping[str, str], y: str, yhat: str, slo
     ]
     t, q = F.col(y).cast("double"), F.col(yhat).cast("double")
     long = df.select(
-        F.explode(F.array(*structs)).alias("s"), F.col(slot).alias("__slot"), t.alias("t"), F.abs(t - q).alias("e")
-    ).select("s.*", "__slot", "t", "e")
-    keys = ["slice_type", "slice_value"]
+        *by, F.explode(F.array(*structs)).alias("s"), F.col(slot).alias("__slot"), t.alias("t"), F.abs(t - q).alias("e")
+    ).select(*by, "s.*", "__slot", "t", "e")
+    keys = [*by, "slice_type", "slice_value"]
     spread = F.var_pop("t") * F.count(F.lit(1))
     base = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("support"),

@@ -328,7 +328,7 @@ def release_gates(metrics: DataFrame) -> DataFrame:
         "ndcg5_beats_anchor": c("ndcg5") >= c("base_ndcg5"),
         "regret_beats_buy_all": c("mean_regret") <= c("buy_all_regret"),
         "cvar_close_to_buy_all": c("cvar95_regret") <= c("buy_all_cvar95") * 1.05 + 1.0,
-        "recipe_unchanged": c("recipes") == 1,
+        "recipe_unchanged": c("recipes") == 1,  # distinct frozen recipes over all blocks and the contract
         "blocks_disjoint": (c("row_overlap") == 0) & (c("query_overlap") == 0),
     }
     out = metrics.select(*[F.coalesce(gate, F.lit(False)).alias(name) for name, gate in gates.items()])
@@ -339,14 +339,28 @@ def release_gates(metrics: DataFrame) -> DataFrame:
 # --- recipe selection -----------------------------------------------------------------------
 
 
-def blend_probabilities(df: DataFrame, first: str, second: str, incumbent: str, weights: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Long table (row, recipe, probability) of the members, their mean and three blends with the incumbent."""
-    mean = (F.col(first) + F.col(second)) / 2
+def blends(df: DataFrame, first: str, second: str, incumbent: str, name: str = "value", weights: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Long table (row, recipe, value): the members, their mean and blends of the mean with the incumbent.
+
+    Values are numbers (probabilities, fares, scores) or arrays of equal length (quantiles), blended place by place.
+    """
+    arrays = df.schema[first].dataType.typeName() == "array"
+
+    def mix(a: Column, b: Column, w: float) -> Column:
+        one = lambda x, y: x * w + y * (1.0 - w)
+        return F.zip_with(a, b, one) if arrays else one(a, b)
+
+    half = lambda a, b: F.zip_with(a, b, lambda x, y: (x + y) / 2) if arrays else (a + b) / 2
+    mean = half(F.col(first), F.col(second))
     recipes = {"INCUMBENT": F.col(incumbent), "FIRST": F.col(first), "SECOND": F.col(second), "MEAN": mean}
-    for w in weights:
-        recipes[f"BLEND_{int(w * 100):02d}"] = mean * w + F.col(incumbent) * (1.0 - w)
-    structs = [F.struct(F.lit(n).alias("recipe"), e.alias("probability")) for n, e in recipes.items()]
-    return df.withColumn("__x", F.explode(F.array(*structs))).select("*", "__x.*").drop("__x")
+    recipes |= {f"BLEND_{int(w * 100):02d}": mix(mean, F.col(incumbent), w) for w in weights}
+    kind = "array<double>" if arrays else "double"
+    structs = [F.struct(F.lit(n).alias("recipe"), e.cast(kind).alias(name)) for n, e in recipes.items()]
+    return df.select("*", F.inline(F.array(*structs)))
+
+
+def blend_probabilities(df: DataFrame, first: str, second: str, incumbent: str, weights: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    return blends(df, first, second, incumbent, "probability", weights)
 
 
 #: Fixed values per task: primary metric, whether larger is better, tolerance of the late gate.
@@ -380,6 +394,34 @@ def proper_scores(long: DataFrame, y: str, p: str = "probability", by: Sequence[
     return long.groupBy(*by).agg(score.alias("score"))
 
 
+def recipe_scores(long: DataFrame, task: str, y: str, value: str = "value", by: Sequence[str] = ("recipe", "fold_set", "fold"), query: str = "query_id", tie: str = "offer_id") -> DataFrame:
+    """Primary metric of a task per recipe and fold: proper score, MAPE, WIS of ordered quantiles, or mean NDCG at 5
+    (``y`` is then the fare by which queries are ranked)."""
+    if task == "CLASSIFICATION":
+        return proper_scores(long, y, value, by)
+    if task == "POINT":
+        truth = F.greatest(F.col(y).cast("double"), F.lit(1.0))
+        error = F.abs(F.greatest(F.col(value).cast("double"), F.lit(1.0)) - truth) / truth
+        return long.groupBy(*by).agg(F.avg(error).alias("score"))
+    if task == "DISTRIBUTION":
+        ordered = long.withColumn("__q", K.rearrange(value))
+        return ordered.groupBy(*by).agg(F.avg(K.wis(y, "__q")).alias("score"))
+    key = F.struct(*by, query).alias("__query")
+    per_query = ndcg(long.select(key, tie, F.col(value).alias("__s"), F.col(y).alias("__y")), "__s", "__y", "__query", tie)
+    return per_query.groupBy(*[F.col(f"__query.{c}").alias(c) for c in by]).agg(F.avg("ndcg5").alias("score"))
+
+
+def choose_recipe(table: DataFrame, task: str, incumbent: str = "INCUMBENT") -> DataFrame:
+    """One row: the winner on the screen folds (ties by name) and the frozen recipe, which is the winner only if it
+    passes the late gate."""
+    gated = late_gate(table, task, incumbent)
+    best = gated.agg(F.min_by(F.struct("recipe", "late_pass"), F.struct("selection_score", "recipe")).alias("x"))
+    won = F.col("x.recipe")
+    status = F.when(won == incumbent, "INCUMBENT_WON_SCREEN").when(F.col("x.late_pass"), "PASS").otherwise("RETAIN_INCUMBENT")
+    frozen = F.when(F.col("x.late_pass"), won).otherwise(incumbent)
+    return best.select(won.alias("screen_winner"), frozen.alias("frozen_recipe"), status.alias("gate_status"))
+
+
 def late_gate(table: DataFrame, task: str, incumbent: str = "INCUMBENT") -> DataFrame:
     """Whether a recipe's late mean and worst late fold stay within tolerance of the incumbent (one row).
 

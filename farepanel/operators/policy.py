@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from farepanel import config as C
 from farepanel.functions import columns as K
 from farepanel.operators.metrics import with_rates
-from farepanel.operators.scale import running_totals
+from farepanel.operators.scale import join_on, running_totals, with_scalars
+from farepanel.session import materialise
 
 
 def with_regret(df: DataFrame, wait: Column, friction: Column | float = C.FRICTION_VND, p_now: str = "price_vnd", p_later: str = "target_price_vnd") -> DataFrame:
@@ -221,3 +222,77 @@ def wilson_safety(df: DataFrame, by: Sequence[str] = (), z: float = 1.9599639845
             F.lit(False),
         ),
     ).drop("__drops")
+
+
+def wilson_upper(events: Column, trials: Column, z: float = 1.959963984540054) -> Column:
+    """Upper end of the Wilson interval of a share; null without trials."""
+    n = trials.cast("double")
+    share = F.try_divide(events.cast("double"), n)
+    centre = share + z * z / (2 * n)
+    margin = F.lit(z) * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return F.when(n > 0, (centre + margin) / (1 + z * z / n))
+
+
+SAFETY = {"wilson_upper": 0.15, "buy_coverage": 0.20, "wait_recall": 0.75, "action_coverage": 0.60}  # fixed values
+
+
+def safety_thresholds(
+    df: DataFrame, y: str, p: str, group: str = "days_until_departure", points: int = 20, min_actual: int = 500, weight: float = C.UNSAFE_BUY_WEIGHT,
+    friction: float = C.FRICTION_VND,
+) -> DataFrame:
+    """Two thresholds per horizon: buy below ``buy_below``, wait from ``wait_from``, uncertain (shown as waiting) between.
+
+    Of the pairs on a grid that pass all safety floors the cheapest by asymmetric cost is taken, then the one with the
+    larger macro F1, then the lower pair. A horizon has its own pair only with ``min_actual`` rows of both outcomes;
+    otherwise, and if none passes, the pooled pair serves it; if that fails too, nothing is ever bought
+    (``threshold_source`` NONE). Rows are read once, into counts per (horizon, grid cell).
+    """
+    now, later, zero = F.col("price_vnd").cast("double"), F.col("target_price_vnd").cast("double"), F.lit(0.0)
+    cell = F.least(F.greatest(F.floor(F.col(p) * points).cast("int"), F.lit(0)), F.lit(points - 1))
+    cells = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(group).alias("g"), cell.alias("c")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum((F.col(y) == 1).cast("bigint")).alias("pos"),
+        F.sum(F.lit(float(weight)) * F.greatest(now - later, zero)).alias("buy"),
+        F.sum(F.greatest(later - now, zero) + float(friction)).alias("wait"),
+    )
+    cells = materialise(cells, "safety")  # horizons x grid from here on
+    measures = ("n", "pos", "buy", "wait")
+    pooled = cells.groupBy("c").agg(*[F.sum(m).alias(m) for m in measures])
+    both = cells.withColumn("own", F.lit(True)).unionByName(
+        pooled.select(F.lit(None).cast(cells.schema["g"].dataType).alias("g"), "c", *measures, F.lit(False).alias("own"))
+    )
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(points + 1) for b in range(a, points + 1)]))
+    below, above = F.col("c") < F.col("a"), F.col("c") >= F.col("b")
+    part = lambda m, where: F.sum(F.when(where, F.col(m)).otherwise(0))
+    table = both.withColumn("x", pairs).select("*", "x.*").groupBy("g", "own", "a", "b").agg(
+        F.sum("n").alias("rows"), F.sum("pos").alias("drops"), part("n", below).alias("buys"), part("pos", below).alias("unsafe"),
+        part("n", above).alias("waits"), (part("buy", below) + part("wait", ~below)).alias("cost"),
+    )
+    c = F.col
+    f1 = lambda hit, miss, false: F.coalesce(F.try_divide(2.0 * hit, 2 * hit + miss + false), zero)
+    caught, safe = c("drops") - c("unsafe"), c("buys") - c("unsafe")
+    table = table.select(
+        "g", "own", (c("a") / F.lit(points)).alias("buy_below"), (c("b") / F.lit(points)).alias("wait_from"),
+        (c("cost") / c("rows")).alias("mean_vnd_cost"),
+        ((f1(caught, c("unsafe"), c("rows") - c("buys") - caught) + f1(safe, c("rows") - c("drops") - safe, c("unsafe"))) / 2).alias("macro_f1"),
+        wilson_upper(c("unsafe"), c("buys")).alias("wilson_upper"), (c("buys") / c("rows")).alias("buy_coverage"),
+        F.try_divide(caught.cast("double"), c("drops")).alias("wait_recall"), ((c("buys") + c("waits")) / c("rows")).alias("action_coverage"),
+        (F.least(c("drops"), c("rows") - c("drops")) >= min_actual).alias("supported"),
+    )
+    floors = reduce(lambda a, b: a & b, [c(n) <= v if n == "wilson_upper" else c(n) >= v for n, v in SAFETY.items()])
+    order = F.struct("mean_vnd_cost", (-c("macro_f1")).alias("f"), "buy_below", "wait_from")
+    names = ["buy_below", "wait_from", "mean_vnd_cost", "macro_f1", *SAFETY]
+    best = table.where(floors & (c("supported") | ~c("own"))).groupBy("g", "own").agg(F.min_by(F.struct(*names), order).alias("best"))
+    groups = cells.select("g").distinct()
+    own = join_on(groups, best.where("own").select("g", "best"), ["g"], "left")
+    whole = best.where("NOT own").agg(F.first("best").alias("pooled"))
+    out = with_scalars(own, whole)
+    source = F.when(c("best").isNotNull(), "OWN").when(c("pooled").isNotNull(), "GLOBAL").otherwise("NONE")
+    return out.withColumn("x", F.coalesce("best", "pooled")).select(c("g").alias(group), source.alias("threshold_source"), *[c(f"x.{n}").alias(n) for n in names])
+
+
+def with_actions(df: DataFrame, table: DataFrame, p: str, group: str = "days_until_departure", name: str = "action") -> DataFrame:
+    """BUY, UNCERTAIN or WAIT by the thresholds of a row's horizon; a horizon without any, and a null score, wait."""
+    found = join_on(df, table.select(group, "threshold_source", F.col("buy_below").alias("__a"), F.col("wait_from").alias("__b")), [group], "left")
+    action = F.when(F.col(p) < F.col("__a"), "BUY").when(F.col(p) < F.col("__b"), "UNCERTAIN").otherwise("WAIT")
+    return found.withColumn(name, action).drop("__a", "__b")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farepanel.operators.scale import join_on, positions, with_scalars
+from farepanel.operators.scale import join_on, positions, row_numbers, with_scalars
 
 CANONICAL_ORDER = (
     "scraped_at", "session_id", "route", "flight_date", "days_until_departure",
@@ -33,14 +33,22 @@ def even_sample(df: DataFrame, order: str, limit: int) -> DataFrame:
     return numbered.where(evenly_spaced(F.col("__p"), F.col("__n"), limit)).drop("__p", "__n")
 
 
+PUSHED = 1000  # largest row-number limit that Spark applies before the exchange by default
+
+
 def quota_per_group(df: DataFrame, groups: Sequence[str], order: str, limit: int, ceil: bool) -> DataFrame:
-    """First rows of every group up to a shared quota; the rank filter runs before the shuffle."""
-    count = df.select(*groups).distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("__g"))
-    share = F.lit(limit) / F.col("__g")
-    quota = F.greatest(F.lit(8), F.ceil(share) if ceil else F.floor(share))
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(order))
-    cap = max(8, limit)  # a quota never exceeds this, so the static filter is safe and is pushed down
-    return with_scalars(df.withColumn("__r", rank).where(F.col("__r") <= cap), count).where(F.col("__r") <= quota).drop("__g")
+    """First rows of every group up to a shared quota, with their place ``__r``; one number reaches the driver.
+
+    A small quota is a row-number filter, of which every partition first keeps its own share; a large one, where few
+    groups hold many rows, takes places from range partitions, so that no task sorts a whole group.
+    """
+    count = max(df.select(*groups).distinct().count(), 1)
+    quota = max(8, -(-limit // count) if ceil else limit // count)
+    if quota <= PUSHED:
+        placed = df.withColumn("__r", F.row_number().over(Window.partitionBy(*groups).orderBy(order)))
+    else:
+        placed = row_numbers(df, groups, order, [], "__r")
+    return placed.where(F.col("__r") <= quota)
 
 
 def stratified_head(df: DataFrame, date: str, stratum: str, order: str, limit: int) -> DataFrame:
@@ -65,12 +73,15 @@ def stratified_head(df: DataFrame, date: str, stratum: str, order: str, limit: i
     return small.unionByName(large)
 
 
-def balanced_recent(df: DataFrame, date: str, target: str, order: str, max_rows: int = 4096, max_dates: int = 24) -> DataFrame:
-    """Last dates only, with a quota per (date, target)."""
+def balanced_recent(df: DataFrame, date: str, target: str, order: str, max_rows: int = 4096, max_dates: int = 24, classes: int = 20) -> DataFrame:
+    """Last dates only: a quota per (date, target) if the target has two to ``classes`` values, else evenly spaced rows."""
     dates = df.select(date).distinct()
     recent = dates.withColumn("__d", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(date).desc())))
     work = df.join(recent.where(F.col("__d") <= max_dates).select(date), date, "left_semi")
-    return quota_per_group(work, [date, target], order, max_rows, ceil=False).drop("__r")
+    seen = work.where(F.col(target).isNotNull()).select(target).distinct().limit(classes + 1).count()
+    if 1 < seen <= classes:
+        return quota_per_group(work.where(F.col(target).isNotNull()), [date, target], order, max_rows, ceil=False).drop("__r")
+    return even_sample(work, order, max_rows)
 
 
 def topk_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], k: int, name: str = "rank") -> DataFrame:

@@ -89,10 +89,12 @@ def inner_split(train: DataFrame, by: Sequence[str] = ("fold",), mode: str = "CL
     return rows.withColumn("part", F.when(fit, "FIT").when(F.col(time) >= origin, "HEAD")).where(F.col("part").isNotNull())
 
 
-def calibration_split(train: DataFrame, by: Sequence[str] = ("fold",), fraction: float = 0.20, outcome: str = "label_time") -> DataFrame:
+def calibration_split(
+    train: DataFrame, by: Sequence[str] = ("fold",), fraction: float = 0.20, outcome: str = "label_time", target: str | None = None
+) -> DataFrame:
     """FIT and CALIBRATION: the last fifth of the feature dates, at least three, purged by outcome.
 
-    A group with too few dates fails the job.
+    A group with too few dates fails the job, and with ``target`` also one that lacks two classes in either part.
     """
 
     def reserve(n: Column) -> Column:
@@ -102,9 +104,16 @@ def calibration_split(train: DataFrame, by: Sequence[str] = ("fold",), fraction:
     rows = join_on(train, _tail_date(train, list(by), "feature_time", reserve), list(by))
     origin = F.col("origin")
     fit = (F.col("feature_time") < origin) & (F.col(outcome) < origin)
-    return rows.withColumn(
+    rows = rows.withColumn(
         "part", F.when(fit, "FIT").when(F.col("feature_time") >= origin, "CALIBRATION")
     ).where(F.col("part").isNotNull())
+    if target is None:
+        return rows
+    several = lambda part: F.min(F.when(F.col("part") == part, F.col(target))) < F.max(F.when(F.col("part") == part, F.col(target)))
+    both = F.coalesce(several("FIT") & several("CALIBRATION"), F.lit(False)).alias("__both")
+    fail = F.raise_error(F.lit(f"calibration split lacks both classes of {target}")).cast("boolean")
+    checked = join_on(rows, rows.groupBy(*by).agg(both), list(by))
+    return checked.where(F.when(F.col("__both"), F.lit(True)).otherwise(fail)).drop("__both")
 
 
 def bridge_filter(split: DataFrame, policy: str = "WITHIN_ERA_ONLY") -> DataFrame:

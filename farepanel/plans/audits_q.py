@@ -12,7 +12,7 @@ from farepanel.plans.columns_q import CLEAN, FALLBACK, MARKET, VERIFIED
 from farepanel.plans.history_q import r
 from farepanel.plans.joins_q import registry_frame
 from farepanel.plans.metrics_q import rounded, rsql
-from farepanel.plans.panel_views import band, next_dud
+from farepanel.plans.panel_views import band, hours, next_dud
 from farepanel.plans.registry import query, view
 from farepanel.plans.selection_q import split
 from farepanel.sources.panel import CUTOFF, FOLDS
@@ -556,3 +556,50 @@ def slice_metrics(p):
     )
     out = audits.slice_metrics(df, SLICES, "price_vnd", "pred_vnd")
     return out.select("slice_type", "slice_value", "support", r("mae_vnd", 4), r("mape", 8), r("wmape", 8), r("r2", 7), "schedule_slots")
+
+
+SESSION_SLICES = {"ERA_TRANSITION": "source_target_era_transition", "SESSION_TRANSITION": "session_transition", "SESSION_GAP": "session_gap_band",
+                  "COVERAGE_BAND": "coverage_band", "SUPPORT_TIER": "support_tier", "ROUTE_AIRLINE_SUPPORT": "route_airline_support_band",
+                  "ANCHOR_AGE": "anchor_age_band", "DUD_SUPPORT": "dud_support_mode"}
+GAP = hours("st", "feature_time")
+view(
+    "session_rows",
+    f"""SELECT o.*, {band(GAP, C.SESSION_GAP_BANDS)} AS session_gap_band, {band(GAP, C.ANCHOR_AGE_BANDS)} AS anchor_age_band, sl || '->' || session_label AS session_transition,
+se || '->' || collection_era AS source_target_era_transition, 'ON_GRID' AS dud_support_mode
+FROM timed o JOIN (SELECT session_key, lag(t) OVER w AS st, lag(l) OVER w AS sl, lag(e) OVER w AS se FROM (
+SELECT session_key, min(feature_time) AS t, min(session_label) AS l, min(collection_era) AS e FROM timed GROUP BY 1) WINDOW w AS (ORDER BY t, session_key)) s USING (session_key) WHERE st IS NOT NULL""",
+)
+view("session_cells", "SELECT fold, route, airline, count(*) AS n FROM session_rows, fold_table WHERE feature_time < fold_start GROUP BY ALL")
+view(
+    "session_slices",
+    f"""SELECT v.*, {band('coalesce(n, 0)', C.ANCHOR_SUPPORT_BANDS)} AS route_airline_support_band,
+CASE WHEN a >= 5 THEN 'UNIVERSAL_5' WHEN a = 4 THEN 'BROAD_4_5' WHEN a >= 2 THEN 'MID_2_3' WHEN a = 1 THEN 'SINGLE_1' ELSE 'UNOBSERVED_0' END AS coverage_band,
+CASE WHEN a >= 4 THEN 'HIGH_SUPPORT' ELSE 'LOWER_SUPPORT' END AS support_tier
+FROM (SELECT s.*, f.fold FROM session_rows s, fold_table f WHERE feature_time >= fold_start AND feature_time < fold_end) v
+LEFT JOIN session_cells c USING (fold, route, airline) LEFT JOIN (SELECT fold, route, count(*) AS a FROM session_cells GROUP BY ALL) r USING (fold, route)""",
+)
+
+
+def fold_slice_sql(name: str, value: str) -> str:
+    group = ", ".join(["fold"] + ([value] if not value.startswith("'") else []))
+    return slice_sql(name, value if value.startswith("'") else f"CAST({value} AS VARCHAR)", f"GROUP BY {group}").replace("SELECT", "SELECT fold,", 1).replace("FROM sliced", "FROM session_slices")
+
+
+def session_slices(p):
+    """Validation rows of the fold calendar, tagged by what their fold's training rows cover."""
+    return splits.fold_tags(splits.outer_split(audits.session_frame(p.timed), FOLDS, "REGRESSION"))
+
+
+def slice_out(out, *more):
+    return out.select(*more, "support", r("mae_vnd", 4), r("mape", 8), r("wmape", 8), r("r2", 7), "schedule_slots")
+
+
+@query("slice_metrics_sessions", " UNION ALL ".join(fold_slice_sql(n, c) for n, c in {"OVERALL": "'ALL'", **SESSION_SLICES}.items()))
+def slice_metrics_sessions(p):
+    out = audits.slice_metrics(session_slices(p), SESSION_SLICES, "price_vnd", "pred_vnd", by=["fold"])
+    return slice_out(out, "fold", "slice_type", "slice_value")
+
+
+@query("fare_metrics", f"SELECT * EXCLUDE (slice_type, slice_value) FROM ({fold_slice_sql('OVERALL', chr(39) + 'ALL' + chr(39))})")
+def fare_metrics(p):
+    return slice_out(audits.slice_metrics(session_slices(p), {}, "price_vnd", "pred_vnd", by=["fold"]), "fold")

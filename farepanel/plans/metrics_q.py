@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farepanel import config as C
@@ -287,6 +290,17 @@ SELECT query_id, pow(2e0, rel - n) - pow(2e0, -n) AS g, row_number() OVER (PARTI
 row_number() OVER (PARTITION BY query_id ORDER BY price_vnd, offer_id) AS b FROM ranked WHERE n >= 2) GROUP BY query_id))"""
 GATES = ("both_blocks_pass", "proper_score_beats_prior", "mape_beats_anchor", "wis_beats_empirical", "quantiles_coherent", "ndcg5_beats_anchor",
          "regret_beats_buy_all", "cvar_close_to_buy_all", "recipe_unchanged", "blocks_disjoint")
+RECIPES = {
+    "INCUMBENT": "0.45e0 + 0 * p_drop", "FIRST": "p_drop", "SECOND": "1 - p_drop", "MEAN": "(p_drop + (1 - p_drop)) / 2",
+    **{f"BLEND_{int(w * 100)}": f"(p_drop + (1 - p_drop)) / 2 * {w}e0 + 0.45e0 * {1 - w}e0" for w in (0.25, 0.5, 0.75)},
+}
+view("recipes", " UNION ALL ".join(f"SELECT offer_id, fold, fold_set, drop_5pct, '{n}' AS recipe, {e} AS probability FROM scored" for n, e in RECIPES.items()))
+BLOCK_RECIPES = " UNION ALL ".join(
+    f"""(SELECT recipe FROM (SELECT recipe, avg(s) AS m FROM (SELECT recipe, fold,
+avg(-CASE WHEN drop_5pct = 1 THEN ln(probability) ELSE ln(1 - probability) END) + avg((probability - drop_5pct) * (probability - drop_5pct)) AS s
+FROM recipes JOIN (SELECT offer_id, label_time FROM scored) USING (offer_id) WHERE label_time < TIMESTAMP '{start}' GROUP BY ALL) GROUP BY recipe) ORDER BY m, recipe LIMIT 1)"""
+    for _, start, _ in BLOCKS
+)
 GATE_SQL = f"""WITH prior AS (SELECT b.block_id, avg(drop_5pct) AS rate, {', '.join(f'quantile_cont(y, {l}) AS b{i}' for i, l in enumerate(LEVELS))}
 FROM (SELECT drop_5pct, label_time, ln(target_price_vnd / price_vnd) AS y FROM exact_pairs) e JOIN (VALUES {STARTS}) b(block_id, start) ON e.label_time < b.start GROUP BY 1),
 x AS MATERIALIZED (SELECT a.*, prior.* EXCLUDE (block_id), n.anchor_vnd, d.query_id, {FROZEN} AS regret, {BUY} AS buy_regret FROM arranged a JOIN prior USING (block_id)
@@ -301,7 +315,7 @@ avg(regret) AS regret, avg(buy_regret) AS buy_regret FROM x GROUP BY ROLLUP (blo
 g AS (SELECT (SELECT bool_and(proper <= base_proper AND mape <= base_mape) FROM s WHERE block_id <> 'ALL') AS {GATES[0]}, proper <= base_proper AS {GATES[1]}, mape <= base_mape AS {GATES[2]},
 wis <= base_wis AS {GATES[3]}, crossing = 0 AS {GATES[4]}, {DCG.format(score='-(pred_vnd // 20000)')} >= {DCG.format(score='-anchor_vnd')} AS {GATES[5]}, regret <= buy_regret AS {GATES[6]},
 (SELECT avg(regret) FROM x WHERE regret >= (SELECT quantile_cont(regret, 0.95) FROM x)) <= (SELECT avg(buy_regret) FROM x WHERE buy_regret >= (SELECT quantile_cont(buy_regret, 0.95) FROM x)) * 1.05e0 + 1 AS {GATES[7]},
-true AS {GATES[8]}, (SELECT count(*) FROM (SELECT offer_id FROM x GROUP BY 1 HAVING count(DISTINCT block_id) > 1)) + (SELECT count(*) FROM (SELECT query_id FROM x GROUP BY 1 HAVING count(DISTINCT block_id) > 1)) = 0 AS {GATES[9]}
+(SELECT count(DISTINCT recipe) FROM ({BLOCK_RECIPES})) = 1 AS {GATES[8]}, (SELECT count(*) FROM (SELECT offer_id FROM x GROUP BY 1 HAVING count(DISTINCT block_id) > 1)) + (SELECT count(*) FROM (SELECT query_id FROM x GROUP BY 1 HAVING count(DISTINCT block_id) > 1)) = 0 AS {GATES[9]}
 FROM s WHERE block_id = 'ALL')
 SELECT *, {' + '.join(f'CAST({g} AS INTEGER)' for g in GATES)} AS passed FROM g"""
 
@@ -347,16 +361,21 @@ def release_gates(p):
         ndcg(-F.expr("pred_vnd div 20000"), "ndcg5"), ndcg(-F.col("anchor_vnd"), "base_ndcg5"), shared("offer_id", "row_overlap"), shared("query_id", "query_overlap"),
     ):
         one = one.crossJoin(F.broadcast(part))  # one row each
-    return metrics.release_gates(one.withColumn("recipes", F.lit(1)))
+    return metrics.release_gates(one.crossJoin(F.broadcast(block_recipes(p))))
+
+
+def block_recipes(p):
+    """Distinct recipes frozen for the two blocks: each is chosen on the folds whose labels are known before its start."""
+    frozen = []
+    for name, start, _ in BLOCKS:
+        rows = recipes(p).where(F.col("label_time") < F.lit(start).cast("date").cast("timestamp_ntz"))
+        table = metrics.recipe_table(metrics.proper_scores(rows.withColumn("fold_set", F.lit("SCREEN")), Y), "CLASSIFICATION")
+        frozen.append(table.agg(F.min_by("recipe", F.struct("selection_score", "recipe")).alias("recipe")))
+    return reduce(DataFrame.unionByName, frozen).agg(F.countDistinct("recipe").alias("recipes"))
 
 
 # --- recipes --------------------------------------------------------------------------------
 
-RECIPES = {
-    "INCUMBENT": "0.45e0 + 0 * p_drop", "FIRST": "p_drop", "SECOND": "1 - p_drop", "MEAN": "(p_drop + (1 - p_drop)) / 2",
-    **{f"BLEND_{int(w * 100)}": f"(p_drop + (1 - p_drop)) / 2 * {w}e0 + 0.45e0 * {1 - w}e0" for w in (0.25, 0.5, 0.75)},
-}
-view("recipes", " UNION ALL ".join(f"SELECT offer_id, fold, fold_set, drop_5pct, '{n}' AS recipe, {e} AS probability FROM scored" for n, e in RECIPES.items()))
 view(
     "recipe_scores",
     """SELECT recipe, avg(s) FILTER (fold_set = 'SCREEN') AS screen, avg(s) FILTER (fold_set = 'LATE') AS late, avg(s) AS all_folds,
@@ -397,6 +416,64 @@ def late_gate(p):
     return metrics.late_gate(recipe_scores(p), "CLASSIFICATION").select("recipe", "pass_mean", "pass_worst_fold", "late_pass")
 
 
+def task_recipes(p, task):
+    """Members and incumbent of a task: the stand-in prediction, a second one and a plain one."""
+    df = serving.query_ids(p.scored)
+    if task == "POINT":
+        df = df.select("*", (F.col("price_vnd") + F.col("pred_vnd")).alias("a"), (2 * F.col("pred_vnd")).alias("b"), (2 * F.col("price_vnd")).alias("c"))
+        df, y = df.withColumns({c: F.col(c) / 2 for c in "abc"}), "target_price_vnd"
+    elif task == "DISTRIBUTION":
+        shift = lambda d: F.transform("quantiles", lambda q: q + d)
+        df, y = df.withColumns({"a": F.col("quantiles"), "b": shift(0.05), "c": shift(-0.04)}), "y_log"
+    else:
+        score = {"a": -F.col("price_vnd"), "b": -F.expr("pred_vnd div 20000"), "c": F.col("days_until_departure") * 1.0}
+        df, y = df.withColumns({n: e.cast("double") for n, e in score.items()}), "target_price_vnd"
+    return metrics.recipe_table(metrics.recipe_scores(metrics.blends(df, "a", "b", "c"), task, y), task)
+
+
+def folds_sql(task: str, score: str, value: str, worst: str = "max") -> str:
+    """Screen and late means per recipe of a metric per fold, from rows with members a, b and incumbent c."""
+    mixed = {"INCUMBENT": "{c}", "FIRST": "{a}", "SECOND": "{b}", "MEAN": "({a} + {b}) / 2"}
+    mixed |= {f"BLEND_{int(w * 100)}": f"({{a}} + {{b}}) / 2 * {w}e0 + {{c}} * {1 - w}e0" for w in (0.25, 0.5, 0.75)}
+    rows = " UNION ALL ".join(f"SELECT *, '{n}' AS recipe, {value.format(m=e)} FROM members" for n, e in mixed.items())
+    return f"""f AS (SELECT recipe, fold_set, fold, {score} AS s FROM ({rows}) GROUP BY ALL)
+SELECT recipe, {rsql("avg(s) FILTER (fold_set = 'SCREEN')", 'screen')}, {rsql("avg(s) FILTER (fold_set = 'LATE')", 'late')}, {rsql('avg(s)', 'all')},
+{rsql(f"{worst}(s) FILTER (fold_set = 'SCREEN')", 'screen_worst_fold')}, {rsql(f"{worst}(s) FILTER (fold_set = 'LATE')", 'late_worst_fold')}, {rsql("avg(s) FILTER (fold_set = 'SCREEN')", 'selection_score')} FROM f GROUP BY recipe"""
+
+
+def mix_points(text: str) -> str:
+    return text.replace("{a}", "((price_vnd + pred_vnd) / 2e0)").replace("{b}", "(pred_vnd * 1e0)").replace("{c}", "(price_vnd * 1e0)")
+
+
+@query(
+    "recipe_table_point",
+    mix_points("WITH members AS (SELECT * FROM scored), " + folds_sql("POINT", "avg(abs(v - target_price_vnd) / target_price_vnd)", "{m} AS v")),
+)
+def recipe_table_point(p):
+    return rounded(task_recipes(p, "POINT"))
+
+
+@query("recipe_table_distribution")
+def recipe_table_distribution(p):
+    return rounded(task_recipes(p, "DISTRIBUTION"))
+
+
+@query("recipe_table_ranking")
+def recipe_table_ranking(p):
+    return rounded(task_recipes(p, "RANKING"))
+
+
+@query(
+    "recipe_choice",
+    """WITH g AS (SELECT a.recipe, a.screen, a.late <= b.late * 1.01e0 AND a.late_worst_fold <= b.late_worst_fold * (1 + 0.01e0 * 1.5e0) AS ok FROM recipe_scores a, recipe_scores b WHERE b.recipe = 'INCUMBENT'),
+w AS (SELECT * FROM g ORDER BY screen, recipe LIMIT 1)
+SELECT recipe AS screen_winner, CASE WHEN ok THEN recipe ELSE 'INCUMBENT' END AS frozen_recipe,
+CASE WHEN recipe = 'INCUMBENT' THEN 'INCUMBENT_WON_SCREEN' WHEN ok THEN 'PASS' ELSE 'RETAIN_INCUMBENT' END AS gate_status FROM w""",
+)
+def recipe_choice(p):
+    return metrics.choose_recipe(recipe_scores(p), "CLASSIFICATION")
+
+
 # --- decisions ------------------------------------------------------------------------------
 
 
@@ -513,6 +590,15 @@ def wilson_safety(p):
     return rounded(policy.wilson_safety(p.scored.withColumn("wait", F.col(P) >= C.WAIT_THRESHOLD), ["fold"]))
 
 
+@query("safety_thresholds")
+def safety_thresholds(p):
+    """Tuned on the screen folds; the actions on the late ones by horizon."""
+    head, rest = p.scored.where("fold_set = 'SCREEN'"), p.scored.where("fold_set = 'LATE'")
+    table = policy.safety_thresholds(head, Y, P)
+    done = policy.with_actions(rest, table, P).groupBy("days_until_departure", "threshold_source").pivot("action", ["BUY", "UNCERTAIN", "WAIT"]).count().na.fill(0)
+    return rounded(join_on(done, table.drop("threshold_source"), ["days_until_departure"], "left"), 5)
+
+
 # --- conformal calibration ------------------------------------------------------------------
 
 view(

@@ -60,6 +60,19 @@ def balanced_recent(p):
     )
 
 
+@query(
+    "balanced_recent_continuous",
+    """WITH d AS (SELECT DISTINCT session_date FROM exact_pairs ORDER BY session_date DESC LIMIT 24),
+w AS (SELECT *, row_number() OVER (ORDER BY offer_id) - 1 AS pos, count(*) OVER () AS n FROM exact_pairs WHERE session_date IN (SELECT session_date FROM d))
+SELECT offer_id, session_date, price_change_vnd FROM w WHERE n <= 4096 OR pos IN (SELECT i * (n - 1) // 4095 FROM range(4096) t(i), (SELECT max(n) AS n FROM w))""",
+)
+def balanced_recent_continuous(p):
+    """A target with more than 20 values has no quotas: evenly spaced rows instead."""
+    return selection.balanced_recent(p.exact_pairs, "session_date", "price_change_vnd", "offer_id").select(
+        "offer_id", "session_date", "price_change_vnd"
+    )
+
+
 @query(
     "even_sample",
     """WITH s AS (SELECT offer_id, price_vnd, row_number() OVER (ORDER BY offer_id) - 1 AS pos, count(*) OVER () AS n FROM offers)
@@ -239,7 +252,7 @@ def inner_split(p):
     ),
 )
 def calibration_split(p):
-    return role_counts(splits.calibration_split(split(p).where("role = 'TRAIN'")), "part")
+    return role_counts(splits.calibration_split(split(p).where("role = 'TRAIN'"), target="drop_5pct"), "part")
 
 
 @query(
