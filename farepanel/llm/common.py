@@ -106,3 +106,48 @@ class WordCache:
         if len(self.new) >= self.half:
             self.old, self.new = self.new, {}
         self.new[key] = value
+
+
+# --- key filter -----------------------------------------------------------------------------
+
+FILTER_BITS, FILTER_HASHES = 1 << 27, 4  # largest bitmap (16 MB) and bits set per key
+
+
+def _bit_places(first: np.ndarray, second: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Bits of a key of two longs in a bitmap of a power of two."""
+    a = mix(first.view(np.uint64) ^ mix(second.view(np.uint64) + PRIME))
+    b = mix(a) | np.uint64(1)
+    return [(a + np.uint64(i) * b) & np.uint64(bits - 1) for i in range(FILTER_HASHES)]
+
+
+def key_filter(keys: DataFrame, first: str, second: str) -> tuple[int, np.ndarray]:
+    """Bloom bitmap of the keys: (bits, bytes), 16 bits a key and 16 MB at most, so that a task can hold it.
+
+    A key of the table always hits. Others may, more of them once the keys outgrow the bitmap: that costs work only.
+    """
+    count = keys.count()
+    bits = min(max(1 << 15, 1 << max(16 * count - 1, 1).bit_length()), FILTER_BITS)
+
+    def places(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in (first, second))
+            for place in _bit_places(a, b, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64))], names=["place"])
+
+    set_bits = keys.select(F.col(first).cast("long"), F.col(second).cast("long")).mapInArrow(places, "place long")
+    parts = set_bits.groupBy((F.col("place") / (1 << 15)).cast("long").alias("part")).agg(
+        F.bitmap_construct_agg((F.col("place") % (1 << 15)).cast("long")).alias("bitmap")
+    )
+    table = np.zeros(bits // 8, np.uint8)
+    for row in parts.collect():  # at most 4,096 pieces of 4 kB
+        table[row.part << 12 : (row.part + 1) << 12] = np.frombuffer(row.bitmap, np.uint8)
+    return bits, table
+
+
+def may_hold(given: tuple[int, np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which keys the bitmap may hold."""
+    bits, table = given
+    hit = np.ones(len(first), bool)
+    for place in _bit_places(first, second, bits):
+        hit &= (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return hit

@@ -10,7 +10,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farepanel.llm.common import NULL_ID, PRIME, id_key, ids_of, mix, sequence_hashes, shared_table, signed, slices, word_hashes, words_of
+from farepanel.llm.common import (
+    NULL_ID, PRIME, id_key, ids_of, key_filter, may_hold, mix, sequence_hashes, shared_table, signed, slices, word_hashes, words_of,
+)
 from farepanel.llm.graph import components
 
 SHINGLE, PERMUTATIONS, BANDS = 5, 128, 32
@@ -235,8 +237,18 @@ def band_links(points: DataFrame, texts: DataFrame, threshold: float = THRESHOLD
             found = [signed(np.unique(shingles(t))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("tie"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    # repeated rows of one id and text give the same set
-    sets = texts.join(needed, ["tie", "id"]).mapInArrow(made, "node long, shingles array<long>")
+    needed = shared_table(needed, "minhash-needed")
+    bitmap = key_filter(needed, "tie", "id")
+
+    def wanted(batches):
+        for batch in batches:
+            hit = may_hold(bitmap, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("tie", "id")))
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    # only texts that may be needed are exchanged; repeated rows of one id and text give the same set
+    few = texts.select("tie", "id", "text").mapInArrow(wanted, "tie long, id long, text string")
+    sets = few.join(needed, ["tie", "id"]).select("tie", "text").mapInArrow(made, "node long, shingles array<long>")
     sets = shared_table(sets.where(F.size("shingles") > 0).dropDuplicates(["node"]), "minhash-sets")
     sized = members.join(sets.select("node", F.size("shingles").alias("size")), "node")
     loads = shared_table(sized.groupBy("band").agg(F.sum("size").alias("load"), F.first("n").alias("n"), F.first("head").alias("head")), "minhash-loads")

@@ -143,3 +143,21 @@ def test_query_whole_table(spark):
     assert len(rows) == len(docs)
     for r in rows:
         assert r.fingerprint == minhash.signature_of(docs[r.doc_id]).tobytes().hex() and r.n_chars == len(docs[r.doc_id])
+
+
+def test_key_filter_never_loses_a_key(spark, monkeypatch):
+    import numpy as np
+
+    from farepanel.llm import common
+
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**63), 2**63 - 1, (5000, 2))
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in keys], "a long, b long")
+    others = rng.integers(-(2**63), 2**63 - 1, (5000, 2))
+    for limit, most in ((1 << 27, 0.02), (1 << 15, 1.0)):  # roomy, and far too small
+        monkeypatch.setattr(common, "FILTER_BITS", limit)
+        given = common.key_filter(df, "a", "b")
+        assert given[0] <= limit and common.may_hold(given, keys[:, 0].copy(), keys[:, 1].copy()).all()
+        assert common.may_hold(given, others[:, 0].copy(), others[:, 1].copy()).mean() <= most
+    empty = common.key_filter(df.limit(0), "a", "b")
+    assert not common.may_hold(empty, keys[:, 0].copy(), keys[:, 1].copy()).any()
