@@ -13,9 +13,6 @@ from farepanel.operators.pairs import exact_next_pairs
 from farepanel.session import materialise
 from farepanel.sources.panel import FOLDS, with_folds, with_quantiles
 
-LIGHT = {"trees": 5, "depth": 3}
-
-
 def raw_scores(p):
     """Fold rows with a raw score, the logit of the stand-in probability."""
     columns = ["offer_id", "fold_set", "drop_5pct", calibration.logit(F.col("p_drop")).alias("raw")]
@@ -75,14 +72,14 @@ def model_frame(p):
 @query("train_drop_classifier")
 def train_drop_classifier(p):
     head, rest = head_and_rest(model_frame(p))
-    model = models.train_classifier(head, "drop_5pct", **LIGHT)
+    model = models.train_classifier(head, "drop_5pct")
     return rounded(models.predict_probability(model, rest).select("offer_id", "probability"), 5)
 
 
 @query("train_fare_regressor")
 def train_fare_regressor(p):
     head, rest = head_and_rest(model_frame(p))
-    model = models.train_regressor(head, "y_log", **LIGHT)
+    model = models.train_regressor(head, "y_log")
     return rounded(models.predict_value(model, rest, "predicted_log").select("offer_id", "predicted_log"), 5)
 
 
@@ -113,20 +110,29 @@ def fit_quantile_surface(p):
 @query("rank_scores")
 def rank_scores(p):
     head, rest = head_and_rest(serving.query_ids(model_frame(p)))
-    scored = models.rank_scores(head, rest, **LIGHT)
+    scored = models.rank_scores(head, rest)
     return rounded(metrics.ranking_metrics(scored, "score", "target_price_vnd"), 5)
 
 
 @query("candidate_grid")
 def candidate_grid(p):
     frame = materialise(splits.outer_split(exact_next_pairs(p.feature_table), FOLDS), "split")
-    candidates = {"GBT_D3": {"trees": 3, "depth": 3}, "LOGISTIC": {"family": "LOGISTIC"}}
-    return rounded(models.candidate_grid(frame, "drop_5pct", candidates, ["F2", "F4"], [17]), 4)
+    candidates = {"GBT_D4": {}, "GBT_D3": {"depth": 3}, "LOGISTIC": {"family": "LOGISTIC"}}
+    return rounded(models.candidate_grid(frame, "drop_5pct", candidates, [f[0] for f in FOLDS], [17, 29, 41]), 4)
+
+
+@query("boosted_quantile_surface")
+def boosted_quantile_surface(p):
+    head, rest = head_and_rest(model_frame(p))
+    model = models.fit_quantile_boost(head, "y_log")
+    out = models.predict_quantiles(model, rest.drop("quantiles"))
+    names = [f"q{int(q * 100):02d}" for q in C.QUANTILES]
+    return rounded(out.select("offer_id", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(names)]), 5)
 
 
 @query("score_frames")
 def score_frames(p):
     head, rest = head_and_rest(model_frame(p))
-    members = [models.train_regressor(head, "y_log", seed=s, **LIGHT) for s in (17, 29)]
+    members = [models.train_regressor(head, "y_log", seed=s) for s in (17, 29)]
     out = models.score_frames(members, rest, head, "price_vnd", "y_log")
     return rounded(out.select("offer_id", "predicted_vnd", "aligned"), 1)
