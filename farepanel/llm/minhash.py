@@ -19,6 +19,7 @@ SHINGLE, PERMUTATIONS, BANDS = 5, 128, 32
 THRESHOLD = 0.8
 CHUNK = 1024
 GROUP, LOAD = 256, 1 << 21  # texts and shingles of a bucket that are compared within one row
+TURNS = 4  # parts of the bands that are compared one after the other
 WORDLESS = 0  # node of all texts without words
 
 
@@ -166,7 +167,8 @@ def band_keys(fingerprint: str | Column, bands: int = BANDS) -> Column:
 
 
 def _forest(sets: list[np.ndarray], threshold: float) -> tuple[list[int], list[int]]:
-    """Links of a spanning forest over the pairs of non-empty sets with at least this Jaccard similarity."""
+    """Links from the first set of every component to its others, over the pairs of non-empty sets with at least this
+    Jaccard similarity."""
     lengths = np.array([len(x) for x in sets])
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
@@ -185,7 +187,7 @@ def _forest(sets: list[np.ndarray], threshold: float) -> tuple[list[int], list[i
             near = np.flatnonzero(~seen & (common / (lengths + lengths[j] - common) >= threshold)).tolist()
             seen[near] = True
             front += near
-            u += [j] * len(near)
+            u += [i] * len(near)
             v += near
     return u, v
 
@@ -198,7 +200,9 @@ def _bucket_links(buckets: DataFrame, threshold: float) -> DataFrame:
             for i in range(batch.num_rows):
                 members = batch.column("members").slice(i, 1).flatten()
                 nodes, lists = members.field("node").to_numpy(zero_copy_only=False), members.field("shingles")
-                u, v = _forest([lists[k].values.to_numpy(zero_copy_only=False) for k in range(len(lists))], threshold)
+                order = np.argsort(nodes)
+                nodes = nodes[order]
+                u, v = _forest([lists[k].values.to_numpy(zero_copy_only=False) for k in order.tolist()], threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"])
 
     return buckets.select("members").mapInArrow(run, "u long, v long")
@@ -212,13 +216,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(common / (F.size("a") + F.size("b") - common) >= threshold).select("u", "v")
 
 
-def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(..., root): a node's component; a node without links is its own."""
-    return nodes.join(components(links).withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _rooted(nodes: DataFrame, contracted: DataFrame) -> DataFrame:
+    """(..., root): a node's component by ``_contracted`` links; a node without a link is its own."""
+    roots = contracted.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """(u, v): one link from every linked node to the smallest of its component."""
+    return components(links).withColumnRenamed("root", "v")
 
 
 def band_links(points: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, group: int = GROUP, load: int = LOAD) -> DataFrame:
-    """(u, v): enough verified pairs to connect all nodes that pairs sharing a band and at least ``threshold`` connect.
+    """(u, v): links that connect just the nodes that pairs sharing a band and of at least ``threshold`` connect.
 
     ``points`` has (node, least, fingerprint) per node, ``texts`` (id, tie, text) rows where ``least`` and ``node``
     find the text of a node. Only sets of nodes that share a band are made. A bucket of at most ``group`` nodes and ``load`` shingles is compared
@@ -254,18 +264,26 @@ def band_links(points: DataFrame, texts: DataFrame, threshold: float = THRESHOLD
     loads = shared_table(sized.groupBy("band").agg(F.sum("size").alias("load"), F.first("n").alias("n"), F.first("head").alias("head")), "minhash-loads")
     large = (F.col("n") > group) | (F.col("load") > load)
     rows = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / group), F.ceil(F.col("load") * 2 / load))
-    dealt = members.select("node", "band").join(loads, "band")
-    dealt = dealt.withColumn("row", F.when(large, F.pmod(F.xxhash64("node", "band"), rows)).otherwise(F.lit(0)))
-    # bands of near copies have the same members again and again, which are compared once
-    lists = dealt.groupBy("band", "row").agg(F.array_sort(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
-    lists = lists.select("nodes").distinct().select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
-    buckets = lists.join(sets, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
-    found = shared_table(_bucket_links(buckets, threshold).distinct(), "minhash-links")
-    over = shared_table(dealt.where(large).select("node", "band", "head"), "minhash-large")
+    members = members.select("node", "band").join(loads, "band")
+    found = None
+    for turn in range(TURNS):
+        # bands whose members earlier turns have already joined need no comparison
+        part = members.where(F.pmod(F.xxhash64("band"), F.lit(TURNS)) == turn)
+        part = _rooted(part, found) if found is not None else part.withColumn("root", F.col("node"))
+        dealt = part.withColumn("row", F.when(large, F.pmod(F.xxhash64("node", F.lit(turn)), rows)).otherwise(F.lit(0)))
+        lists = dealt.groupBy("band", "row").agg(F.array_sort(F.collect_list("node")).alias("nodes"), F.min("root").alias("a"), F.max("root").alias("b"))
+        # bands of near copies have the same members again and again, which are compared once
+        lists = lists.where("a <> b").select("nodes").distinct().select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
+        buckets = lists.join(sets, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
+        links = shared_table(_bucket_links(buckets, threshold).distinct(), "minhash-links")
+        # what is joined becomes one link a node, to the smallest of its component
+        found = _contracted(links if found is None else found.unionByName(links))
+    over = shared_table(members.where(large).select("node", "band", "head"), "minhash-large")
     if over.isEmpty():
         return found
-    stars = over.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    found = shared_table(found.unionByName(_verified(stars, sets, threshold)).distinct(), "minhash-links")
+    stars = _rooted(over.select("node", "head").where("node <> head").distinct(), found).withColumnsRenamed({"node": "u", "root": "own", "head": "node"})
+    stars = _rooted(stars, found).where("own <> root").select("u", F.col("node").alias("v"))
+    found = _contracted(found.unionByName(_verified(stars, sets, threshold)))
     apart = shared_table(_rooted(over.select("node").distinct(), found).join(sets, "node"), "minhash-apart")
     tokens = apart.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
@@ -289,7 +307,7 @@ def with_class(rows: DataFrame, df: DataFrame, doc_id: str = "doc_id", text: str
     points = rows.groupBy("node").agg(F.min(id_key("doc_id")).alias("least"), F.min("doc_id").alias("doc"), F.first("fingerprint").alias("fingerprint"))
     points = shared_table(points, "minhash-nodes")
     texts = df.select(id_key(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    named = _rooted(points.select("node", "doc"), shared_table(band_links(points, texts, threshold, group, load), "minhash-found"))
+    named = _rooted(points.select("node", "doc"), _contracted(shared_table(band_links(points, texts, threshold, group, load), "minhash-found")))
     smallest = named.groupBy("root").agg(F.min("doc").alias("class_id"))
     return rows.join(named.select("node", "root").join(smallest, "root").drop("root"), "node")
 
