@@ -1,5 +1 @@
 """Spark operators for repeated price observations of the same items over time."""
-
-from farepanel.config import DEFAULT, PanelConfig
-
-__all__ = ["DEFAULT", "PanelConfig"]

@@ -1,9 +1,7 @@
-"""Fixed values of the fare panel and the dataclass that lets a caller override them."""
+"""Fixed values of the fare panel."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 # Collection eras.
 FLI_ERA = "FLI_LIBRARY_ERA"
 TRIP_ERA = "TRIP_COM_BROWSER_ERA"
@@ -109,25 +107,3 @@ CONFORMAL_MIN_SUPPORT = 100
 PEER_MIN_SUPPORT = 3
 SEQUENCE_LENGTH = 21
 SEQUENCE_GAP_CLIP_HOURS = 3072.0
-
-
-@dataclass(frozen=True)
-class PanelConfig:
-    """Column names and grid of one (entity, batch, horizon, price) panel."""
-
-    windows: tuple[int, ...] = BOOKING_WINDOWS
-    ceilings: dict[str, int] = field(default_factory=lambda: dict(ROUTE_CEILINGS))
-    peaks: tuple[tuple[str, str], ...] = PEAK_PERIODS
-    price: str = "price_vnd"
-    dud: str = "days_until_departure"
-    slot: str = "schedule_slot_id"
-    batch: str = "session_key"
-    time: str = "feature_time"
-    era: str = "collection_era"
-
-    @property
-    def next_window(self) -> dict[int, int]:
-        return dict(zip(self.windows[:-1], self.windows[1:]))
-
-
-DEFAULT = PanelConfig()

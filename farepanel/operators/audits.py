@@ -297,15 +297,24 @@ def with_period(df: DataFrame, date: str = "session_date") -> DataFrame:
 def matched_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Strata present in both periods with their medians and percentage change.
 
-    A median keeps one counter per distinct fare of a stratum.
+    A median keeps one counter per distinct fare of a stratum; without strata all rows are one cell, whose medians
+    come from spread totals.
     """
     early, late = F.col("period") == "EARLY", F.col("period") == "LATE"
-    cells = df.groupBy(*keys).agg(
-        F.percentile(F.when(early, F.col("price_vnd")), 0.5).alias("early"),
-        F.percentile(F.when(late, F.col("price_vnd")), 0.5).alias("late"),
-        F.count_if(early).alias("early_rows"),
-        F.count_if(late).alias("late_rows"),
-    )
+    if keys:
+        cells = df.groupBy(*keys).agg(
+            F.percentile(F.when(early, F.col("price_vnd")), 0.5).alias("early"),
+            F.percentile(F.when(late, F.col("price_vnd")), 0.5).alias("late"),
+            F.count_if(early).alias("early_rows"),
+            F.count_if(late).alias("late_rows"),
+        )
+    else:
+        halves = exact_quantiles(df, ["period"], "price_vnd", {"median": 0.5}, support="rows")
+        pick = lambda half, column: F.max(F.when(half, F.col(column)))
+        cells = halves.agg(
+            pick(early, "median").alias("early"), pick(late, "median").alias("late"),
+            F.coalesce(pick(early, "rows"), F.lit(0)).alias("early_rows"), F.coalesce(pick(late, "rows"), F.lit(0)).alias("late_rows"),
+        )
     return cells.where(F.col("early").isNotNull() & F.col("late").isNotNull()).withColumn(
         "change_pct", F.lit(100.0) * (F.col("late") / F.col("early") - 1)
     )

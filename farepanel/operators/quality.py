@@ -56,10 +56,6 @@ def completed_batch_offers(df: DataFrame) -> DataFrame:
     return dedup_latest(df, ["session_key", "schedule_slot_id"], ["scraped_at", "session_id"])
 
 
-def drop_exact_duplicates(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
-
-
 def exact_duplicate_counts(df: DataFrame) -> DataFrame:
     """Rows before and after removal of full-row repeats."""
     grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))

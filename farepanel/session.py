@@ -41,12 +41,6 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
-
-
 def file_system(spark: SparkSession, path: str):
     """Hadoop file system of a path, and the path as its object: works wherever Spark itself reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

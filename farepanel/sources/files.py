@@ -145,6 +145,3 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("session_da
     )
 
 
-def write_whole(df: DataFrame, path: str) -> None:
-    """Replace a whole output through the output committer."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
