@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farepanel.session import checkpoint_root, materialise
+from farepanel.session import checkpoint_root, remove
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 NULL_ID = -(1 << 63)  # stands for a null id in keys: it sorts before every other id
@@ -30,15 +31,28 @@ def id_key(doc_id: str = "doc_id") -> Column:
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; the shuffles behind it are freed at once."""
+    """Write a table to the shared folder and read it back; the shuffles behind it are freed at once.
+
+    ``spent`` removes it again, once nothing that is still to be computed reads it.
+    """
     spark = df.sparkSession
-    checkpoint_root(spark)
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        return materialise(df, name)
+        df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
+    table = spark.read.parquet(path)
+    table.table_path = path
+    return table
+
+
+def spent(*tables: DataFrame | None) -> None:
+    """Remove tables that ``shared_table`` wrote."""
+    for table in tables:
+        if table is not None and "table_path" in vars(table):
+            remove(table.sparkSession, table.table_path)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

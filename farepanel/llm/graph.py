@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farepanel.llm.common import shared_table
+from farepanel.llm.common import shared_table, spent
 
 
 def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -26,11 +26,14 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = shared_table(small, "links")
+        last, now = now, shared_table(small, "links")
         before, state = state, _totals(now)
+        spent(last)
         if state == before:
             break
-    return now.select("u", F.col("v").alias("root"))
+    roots = now.select("u", F.col("v").alias("root"))
+    roots.table_path = now.table_path
+    return roots
 
 
 def _totals(pairs: DataFrame) -> tuple:

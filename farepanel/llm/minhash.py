@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farepanel.llm.common import (
-    NULL_ID, PRIME, id_key, ids_of, key_filter, may_hold, mix, sequence_hashes, shared_table, signed, slices, word_hashes, words_of,
+    NULL_ID, PRIME, id_key, ids_of, key_filter, may_hold, mix, sequence_hashes, shared_table, signed, slices, spent, word_hashes, words_of,
 )
 from farepanel.llm.graph import components
 
@@ -224,7 +224,10 @@ def _rooted(nodes: DataFrame, contracted: DataFrame) -> DataFrame:
 
 def _contracted(links: DataFrame) -> DataFrame:
     """(u, v): one link from every linked node to the smallest of its component."""
-    return components(links).withColumnRenamed("root", "v")
+    roots = components(links)
+    found = roots.withColumnRenamed("root", "v")
+    found.table_path = roots.table_path
+    return found
 
 
 def band_links(points: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, group: int = GROUP, load: int = LOAD) -> DataFrame:
@@ -240,6 +243,7 @@ def band_links(points: DataFrame, texts: DataFrame, threshold: float = THRESHOLD
     banded = points.select("node", "least", F.explode(band_keys("fingerprint")).alias("band"))
     shared = shared_table(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "minhash-bands")
     members = shared_table(banded.join(shared, "band"), "minhash-members")  # one row per node and shared band
+    spent(shared)
     needed = members.select(F.col("node").alias("tie"), F.col("least").alias("id")).distinct()
 
     def made(batches):
@@ -261,10 +265,11 @@ def band_links(points: DataFrame, texts: DataFrame, threshold: float = THRESHOLD
     sets = few.join(needed, ["tie", "id"]).select("tie", "text").mapInArrow(made, "node long, shingles array<long>")
     sets = shared_table(sets.where(F.size("shingles") > 0).dropDuplicates(["node"]), "minhash-sets")
     sized = members.join(sets.select("node", F.size("shingles").alias("size")), "node")
+    spent(needed)
     loads = shared_table(sized.groupBy("band").agg(F.sum("size").alias("load"), F.first("n").alias("n"), F.first("head").alias("head")), "minhash-loads")
     large = (F.col("n") > group) | (F.col("load") > load)
     rows = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / group), F.ceil(F.col("load") * 2 / load))
-    members = members.select("node", "band").join(loads, "band")
+    written, members = members, members.select("node", "band").join(loads, "band")
     found = None
     for turn in range(TURNS):
         # bands whose members earlier turns have already joined need no comparison
@@ -277,13 +282,16 @@ def band_links(points: DataFrame, texts: DataFrame, threshold: float = THRESHOLD
         buckets = lists.join(sets, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
         links = shared_table(_bucket_links(buckets, threshold).distinct(), "minhash-links")
         # what is joined becomes one link a node, to the smallest of its component
-        found = _contracted(links if found is None else found.unionByName(links))
+        last, found = found, _contracted(links if found is None else found.unionByName(links))
+        spent(links, last)
     over = shared_table(members.where(large).select("node", "band", "head"), "minhash-large")
+    spent(written, loads)
     if over.isEmpty():
         return found
     stars = _rooted(over.select("node", "head").where("node <> head").distinct(), found).withColumnsRenamed({"node": "u", "root": "own", "head": "node"})
     stars = _rooted(stars, found).where("own <> root").select("u", F.col("node").alias("v"))
-    found = _contracted(found.unionByName(_verified(stars, sets, threshold)))
+    last, found = found, _contracted(found.unionByName(_verified(stars, sets, threshold)))
+    spent(last)
     apart = shared_table(_rooted(over.select("node").distinct(), found).join(sets, "node"), "minhash-apart")
     tokens = apart.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
