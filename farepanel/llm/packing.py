@@ -47,7 +47,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Ids of words between blanks, remembered for words and, longer, for their stems without closing marks. Ids are
+    """Ids of words between blanks, remembered for words and, fewer, for their stems without closing marks. Ids are
     kept as little-endian bytes, so that those of a text are one join."""
 
     def __init__(self, path: str) -> None:
@@ -55,7 +55,7 @@ class WordIds:
         self.code = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.kind = "H" if self.code == "<u2" else "I"
         self.letters = byte_letters()
-        self.words, self.stems = WordCache(200_000), WordCache(800_000)
+        self.words, self.stems = WordCache(800_000), WordCache(20_000)
 
     def encode(self, piece: str) -> bytes:
         """Ids of one piece: lower letters in normal form are one unit for the merges, all else is encoded whole."""

@@ -33,6 +33,14 @@ def test_forgotten_words_are_encoded_again(library):
     assert np.frombuffer(words.text(text), words.code).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_many_rare_words_stay_remembered(monkeypatch):
+    words = packing.WordIds(PATH)
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(150_000))
+    first = words.text(text)
+    monkeypatch.setattr(words, "word", lambda word: pytest.fail(f"{word} was forgotten"))
+    assert words.text(text) == first
+
+
 def test_ranks_and_pieces_against_sorting():
     rng = np.random.default_rng(0)
     for _ in range(60):

@@ -1,11 +1,14 @@
 import re
 
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from farepanel.llm import langid
+from farepanel.llm.common import shared_table
 from tests.conftest import SF
 from tests.llm.helpers import EDGE, components, frame
 from tests.llm.test_packing import whole
@@ -57,6 +60,18 @@ def test_stages_keep_columns_and_survive_edges(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= len(texts)
 
 
+def test_stages_hand_python_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 1500).alias("text"))
+    written = shared_table(texts.mapInArrow(sizes, "size long"), "sizes")
+    assert written.agg(F.sum("size")).first()[0] >= 4000 * 7500
+    assert written.agg(F.max("size")).first()[0] < 8 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(re.match(rf"op{n}_", q) for q in names) for n in range(1, 11))
