@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farepanel.llm.common import MIX1, PRIME, slices
+from farepanel.llm.common import MIX1, PRIME, lean, slices
 
 BITS, ORDERS = 16, (1, 2, 3)
 DIMENSIONS = 1 << BITS
@@ -121,7 +121,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["feature", "n"])
 
-    counted = rows.mapInArrow(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most 2^16 + 1 rows
+    with lean(df.sparkSession):
+        counted = rows.mapInArrow(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most 2^16 + 1 rows
     counts = np.zeros(DIMENSIONS + 1, np.int64)
     for feature, n in counted:
         counts[feature] = n
@@ -157,7 +158,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         yield pa.RecordBatch.from_arrays([pa.array([fitted.astype("<f4").tobytes()], pa.binary()), pa.array([temperature])], names=["weights", "temperature"])
 
     sampled = chosen.mapInArrow(sparse, "draw long, label int, at array<int>, counts array<int>")
-    blob, temperature = sampled.repartition(1).mapInArrow(fit, "weights binary, temperature double").first()
+    with lean(df.sparkSession):
+        blob, temperature = sampled.repartition(1).mapInArrow(fit, "weights binary, temperature double").first()
     return Model(languages, np.frombuffer(blob, "<f4").reshape(len(languages), DIMENSIONS + 1), idf, temperature)
 
 

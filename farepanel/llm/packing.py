@@ -13,7 +13,6 @@ import os
 import sys
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from farepanel.llm import common
 from farepanel.llm.common import WordCache, shared_table, slices
 
 LENGTH, END_ID = 4096, 2
@@ -29,7 +29,6 @@ QUEUES = 1024  # queues of their own; smaller sources share one more
 MARKS = ".,!%&*$#|"  # closing marks of words; they and letters are never in one token
 
 
-@lru_cache(maxsize=2)
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel units
     from tokenizers import Tokenizer
@@ -109,13 +108,11 @@ def pack_ids(kind: str, ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def remembered(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    words = common.remembered("packing")
+    if path not in words:
+        words[path] = WordIds(path)
+    return words[path]
 
 
 def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
@@ -130,7 +127,7 @@ def tokenised(df: DataFrame, path: str, doc_id: str, text: str, source: str) ->
     def run(batches):
         part, sums, words = TaskContext.get().partitionId(), {}, remembered(path)
         end = pack_ids(words.kind, [END_ID])
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 2 << 20, "packing"):
             ids = [words.text(t) + end for t in batch.column("text").to_pylist()]
             lengths, before = [len(x) // len(end) for x in ids], []
             for name, n in zip(batch.column("source").to_pylist(), lengths):

@@ -7,8 +7,8 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from farepanel.llm import langid
-from farepanel.llm.common import shared_table
+from farepanel.llm import langid, packing
+from farepanel.llm.common import shared_table, slices
 from tests.conftest import SF
 from tests.llm.helpers import EDGE, components, frame
 from tests.llm.test_packing import whole
@@ -72,6 +72,16 @@ def test_stages_hand_python_small_batches(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"
 
 
+def test_workers_drop_what_another_operator_remembers(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = packing.remembered(path)
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", "c"]})
+    assert sum(b.num_rows for b in slices([batch], "text", owner="packing")) == 2
+    assert packing.remembered(path) is words
+    assert sum(b.num_rows for b in slices([batch], "text")) == 2
+    assert packing.remembered(path) is not words
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(re.match(rf"op{n}_", q) for q in names) for n in range(1, 11))
