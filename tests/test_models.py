@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from farepanel.functions import columns as K
 from farepanel.operators import market, models
+from farepanel.operators.scale import histogram, quantiles_of_totals, running_totals
 
 
 def frame(spark, n=4000, seed=1):
@@ -41,6 +43,23 @@ def test_boosted_quantiles_beat_the_backoff_table(spark):
     assert "__HIST" not in table.columns and market.RESIDUAL_LEVELS
 
 
+@pytest.mark.parametrize("accuracy", [20, 50])
+def test_a_leaf_keeps_few_values_and_its_exact_quantiles(spark, accuracy):
+    levels = (0.05, 0.5, 0.95)
+    rng = np.random.default_rng(4)
+    y, leaf = np.round(rng.normal(size=9000), 3), rng.integers(0, 3, 9000)
+    leaf[:30] = 7
+    rows = [(float(l), [0.1, 0.0, -0.1], float(v)) for l, v in zip(leaf, y)]
+    left = models._leaf_rests(spark.createDataFrame(rows, "__leaf double, __q array<double>, __y double"), levels, accuracy)
+    assert left.count() == 27_000
+    assert left.where("abs(__rest) < 100 AND __leaf <> 7").count() < 0.3 * 27_000
+    share = K.lookup("__level", dict(enumerate(levels)))
+    totals = running_totals(histogram(left, ["__leaf", "__level"], "__rest"), ["__leaf", "__level"], "__rest", ["n"])
+    for r in quantiles_of_totals(totals, ["__leaf", "__level"], "__rest", {"step": share}).collect():
+        want = np.quantile(y[leaf == r["__leaf"]] - [0.1, 0.0, -0.1][r["__level"]], levels[r["__level"]])
+        assert r["step"] == pytest.approx(want, abs=1e-12)
+
+
 def test_losers_must_lose_every_fold():
     scores = {"best": [0.5, 0.5, 0.5], "close": [0.505, 0.505, 0.505], "once": [0.4, 0.9, 0.9], "worse": [0.6, 0.6, 0.51]}
     assert models.losers(scores, 0.01) == {"worse"}
