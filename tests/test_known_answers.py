@@ -221,3 +221,11 @@ def test_bootstrap_is_repeatable_and_brackets_the_mean(spark):
 def test_strict_union(spark):
     with pytest.raises(ValueError):
         quality.union_strict(spark.range(1), spark.range(1).toDF("x"))
+
+
+def test_running_totals_make_their_histogram_once(spark, monkeypatch):
+    monkeypatch.setattr(scale, "BUCKET_VALUES", 50)
+    hist = scale.histogram(spark.range(500).selectExpr("id % 2 AS k", "CAST(id AS DOUBLE) AS v"), ["k"], "v")
+    totals = scale.running_totals(hist, ["k"], "v", ["n"])
+    assert "Range (0" not in totals._jdf.queryExecution().toString()
+    assert all((r.n_before, r.n_total) == (r.v // 2, 250) for r in totals.collect())
