@@ -185,8 +185,9 @@ class OfferStore:
 
     def _rename(self, version: int, states: DataFrame, registry: DataFrame) -> None:
         staging = f"{self.root}/manifest/_staging-{uuid.uuid4().hex}"
-        states.select(*MANIFEST.names).coalesce(1).write.json(f"{staging}/batches")
-        registry.coalesce(1).write.parquet(f"{staging}/registry")
+        # repartition, not coalesce: one task would run the joins of all partitions and hold the buffers of their sorts together
+        states.select(*MANIFEST.names).repartition(1).write.json(f"{staging}/batches")
+        registry.repartition(1).write.parquet(f"{staging}/registry")
         publish(self.spark, staging, f"{self.root}/manifest/{version:08d}")
 
     # --- upkeep

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from farepanel.operators import history, quality
@@ -43,6 +44,21 @@ def test_a_batch_is_replaced_not_merged(spark, tmp_path):
     assert content(kept, kept.versions()[0]) == {(1, 1): 10, (1, 2): 20, (1, 3): 30}  # old versions stay readable
 
 
+def test_manifest_is_gathered_by_an_exchange(spark, tmp_path, monkeypatch):
+    plans, write = [], DataFrameWriter.json
+
+    def json(writer, path, *args, **options):
+        plans.append(writer._df._jdf.queryExecution().optimizedPlan().toString().splitlines()[0])
+        return write(writer, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "json", json)
+    kept = store.OfferStore(spark, str(tmp_path))
+    kept.write(arrivals(spark, {1: 10, 2: 20}))
+    kept.write(arrivals(spark, {1: 11, 2: 20}, minute=9))
+    assert plans == ["Repartition 1, true"] * 2
+    assert content(kept) == {(1, 1): 11, (1, 2): 20}
+
+
 def test_a_failed_replay_keeps_the_promoted_offers(spark, tmp_path):
     kept = store.OfferStore(spark, str(tmp_path), at_least(2))
     kept.write(arrivals(spark, {1: 10, 2: 20}))
