@@ -11,6 +11,7 @@ from farepanel import config as C
 from farepanel.functions import columns as K
 from farepanel.operators.pairs import next_window
 from farepanel.operators.scale import exact_quantiles, join_on, row_numbers, with_scalars
+from farepanel.session import materialise
 
 LABEL_COLUMNS = (
     "target_price_vnd", "label_time", "target_offer_id", "target_session_date", "target_session_key",
@@ -159,8 +160,12 @@ def prediction_catalog(df: DataFrame) -> DataFrame:
 
 
 def daily_agreement(matched: DataFrame, date: str) -> DataFrame:
-    """Matched slots per day with the median ratio and the shares within five and ten percent."""
+    """Matched slots per day with the median ratio and the shares within five and ten percent.
+
+    The matched rows are written once: the match behind them would be made again for the counts and for the medians.
+    """
     difference = F.col("absolute_pct_difference")
+    matched = materialise(matched.select(date, "a_rows", "b_rows", "ratio", difference), "matched")
     counts = matched.groupBy(date).agg(
         F.count(F.lit(1)).alias("matched_slots"),
         F.sum("a_rows").alias("a_rows"),
