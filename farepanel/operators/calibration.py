@@ -62,7 +62,7 @@ def conformal_mondrian(
 
     ``keep_global`` names a column for the globally shifted quantiles of the same row.
     """
-    hist = residual_histogram(head, y, quantiles, [group])
+    hist = materialise(residual_histogram(head, y, quantiles, [group]), "residuals")  # read for groups and for all rows
     groups = offsets_of_histogram(hist, [group], "__group").where(F.col("support") >= min_support).drop("support")
     row = offsets_of_histogram(hist).select(F.col("offsets").alias("__global"))
     out = with_scalars(join_on(valid, groups, [group], "left"), row)
