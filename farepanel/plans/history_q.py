@@ -223,6 +223,17 @@ FROM states0 WINDOW w AS (PARTITION BY "group" ORDER BY event_time, session_key)
 )
 
 
+STATE_ROWS = [
+    "offer_id", "schedule_slot_id", "session_key", "feature_time", "route", "airline", "departure_minute", "days_until_departure",
+    "price_vnd", "temporal_market_median_price", "temporal_market_support", "anchor_vnd", "batch_offer_count",
+]
+
+
+def state_rows(p):
+    """What the states and their queries need of the anchored offers, as a written table: it has several readers."""
+    return p.stored("states", lambda: p.anchored.select(*STATE_ROWS))
+
+
 @query(
     "sequence_source",
     'SELECT "group", session_key, event_time, '
@@ -230,12 +241,13 @@ FROM states0 WINDOW w AS (PARTITION BY "group" ORDER BY event_time, session_key)
     + " FROM states",
 )
 def sequence_source(p):
-    return history.sequence_source(p.anchored).select("group", "session_key", "event_time", *[r(c, 7) for c in history.STATE_FEATURES])
+    return history.sequence_source(state_rows(p)).select("group", "session_key", "event_time", *[r(c, 7) for c in history.STATE_FEATURES])
 
 
 def arrays(p, kind: str = "EXACT"):
-    source = history.sequence_source(p.anchored, kind)
-    queries = p.anchored.select(
+    rows = state_rows(p)
+    source = history.sequence_source(rows, kind)
+    queries = rows.select(
         "offer_id", F.col("schedule_slot_id").cast("string").alias("group"), "feature_time", "session_key"
     )
     return history.history_arrays(queries, source, ["group"])
