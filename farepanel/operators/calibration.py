@@ -85,7 +85,7 @@ def choose_quantile_recipe(head: DataFrame, y: str, quantiles: str, group: str =
     score = F.col("wis") + F.col("complexity") * F.lit(1e-7)
     if coverage_penalty:
         score = score + F.lit(0.25) * F.abs(F.col("coverage90") - 0.90) + F.lit(0.15) * F.abs(F.col("coverage80") - 0.80)
-    table = table.withColumn("score", score)
+    table = materialise(table.withColumn("score", score), "recipes")  # one row a recipe, read for the best and for all
     best = table.agg(F.min_by("recipe", F.struct("score", "complexity")).alias("__best"))
     return with_scalars(table, best).withColumn("chosen", F.col("recipe") == F.col("__best")).drop("__best")
 
