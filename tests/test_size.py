@@ -37,3 +37,16 @@ def test_concordance_of_many_levels(spark, monkeypatch, bound):
     pairs = [(a, b) for i, a in enumerate(known) for b in known[i + 1 :] if a[2] != b[2]]
     assert got.informative_pairs == len(pairs)
     assert got.concordance == pytest.approx(sum((a[2] < b[2]) == (a[3] > b[3]) and a[3] != b[3] for a, b in pairs) / len(pairs))
+
+
+def test_recipes_rank_fares_once(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [("SCREEN", f"F{i % 2}", f"q{i % 5}", i, float(rng.randint(1, 20)), rng.random(), rng.random(), rng.random()) for i in range(120)]
+    df = spark.createDataFrame(rows, "fold_set string, fold string, query_id string, offer_id long, y double, a double, b double, c double")
+    long = metrics.blends(df, "a", "b", "c")
+    flat = lambda t: {(r.recipe, r.fold): pytest.approx(r.score) for r in t.collect()}
+    want = flat(metrics.recipe_scores(long, "RANKING", "y"))
+    ranked, real = [], scale.histogram
+    monkeypatch.setattr(scale, "histogram", lambda t, *a, **k: ranked.append(t.count()) or real(t, *a, **k))
+    assert flat(metrics.recipe_scores(long, "RANKING", "y", rows=df)) == want and len(want) == 14
+    assert ranked == [len(rows)]
