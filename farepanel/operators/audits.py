@@ -14,8 +14,10 @@ from farepanel.operators import metrics
 from farepanel.operators.history import rolling_median
 from farepanel.operators.market import session_pairs
 from farepanel.operators.scale import (
-    average_rank, exact_quantiles, join_on, with_rank, with_scalars,
+    exact_quantiles, histogram, join_on, running_totals, with_scalars,
 )
+from farepanel.session import materialise
+
 
 def pct(a: Column, b: Column) -> Column:
     """Percentage, zero when the base is zero."""
@@ -415,20 +417,29 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], min_n: int = 100) -> Da
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str], min_n: int = 100) -> DataFrame:
-    """Correlation of averaged ranks, pairwise complete, over all rows; ranks come from value histograms."""
-    pairs = list(combinations(sorted(columns), 2))
-    structs = [
-        F.struct(F.lit(a).alias("feature_left"), F.lit(b).alias("feature_right"),
-                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in pairs
-    ]
-    long = df.select(F.explode(F.array(*structs)).alias("p")).select("p.*").where("x is not null and y is not null")
-    keys = ["feature_left", "feature_right"]
-    ranked = with_rank(with_rank(long, keys, "x", "x_"), keys, "y", "y_")
-    return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.when(F.count(F.lit(1)) >= min_n, F.corr(average_rank("x_"), average_rank("y_"))).alias("spearman"),
-    )
+    """Correlation of averaged ranks, pairwise complete, over all rows; ranks come from value histograms.
+
+    A rank counts the rows that also have the other column of the pair. One histogram per column holds these counts for
+    all its pairs, and a column joins the rows once, whatever the number of pairs. The columns are written once.
+    """
+    columns = sorted(columns)
+    pairs = list(combinations(columns, 2))
+    ranked = df = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "columns")
+    for c in columns:
+        others = {f"__{o}": F.when(F.col(o).isNotNull(), 1).otherwise(0) for o in columns if o != c}
+        totals = running_totals(histogram(df, [], c, **others), [], c, list(others))
+        found = [(F.col(f"{o}_before") + (F.col(o) + 1) / F.lit(2.0)).alias(f"__{c}{o}") for o in others]
+        ranked = ranked.join(totals.select(c, *found), c, "left")
+    both = {(a, b): F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs}
+    one = ranked.agg(*[
+        F.struct(
+            F.lit(a).alias("feature_left"), F.lit(b).alias("feature_right"), F.count_if(hit).alias("rows"),
+            F.corr(F.when(hit, F.col(f"__{a}__{b}")), F.when(hit, F.col(f"__{b}__{a}"))).alias("spearman"),
+        ).alias(f"{a}|{b}")
+        for (a, b), hit in both.items()
+    ])
+    long = one.select(F.inline(F.array(*[f"`{a}|{b}`" for a, b in pairs]))).where("rows > 0")
+    return long.withColumn("spearman", F.when(F.col("rows") >= min_n, F.col("spearman")))
 
 
 def frame_summary(offers: DataFrame, events: DataFrame, registry: DataFrame) -> DataFrame:

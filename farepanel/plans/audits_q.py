@@ -358,7 +358,7 @@ RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e
     ),
 )
 def spearman_pairs(p):
-    return rounded(audits.spearman_pairs(p.feature_table, SPEAR), 7)
+    return rounded(audits.spearman_pairs(p.featured_once, SPEAR), 7)
 
 
 EVENT_FLAG = "CAST(price_vnd - target_price_vnd >= least(CAST(price_vnd AS DOUBLE) * 0.05e0, 50000e0) AS DOUBLE)"

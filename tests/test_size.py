@@ -2,10 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from farepanel.operators import metrics, scale
+from farepanel.operators import audits, metrics, scale
 
 
 def plan_of(df):
@@ -50,3 +51,17 @@ def test_recipes_rank_fares_once(spark, monkeypatch):
     monkeypatch.setattr(scale, "histogram", lambda t, *a, **k: ranked.append(t.count()) or real(t, *a, **k))
     assert flat(metrics.recipe_scores(long, "RANKING", "y", rows=df)) == want and len(want) == 14
     assert ranked == [len(rows)]
+
+
+def test_spearman_joins_a_column_once(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [tuple(None if rng.random() < 0.2 else float(rng.randint(1, 30)) for _ in range(4)) for _ in range(300)]
+    df, calls, real = spark.createDataFrame(rows, "a double, b double, c double, d double"), [], scale.running_totals
+    monkeypatch.setattr(audits, "running_totals", lambda *a, **k: calls.append(1) or real(*a, **k))
+    got = {(r.feature_left, r.feature_right): (r.rows, r.spearman) for r in audits.spearman_pairs(df, list("abcd")).collect()}
+    frame = pd.DataFrame(rows, columns=list("abcd"))
+    for (x, y), (n, value) in got.items():
+        part = frame[[x, y]].dropna().rank()
+        assert n == len(part) and value == pytest.approx(part[x].corr(part[y]))
+    assert len(got) == 6 and len(calls) == 4
+    assert audits.spearman_pairs(df.where("a is null"), ["a", "b"]).collect() == []
