@@ -443,25 +443,37 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], min_n: int = 100) -> D
 
 
 def frame_summary(offers: DataFrame, events: DataFrame, registry: DataFrame) -> DataFrame:
-    """Long report (section, item, value) of one data product."""
+    """Long report (section, item, value) of one data product.
+
+    Every frame is read once, into a written table of its categories; totals and rates are sums over these.
+    """
     def melt(df: DataFrame, section: str, values: Mapping[str, Column]) -> DataFrame:
         row = df.agg(*[v.cast("double").alias(k) for k, v in values.items()])
         items = [F.struct(F.lit(k).alias("item"), F.col(k).alias("value")) for k in values]
         return row.select(F.lit(section).alias("section"), F.explode(F.array(*items)).alias("x")).select("section", "x.*")
 
     def counts(df: DataFrame, section: str, column: str) -> DataFrame:
-        return df.groupBy(F.col(column).alias("item")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        return df.groupBy(F.col(column).alias("item")).agg(F.sum("n").cast("double").alias("value")).select(
             F.lit(section).alias("section"), "item", "value"
         )
 
+    n = F.count(F.lit(1)).alias("n")
+    eligible, event = "relative_history_eligible", "event_drop_5pct_or_50k"
+    offers = materialise(offers.groupBy("anchor_source").agg(
+        n, F.count("anchor_vnd").alias("anchored"), F.sum(eligible).alias("eligible"), F.count(eligible).alias("judged")
+    ), "summary")
+    flag = F.col(event).cast("double")
+    events = materialise(events.groupBy("transition").agg(n, F.sum(flag).alias("hits"), F.count(flag).alias("judged")), "summary")
+    registry = materialise(registry.groupBy("event_label_status", "exact_status").agg(n), "summary")
+    rows = F.coalesce(F.sum("n"), F.lit(0))
     parts = [
         melt(offers, "offers", {
-            "rows": F.count(F.lit(1)),
-            "anchor_coverage": F.avg(F.col("anchor_vnd").isNotNull().cast("double")),
-            "relative_history_eligible_rate": F.avg("relative_history_eligible"),
+            "rows": rows,
+            "anchor_coverage": F.try_divide(F.sum("anchored").cast("double"), F.sum("n")),
+            "relative_history_eligible_rate": F.try_divide(F.sum("eligible").cast("double"), F.sum("judged")),
         }),
         counts(offers, "anchor_source", "anchor_source"),
-        melt(events, "events", {"rows": F.count(F.lit(1)), "prevalence": F.avg(F.col("event_drop_5pct_or_50k").cast("double"))}),
+        melt(events, "events", {"rows": rows, "prevalence": F.try_divide(F.sum("hits"), F.sum("judged"))}),
         counts(events, "transition", "transition"),
         counts(registry, "event_label_status", "event_label_status"),
         counts(registry, "exact_status", "exact_status"),

@@ -378,7 +378,7 @@ UNION ALL SELECT 'exact_status', exact_status, CAST(count(*) AS DOUBLE) FROM eve
 )
 def frame_summary(p):
     events = pairs.attach_events(p.exact_pairs, C.EVENT_DEFINITIONS_MIN)
-    return rounded(audits.frame_summary(p.feature_table, events, registry_frame(p)))
+    return rounded(audits.frame_summary(p.featured_once, events, registry_frame(p)))
 
 
 # --- folds ----------------------------------------------------------------------------------
