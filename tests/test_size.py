@@ -1,5 +1,6 @@
 """What keeps the ranking, audit and model jobs small: columns, joins and tables they do without."""
 
+import os
 import random
 
 import pandas as pd
@@ -7,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from farepanel.operators import audits, metrics, scale
+from farepanel.plans import models_q
+from farepanel.sources import panel as source
 
 
 def plan_of(df):
@@ -65,3 +68,16 @@ def test_spearman_joins_a_column_once(spark, monkeypatch):
         assert n == len(part) and value == pytest.approx(part[x].corr(part[y]))
     assert len(got) == 6 and len(calls) == 4
     assert audits.spearman_pairs(df.where("a is null"), ["a", "b"]).collect() == []
+
+
+def test_summary_and_frame_leave_the_wide_table_unwritten(spark, tmp_path):
+    folder = str(tmp_path / "sf")
+    os.symlink("/root/testdata/sf0.001", folder)
+    from farepanel.plans import load
+
+    assert load()[0]["frame_summary"](spark, folder).count() > 5
+    p = source.Panel(spark, folder)
+    first, again = models_q.model_frame(p), models_q.model_frame(source.Panel(spark, folder))
+    assert first.inputFiles() == again.inputFiles() and "fold_set" in first.columns
+    names = {key[2] for key in source._STORED if key[1] == folder}
+    assert "frame" in names and "featured" not in names
