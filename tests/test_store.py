@@ -216,3 +216,49 @@ def test_state_ends_after_departure(spark, tmp_path):
     slots = spark.read.format("statestore").option("stateVarName", "events").load(f"{tmp_path}/cp").select("key.schedule_slot_id").distinct()
     assert [r[0] for r in slots.collect()] == [2]  # slot 1 left long before the watermark
     assert newest(spark, tmp_path)[4][0] == 3
+
+
+class Counted:
+    """State of one slot and its handle; every call of the processor is a round trip to the JVM."""
+
+    def __init__(self):
+        self.kept, self.calls, self.timers = [], [], []
+
+    def getListState(self, name, schema):
+        return self
+
+    getValueState = getListState
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "get":
+                return self.kept[0] if self.kept else None
+            if name == "registerTimer":
+                self.timers += args
+            elif name == "clear":
+                self.kept = []
+            else:
+                self.kept = list(args)
+
+        return call
+
+
+def test_a_slot_costs_one_read_one_write_and_one_row_out():
+    handle, processor = Counted(), state.SlotHistory()
+    processor.init(handle)
+
+    def visit(*offers):
+        handle.calls.clear()
+        rows = [("slot", None, dict(at=at, batch=at, row_id=at, y=float(y), x=x, departs=99)) for at, y, x in offers]
+        return [(r.ids, r.numbers) for r in processor.handleInputRows(("slot",), iter(rows), None)], list(handle.calls)
+
+    missing = float("nan")
+    assert visit((1, 100, 9.0), (3, 300, 7.0), (4, 500, missing)) == ([([1, 3, 4], [0.0, None, None, None, 1.0, 100.0, None, None, 2.0, 300.0, 100.0, -100.0])], ["get", "update", "registerTimer"])
+    sent, calls = visit((2, 200, 8.0))
+    assert calls == ["get", "update"] and handle.timers == [99]
+    assert sent == [([2, 3, 4], [1.0, 100.0, None, None, 2.0, 200.0, 50.0, -100.0, 3.0, 300.0, pytest.approx((20000 / 3) ** 0.5), -100.0])]
+    assert visit((3, 300, 7.0), (4, 500, missing)) == ([], ["get"])  # a replay is neither written nor sent
+    assert visit((4, 600, 6.0))[0] == [([4], [3.0, 300.0, pytest.approx((20000 / 3) ** 0.5), -100.0])]
+    list(processor.handleExpiredTimer(("slot",), None, None))
+    assert visit((5, 1, 1.0)) == ([([5], [0.0, None, None, None])], ["get", "update", "registerTimer"])
